@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_lines",)
+_MODULES = ("q_lines", "q_clean")
 
 
 def load_all():
