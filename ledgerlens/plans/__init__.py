@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_lines", "q_clean")
+_MODULES = ("q_lines", "q_clean", "q_knn")
 
 
 def load_all():

@@ -8,9 +8,12 @@ the setting is absent, as in tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import time
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on (AQE re-plans joins at runtime, splits skewed
 # partitions and coalesces small ones; the UI server stays off).
@@ -27,6 +30,9 @@ _DEFAULTS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def get_spark(app: str = "ledgerlens", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
@@ -36,6 +42,9 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
     conf = dict(_DEFAULTS)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf.setdefault("spark.driver.memory", "16g")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -48,8 +57,29 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; create a local one only if unset."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    sc.setCheckpointDir(d)
+        d = _LOCAL_DIRS.get(sc.applicationId)
+        if d is None:
+            d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+            _LOCAL_DIRS[sc.applicationId] = d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under ``spark.checkpoint.dir`` and read it back.
+
+    Cuts lineage (a lost executor recomputes from the written files, not from
+    the sources) and gives AQE exact sizes for the next joins.  The folder is
+    the cluster's shared checkpoint location, never a machine-local one.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    t0 = time.time()
+    df.write.mode("overwrite").parquet(path)
+    if os.environ.get("LEDGERLENS_TRACE"):
+        print(f"[materialize] {name}: {time.time() - t0:.2f}s", flush=True)
+    return spark.read.parquet(path)
