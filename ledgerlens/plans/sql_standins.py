@@ -60,7 +60,8 @@ EVAL = """ev AS (
 
 OF = """of AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS tenant_id, 'accrec_accpay' AS table_name,
-         o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, c_mktsegment, o_orderdate
+         o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, c_mktsegment, o_orderdate,
+         c_acctbal
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 

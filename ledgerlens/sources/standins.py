@@ -149,10 +149,10 @@ def order_features(spark: SparkSession, base: str) -> DataFrame:
     """
     o = read_table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                                   "o_totalprice", "o_orderpriority", "o_orderdate")
-    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("c_nationkey").cast("string").alias("tenant_id"),
         F.lit("accrec_accpay").alias("table_name"),
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
-        "c_mktsegment", "o_orderdate",
+        "c_mktsegment", "o_orderdate", "c_acctbal",
     )
