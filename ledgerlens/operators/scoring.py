@@ -125,3 +125,27 @@ def audit(model: Model, lines: DataFrame, weights: str | None = None) -> DataFra
     j = pred.join(booked, keys + ["q_id"])
     j = class_frequency(model, j, "booked")
     return anomalies(j, "booked")
+
+
+def train_summary(model: Model) -> DataFrame:
+    """Per group the trainable state (P15) and the training accuracy.
+
+    Training accuracy scores the reference rows against themselves (each row
+    is its own neighbour at distance 0), as the reference's self-score does.
+    """
+    from ledgerlens.operators import profile as pf
+    spec, keys = model.spec, list(model.spec.group_keys)
+    state = pf.trainable_groups(model.ref, keys, spec.target, spec.k)
+    _, pred = predict(model, model.ref)
+    truth = model.ref.select(*keys, F.col(spec.id_col).alias("q_id"), F.col(spec.target).alias("_y"))
+    acc = (pred.join(truth, keys + ["q_id"]).groupBy(*keys)
+               .agg(F.round(F.avg((F.col("prediction") == F.col("_y")).cast("double")), 9).alias("train_accuracy")))
+    return state.join(acc, keys, "left")
+
+
+def explanation_records(neighbors: DataFrame, raw: DataFrame, keys, id_col: str, cols) -> DataFrame:
+    """Attach the record of every neighbour (first raw row per id)."""
+    keys = list(keys)
+    one = raw.dropDuplicates(keys + [id_col]).select(*keys, F.col(id_col).alias("t_id"),
+                                                     *[F.col(c).alias(f"t_{c}") for c in cols])
+    return neighbors.join(one, keys + ["t_id"], "left")
