@@ -22,8 +22,9 @@ Plan (no pair set of a whole group is ever produced):
 4. Band: by the triangle inequality every true neighbour has
    ``|dp_t - dp_q| <= r``; the query is joined to the cells covering that
    band only, and the exact top-k is taken there (ranked by ``(d2, id)``).
-   Queries with fewer than k seeds (sparse regions, tiny groups) are joined
-   to their whole group -- exact, and rare by construction.
+   Queries with fewer than k seeds (sparse regions) widen the seed window
+   in rounds; only a query whose group has fewer than k candidates at all
+   is joined to its (tiny) group.
 
 Top-k is ``row_number() <= k`` per query; Catalyst plans a partial
 WindowGroupLimit before the shuffle, and the query id is a unique key, so no
@@ -187,6 +188,29 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
     resolved = qr.filter(F.col("n_seed") >= k)
     unresolved = qr.filter(F.col("n_seed").isNull() | (F.col("n_seed") < k))
 
+    # 3b. queries with fewer than k seeds (sparse regions) widen their seed
+    #     window in rounds (+-4, +-16, ... cells).  A query whose window already
+    #     spans its whole group and still has < k seeds is in a group with
+    #     fewer than k candidates: it is joined to that (tiny) group directly.
+    base_cols = [c for c in qr.columns if c not in ("n_seed", "r2")]
+    m, half = 1, 4
+    while unresolved.limit(1).count():
+        spans = (2 * m + 1) >= F.col("g_nc")
+        widen = unresolved.filter(~spans).select(*base_cols)
+        if not widen.limit(1).count():
+            break
+        ring = widen.withColumn("cell", F.explode(F.sequence(
+            F.greatest(F.lit(0).cast("long"), F.col("q_cell") - half),
+            F.least(F.col("g_nc") - 1, F.col("q_cell") + half))))
+        ring = d2_of(not_self(ring.join(sample, keys + ["cell"])))
+        qw = widen.join(seed_radius(ring, keys, k), keys + ["q_id"], "left")
+        if materialize_steps:
+            qw = materialize(qw, "knn_query_radius_wide")
+        resolved = resolved.unionByName(qw.filter(F.col("n_seed") >= k))
+        unresolved = (unresolved.filter(spans)
+                      .unionByName(qw.filter(F.col("n_seed").isNull() | (F.col("n_seed") < k))))
+        m, half = half, half * 4
+
     # 4. band of cells around dp_q of half-width r (exact by the triangle
     #    inequality); only pairs with d2 <= r2 can be in the top k, so the
     #    ranking window sees about k rows per query.
@@ -195,7 +219,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
                                                            cell_of(F.col("q_dp") + r))))
     band = band.join(tc, keys + ["cell"]).filter(F.abs(F.col("t_dp") - F.col("q_dp")) <= r)
     band = d2_of(not_self(band)).filter(F.col("d2") <= F.col("r2"))
-    rest = d2_of(not_self(unresolved.join(tc.drop("cell"), keys)))   # whole group, exact
+    rest = d2_of(not_self(unresolved.join(tc.drop("cell"), keys)))   # groups with < k candidates
     cols = keys + ["q_id", "t_id", "t_label", "d2"]
     pairs = band.select(*cols).unionByName(rest.select(*cols))
 
