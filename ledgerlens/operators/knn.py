@@ -34,6 +34,7 @@ partition holds more than one query's candidates per map task.
 from __future__ import annotations
 
 import operator
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,6 +75,22 @@ def pair_d2(a: str, b: str, n_num: int, n_cat: int, has_vec: bool,
     return reduce(operator.add, terms) if terms else F.lit(0.0)
 
 
+def profile_key(prefix: str, n_cat: int, mask: str | None) -> Column:
+    """Exact, null-safe text key of the categorical values in use (masked features drop out).
+
+    Tokens are ``-`` (masked), ``N`` (null) or ``V<len>:<value>``, so the key
+    decodes uniquely and equal keys mean equal used categorical values.
+    """
+    toks = []
+    for i in range(n_cat):
+        c = F.col(f"{prefix}c{i}")
+        tok = F.when(c.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(c).cast("string"), F.lit(":"), c))
+        if mask:
+            tok = F.when(F.col(f"{mask}mc{i}"), tok).otherwise(F.lit("-"))
+        toks.append(tok)
+    return F.concat_ws("|", *toks) if toks else F.lit("")
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str,
              num=(), cat=(), known=(), vec: str | None = None, masks: DataFrame | None = None,
              num_mask=(), cat_mask=(), k: int = 7, exclude_self: bool = False,
@@ -133,9 +150,11 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
 
     tp = (t.join(piv, keys, "inner")
            .withColumn("t_dp", F.sqrt(pair_d2("t", "p", n_num, n_cat, has_vec, None, mask)))
+           .withColumn("prof", profile_key("t", n_cat, mask))
            .drop(*pcols))
     qp = (q.join(piv, keys, "inner")
-           .withColumn("q_dp", F.sqrt(pair_d2("q", "p", n_num, n_cat, has_vec, "qk", mask))))
+           .withColumn("q_dp", F.sqrt(pair_d2("q", "p", n_num, n_cat, has_vec, "qk", mask)))
+           .withColumn("q_prof", profile_key("q", n_cat, mask)))
     # the query side carries the group's masks into every pair
     qp = qp.select(*[c for c in qp.columns if c not in pcols or c in mcols])
     qp = qp.select(*[F.col(c).alias("q" + c[1:]) if c in mcols else F.col(c) for c in qp.columns])
@@ -169,18 +188,33 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
         return df.withColumn("d2", F.round(pair_d2("q", "t", n_num, n_cat, has_vec, "qk", pmask),
                                            DIST_DECIMALS))
 
-    # 3. seeds: a bounded sample (<= cell_rows per cell, by hash) of the own
-    #    cell and its two neighbours.  Any k candidates bound the k-th
+    # 3. seeds: a bounded sample (by hash; 4k rows per cell when a categorical
+    #    profile sample follows, else cell_rows) of the own cell and its two
+    #    neighbours.  Any k candidates bound the k-th
     #    neighbour distance, so the sample keeps the result exact and bounds
     #    the work per query even for dense cells.
     ws = Window.partitionBy(*keys, "cell").orderBy(F.xxhash64("t_id"), "t_id")
+    seed_rows = max(4 * k, 16) if n_cat else cell_rows
     sample = (tc.select(*keys, "cell", "t_id", *tfeat)
-                .withColumn("_sr", F.row_number().over(ws)).filter(F.col("_sr") <= cell_rows)
+                .withColumn("_sr", F.row_number().over(ws)).filter(F.col("_sr") <= seed_rows)
                 .drop("_sr"))
     seeds = qc.withColumn("cell", F.explode(F.sequence(
         F.greatest(F.lit(0).cast("long"), F.col("q_cell") - 1),
         F.least(F.col("g_nc") - 1, F.col("q_cell") + 1))))
+    near = seeds
     seeds = d2_of(not_self(seeds.join(sample, keys + ["cell"])))
+    if n_cat:
+        # plus up to cell_rows rows of the query's own categorical profile per
+        # cell (disjoint from the sample above): those are the likely
+        # neighbours, so the radius gets tight enough for the profile band
+        wsp = Window.partitionBy(*keys, "cell", "prof").orderBy(F.xxhash64("t_id"), "t_id")
+        sample_p = (tc.select(*keys, "cell", "prof", "t_id", *tfeat)
+                      .withColumn("_sr", F.row_number().over(wsp)).filter(F.col("_sr") <= cell_rows)
+                      .drop("_sr")
+                      .join(sample.select(*keys, "t_id"), keys + ["t_id"], "left_anti"))
+        seeds_p = d2_of(not_self(near.withColumn("prof", F.col("q_prof"))
+                                     .join(sample_p, keys + ["cell", "prof"]).drop("prof")))
+        seeds = seeds.unionByName(seeds_p)
     radius = seed_radius(seeds, keys, k)
     qr = qc.join(radius, keys + ["q_id"], "left")
     if materialize_steps:
@@ -214,14 +248,33 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
     # 4. band of cells around dp_q of half-width r (exact by the triangle
     #    inequality); only pairs with d2 <= r2 can be in the top k, so the
     #    ranking window sees about k rows per query.
+    #    Every categorical mismatch in use costs >= 1, so a query with r2 < 1
+    #    can only have neighbours with its exact categorical profile: those
+    #    queries join the band on (keys, cell, profile) -- still exact, and
+    #    the profile splits the cell's rows by the categorical combinations.
     r = F.sqrt(F.col("r2")) + F.lit(_EPS)
     band = resolved.withColumn("cell", F.explode(F.sequence(cell_of(F.col("q_dp") - r),
                                                            cell_of(F.col("q_dp") + r))))
-    band = band.join(tc, keys + ["cell"]).filter(F.abs(F.col("t_dp") - F.col("q_dp")) <= r)
-    band = d2_of(not_self(band)).filter(F.col("d2") <= F.col("r2"))
-    rest = d2_of(not_self(unresolved.join(tc.drop("cell"), keys)))   # groups with < k candidates
+    if n_cat:
+        same = F.col("r2") < F.lit(1.0)
+        band_p = (band.filter(same).withColumn("prof", F.col("q_prof"))
+                      .join(tc, keys + ["cell", "prof"]).drop("prof"))
+        band_g = band.filter(~same).join(tc.drop("prof"), keys + ["cell"])
+        band = band_p.unionByName(band_g)
+    else:
+        band = band.join(tc.drop("prof"), keys + ["cell"])
+    band = band.filter(F.abs(F.col("t_dp") - F.col("q_dp")) <= r)
+    band = d2_of(not_self(band))
+    if os.environ.get("LEDGERLENS_TRACE"):
+        print(f"[knn] band_pairs_before_r2_filter={band.count()}", flush=True)
+    band = band.filter(F.col("d2") <= F.col("r2"))
+    rest = d2_of(not_self(unresolved.join(tc.drop("cell", "prof"), keys)))   # groups with < k candidates
     cols = keys + ["q_id", "t_id", "t_label", "d2"]
     pairs = band.select(*cols).unionByName(rest.select(*cols))
+    if os.environ.get("LEDGERLENS_TRACE"):
+        nq = qc.count()
+        print(f"[knn] queries={nq} seeds={seeds.count()} band_cells={band.count()} "
+              f"fallback={rest.count()} refs={tc.count()}", flush=True)
 
     wq = Window.partitionBy(*keys, "q_id").orderBy("d2", "t_id")
     top = (pairs.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)

@@ -135,15 +135,19 @@ def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str,
     q = sample.withColumn("fold_g", F.col("fold"))
     r = (sample.withColumn("fold_g", F.explode(F.array(*[F.lit(i) for i in range(folds)])))
                .filter(F.col("fold_g") != F.col("fold")))
-    cand = candidates.select(*keys, "cand", *use_cols)
-    q = q.join(cand.select(*keys, "cand"), keys)
-    r = r.join(cand.select(*keys, "cand"), keys)
-    k2 = keys + ["fold_g", "cand"]
+    # candidates travel as a small int id (the name is a long feature list)
+    names = candidates.select("cand").distinct().withColumn(
+        "cand_id", F.dense_rank().over(Window.orderBy("cand")).cast("int"))
+    cand = candidates.join(names, "cand").select(*keys, "cand_id", *use_cols)
+    q = q.join(cand.select(*keys, "cand_id"), keys)
+    r = r.join(cand.select(*keys, "cand_id"), keys)
+    k2 = keys + ["fold_g", "cand_id"]
     q, r = impute_median(q, r, k2, numeric)
+    r = materialize(r, "cv_fold_refs")          # every row x (folds - 1) x candidates
     stats = fe.numeric_stats_wide(r, k2, numeric)
-    qz = fe.known_flags(fe.standardize(q, stats, k2, numeric), r, k2, categorical)
+    qz = materialize(fe.known_flags(fe.standardize(q, stats, k2, numeric), r, k2, categorical), "cv_fold_queries")
     rz = fe.standardize(r, stats, k2, numeric)
-    masks = cand.join(q.select(*keys, "fold_g", "cand").distinct(), keys + ["cand"])
+    masks = cand.join(q.select(*keys, "fold_g", "cand_id").distinct(), keys + ["cand_id"])
     nb = knn.knn_join(qz, rz, keys=k2, q_id=id_col, t_id=id_col, t_label=target,
                       num=[f"z_{c}" for c in numeric], cat=list(categorical),
                       known=[f"known_{c}" for c in categorical], masks=masks,
@@ -159,9 +163,10 @@ def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str,
     acc = (votes.join(truth, k2 + ["q_id"])
                 .groupBy(*k2, "k", "weights")
                 .agg(F.avg((F.col("prediction") == F.col("_truth")).cast("double")).alias("fold_accuracy")))
-    return (acc.groupBy(*keys, "cand", "k", "weights")
-               .agg(F.round(F.avg("fold_accuracy"), ACC_DECIMALS).alias("mean_accuracy"),
-                    F.count(F.lit(1)).alias("n_folds")))
+    out = (acc.groupBy(*keys, "cand_id", "k", "weights")
+              .agg(F.round(F.avg("fold_accuracy"), ACC_DECIMALS).alias("mean_accuracy"),
+                   F.count(F.lit(1)).alias("n_folds")))
+    return out.join(names, "cand_id").select(*keys, "cand", "k", "weights", "mean_accuracy", "n_folds")
 
 
 def best_minimal(cv: DataFrame, keys, tol: float = BEST_MINIMAL_TOLERANCE) -> DataFrame:

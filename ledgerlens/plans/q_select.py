@@ -18,6 +18,7 @@ from ledgerlens.plans.sql_standins import OF, with_
 from ledgerlens.sources import standins as si
 from ledgerlens.sources.tables import read_table
 from ledgerlens.config import ModelSpec
+from ledgerlens.session import materialize
 
 NUM = ("o_totalprice", "c_acctbal")
 CAT = ("o_orderstatus", "c_mktsegment")
@@ -107,17 +108,17 @@ FULL = {",".join(FEATS): FEATS}
 DROP_ONE = {**FULL, **{",".join(x for x in FEATS if x != f): [x for x in FEATS if x != f] for f in FEATS}}
 
 
-def _cands_df(spark, d, subsets):
+def _cands_df(groups, subsets):
     """Every group gets the same candidate list (an explode of a literal array)."""
-    groups = selection_input(spark, d).select(*KEYS).distinct()
     items = [F.struct(F.lit(name).alias("cand"), F.lit(len(fs)).alias("n_features"),
                       *[F.lit(f in fs).alias(f"use_{f}") for f in FEATS]) for name, fs in subsets.items()]
     return groups.select(*KEYS, F.explode(F.array(*items)).alias("_c")).select(*KEYS, "_c.*")
 
 
 def _cv(spark, d, subsets):
-    s = with_folds(spark, d)
-    cands = _cands_df(spark, d, subsets)
+    s = materialize(sel.stratified_folds(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey"),
+                    "cv_sample")
+    cands = _cands_df(s.select(*KEYS).distinct(), subsets)
     cv = sel.cv_evaluate(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
     return cv.join(cands.select(*KEYS, "cand", "n_features"), list(KEYS) + ["cand"])
 
