@@ -122,3 +122,28 @@ def report_lines(cv: DataFrame, keys=("tenant_id", "table_name")) -> DataFrame:
         *keys, "rank", F.format_string("%d. features=[%s] k=%d weights=%s mean_accuracy=%.4f folds=%d",
                                        F.col("rank"), F.col("cand"), F.col("k"), F.col("weights"),
                                        F.col("mean_accuracy"), F.col("n_folds")).alias("line"))
+
+
+def write_artifacts(frames: dict[str, DataFrame], base: str, run_ts: str, fmt: str = "json") -> dict[str, str]:
+    """Write named result tables of one run (``json``, ``csv`` or ``parquet``).
+
+    Each table lands in ``<base>/<name>/run_ts=<ts>/`` partitioned like the
+    model artefacts (table, tenant) when it has those columns; csv keeps a
+    header (and, unlike the reference, every column including the truth).
+    Returns the written paths.
+    """
+    out = {}
+    for name, df in frames.items():
+        path = f"{base.rstrip('/')}/{name}/run_ts={run_ts}"
+        parts = [c for c in ("table_name", "tenant_id") if c in df.columns]
+        w = df.write.mode("overwrite")
+        if parts:
+            w = w.partitionBy(*parts)
+        if fmt == "csv":
+            w.option("header", "true").csv(path)
+        elif fmt == "json":
+            w.option("ignoreNullFields", "false").json(path)
+        else:
+            w.parquet(path)
+        out[name] = path
+    return out

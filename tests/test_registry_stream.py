@@ -70,3 +70,11 @@ def test_stream_equals_batch(spark):
     streamed = {r["q_id"]: r["prediction"] for r in spark.read.parquet(base + "/out").collect()}
     _, pred = scoring.predict(model, queries)
     assert streamed == {r["q_id"]: r["prediction"] for r in pred.collect()}
+
+
+def test_write_artifacts_round_trip(spark):
+    base = tempfile.mkdtemp(prefix="ll-art-")
+    m = spark.createDataFrame([("t1", "inv", 0.5, None)], "tenant_id string, table_name string, acc double, note string")
+    paths = reg.write_artifacts({"metrics": m}, base, "2024-01-01-00-00-00", fmt="json")
+    back = spark.read.json(paths["metrics"]).collect()
+    assert back[0]["acc"] == 0.5 and back[0]["tenant_id"] == "t1" and "note" in back[0].asDict()
