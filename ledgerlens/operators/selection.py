@@ -154,21 +154,45 @@ def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str,
                       num_mask=[f"use_{c}" for c in numeric], cat_mask=[f"use_{c}" for c in categorical],
                       k=max(k_options))
     nb = materialize(nb, "cv_neighbors")
-    nbk = nb.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_options]))).filter(F.col("rank") <= F.col("k"))
-    votes = None
-    for w in weight_options:
-        v = knn.vote(nbk, k2 + ["k"], w).withColumn("weights", F.lit(w))
-        votes = v if votes is None else votes.unionByName(v)
-    truth = q.select(*k2, F.col(id_col).alias("q_id"), F.col(target).alias("_truth"))
-    acc = (votes.join(truth, k2 + ["q_id"])
-                .groupBy(*k2, "k", "weights")
-                .agg(F.avg((F.col("prediction") == F.col("_truth")).cast("double")).alias("fold_accuracy")))
+    acc = _config_accuracy(nb, q, keys, k2, id_col, target, k_options, weight_options)
     out = (acc.groupBy(*keys, "cand_id", "k", "weights")
               .agg(F.round(F.avg("fold_accuracy"), ACC_DECIMALS).alias("mean_accuracy"),
                    F.count(F.lit(1)).alias("n_folds")))
     return out.join(names, "cand_id").select(*keys, "cand", "k", "weights", "mean_accuracy", "n_folds")
 
 
+def _config_accuracy(nb: DataFrame, q: DataFrame, keys, k2, id_col: str, target: str,
+                     k_options, weight_options) -> DataFrame:
+    """Mean fold accuracy of every (k, weights) from one ranked neighbour list, aggregations only.
+
+    The rank-1 neighbour has the smallest distance, so "some neighbour is at
+    distance 0" is the same for every prefix k; each config's class score is
+    a conditional sum over ranks <= k, and its winner is ``min_by`` on
+    ``(-score, label)`` (highest score, then smallest label).
+    """
+    first = nb.filter(F.col("rank") == 1).select(*k2, "q_id", (F.col("d2") == 0).alias("_zero"))
+    w_dist = F.when(F.col("_zero"), F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))) \
+              .otherwise(F.lit(1.0) / F.sqrt("d2"))
+    nbw = nb.join(first, k2 + ["q_id"]).withColumn("_wd", w_dist)
+    configs = [(k, w) for k in k_options for w in weight_options]
+    sums = []
+    for k, w in configs:
+        val = F.lit(1.0) if w == "uniform" else F.col("_wd")
+        sums.append(F.round(F.sum(F.when(F.col("rank") <= k, val).otherwise(F.lit(0.0))), ACC_DECIMALS)
+                    .alias(f"_s_{k}_{w}"))
+    per_label = nbw.groupBy(*k2, "q_id", "t_label").agg(*sums)
+    winners = per_label.groupBy(*k2, "q_id").agg(*[
+        F.min_by("t_label", F.struct((-F.col(f"_s_{k}_{w}")).alias("a"), F.col("t_label").alias("b")))
+         .alias(f"_p_{k}_{w}") for k, w in configs])
+    truth = q.select(*k2, F.col(id_col).alias("q_id"), F.col(target).alias("_truth"))
+    acc = winners.join(truth, k2 + ["q_id"]).groupBy(*k2).agg(*[
+        F.avg((F.col(f"_p_{k}_{w}") == F.col("_truth")).cast("double")).alias(f"_a_{k}_{w}") for k, w in configs])
+    long = acc.select(*k2, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"), F.col(f"_a_{k}_{w}").alias("fold_accuracy"))
+        for k, w in configs])).alias("_c")).select(*k2, "_c.*")
+    return long
+
+
 def best_minimal(cv: DataFrame, keys, tol: float = BEST_MINIMAL_TOLERANCE) -> DataFrame:
     """Among configs within ``tol`` of the best mean accuracy, fewest features.
 
