@@ -85,3 +85,19 @@ def test_sample_and_folds(spark):
     for y in ("rare", "mid", "big"):
         sizes = [per[(y, k)] for k in range(5)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_backward_elimination_keeps_the_informative_feature(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(160):
+        x = rnd.uniform(0, 10)
+        rows.append(("g", "t", i, "lo" if x < 5 else "hi", x, rnd.uniform(0, 10), rnd.choice("pqrs")))
+    df = spark.createDataFrame(rows, "tenant_id string, table_name string, id long, y string, x double, "
+                                     "noise double, tag string")
+    cv, state = sel.backward_elimination(df, ["tenant_id", "table_name"], id_col="id", target="y",
+                                         numeric=("noise", "x"), categorical=("tag",))
+    st = state.collect()[0]
+    assert st["features"] == ["x"]
+    assert st["best_accuracy"] >= 0.9
+    assert cv.filter(F.col("cand") == "noise,tag,x").count() == 8      # full set: 4 k x 2 weightings
