@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,5 +43,17 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; no SQL form (tested against the library)."""
+    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_text=False)
+
+
 def load():
     return QUERIES, ORACLES
