@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import table
+from ledgerlens.llm.common import shared_folder, table
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.substring_dedup import substring_dedup
+from ledgerlens.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,5 +56,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_text=False)
 
 
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' ids as Simple-8b files and read them back; no SQL form."""
+    docs = table(spark, sf_dir, "documents")
+    return read_token_files(write_token_files(docs, shared_folder(spark, "token-files"), tokenizer_file("word_bpe_49k.json"), end_id=2), with_ids=False)
+
+
 def load():
     return QUERIES, ORACLES
