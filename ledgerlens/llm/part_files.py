@@ -24,7 +24,7 @@ def writer(folder: str, suffix: str):
     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}{suffix}"
     fs, name = _open(path)
     fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    return part, path, fs.open_output_stream(name)
+    return part, path, fs.open_output_stream(name, compression=None)
 
 
 def read(path: str) -> bytes:
@@ -36,3 +36,9 @@ def read(path: str) -> bytes:
 def spread(manifest: DataFrame, files: int) -> DataFrame:
     """One file per task."""
     return manifest.repartitionByRange(max(1, files), "part")
+
+
+def opened(path: str):
+    """The file as a seekable input stream."""
+    fs, name = _open(path)
+    return fs.open_input_file(name)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_folder, table
+from ledgerlens.llm.common import keep, shared_folder, table
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.substring_dedup import substring_dedup
 from ledgerlens.llm.token_files import read_token_files, write_token_files
+from ledgerlens.llm.warc import REVISIT_BYTES, assemble, read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,5 +64,29 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, shared_folder(spark, "token-files"), tokenizer_file("word_bpe_49k.json"), end_id=2), with_ids=False)
 
 
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC, read the records back and assemble the captures."""
+    records = keep(read_warc(write_warc(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")), with_payload=False), "warc-records")
+    captures = assemble(records).select(
+        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
+    responses = (captures.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
+                 .groupBy("payload_digest").agg(F.max("page_id").alias("response_id")))
+    revisits = captures.filter("record_type = 'revisit'").join(responses, "payload_digest", "left").withColumnRenamed("response_id", "refers_to")
+    rest = captures.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    return rest.unionByName(revisits)
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+last AS (SELECT h, max(page_id) AS m FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < m THEN m END AS refers_to
+FROM p LEFT JOIN last ON p.h = last.h
+"""
+
+
 def load():
     return QUERIES, ORACLES
