@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import keep, shared_folder, table
 from ledgerlens.llm.piece_codec import encode_decode
+from ledgerlens.llm.quality_rules import judge
+from ledgerlens.llm.sharding import shard
 from ledgerlens.llm.substring_dedup import substring_dedup
 from ledgerlens.llm.token_files import read_token_files, write_token_files
 from ledgerlens.llm.warc import REVISIT_BYTES, assemble, read_warc, write_warc
@@ -57,6 +59,36 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_text=False)
 
 
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of all documents and the verdicts of their hosts (source)."""
+    return judge(table(spark, sf_dir, "documents")).drop("suspect", "host")
+
+
+ORACLES["op5_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
+r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * word_chars AS suspect FROM r),
+h AS (SELECT source, count(*) AS n, CAST(sum(CAST(base_failed AS INT)) AS DOUBLE) AS f FROM b GROUP BY source),
+m AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM h),
+p AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 2.0 END AS s FROM m),
+bad AS (SELECT source FROM h, p WHERE 100 * (f + m * s) / (n + s) > 50)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR (suspect AND EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source))) AS kept
+FROM b
+"""
+
+
 @_query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids as Simple-8b files and read them back; no SQL form."""
@@ -64,6 +96,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, shared_folder(spark, "token-files"), tokenizer_file("word_bpe_49k.json"), end_id=2), with_ids=False)
 
 
+@_query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 contiguous shards of near equal bytes; no SQL form (crc32 and the capacity search)."""
+    return shard(table(spark, sf_dir, "documents"), 16)
+
+
 @_query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read the records back and assemble the captures."""
