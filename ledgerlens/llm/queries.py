@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import keep, shared_folder, table
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.quality_rules import judge
+from ledgerlens.llm.secret_scan import scan
 from ledgerlens.llm.sharding import shard
 from ledgerlens.llm.substring_dedup import substring_dedup
 from ledgerlens.llm.token_files import read_token_files, write_token_files
@@ -59,6 +60,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_text=False)
 
 
+@_query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns and lexed name-literal pairs of all documents; no SQL form for the lexing."""
+    return scan(table(spark, sf_dir, "documents"), with_text=False).drop("found")
+
+
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules of all documents and the verdicts of their hosts (source)."""
@@ -72,8 +79,10 @@ win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM again) GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^ 	-]') GROUP BY doc_id),
-r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars,
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY doc_id),
+r AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
