@@ -119,20 +119,28 @@ def named_literals(text: bytes) -> list[Span]:
     for name, a, b, ref in pairs:
         given.setdefault(name, []).append((a, ref if ref is not None else (a, b)))
 
+    known: dict[tuple[bytes, int], tuple[int, int] | None] = {}
+
     def reach(name: bytes, before: int) -> tuple[int, int] | None:
-        seen: set[tuple[bytes, int]] = set()
+        path: dict[tuple[bytes, int], None] = {}
+        found = None
         while have := given.get(name):
-            i = max(bisect_left(have, before, key=lambda x: x[0]) - 1, 0)
-            at, value = have[i]
-            if (name, at) in seen:
-                return None
-            seen.add((name, at))
+            at, value = have[max(bisect_left(have, before, key=lambda x: x[0]) - 1, 0)]
+            if (step := (name, at)) in path:
+                break
+            if step in known:
+                found = known[step]
+                break
+            path[step] = None
             if isinstance(value, tuple):
-                return value
+                found = value
+                break
             if value not in given:  # a bare word that no one assigns is itself the literal
-                return (at, at + len(value))
+                found = (at, at + len(value))
+                break
             name, before = value, at
-        return None
+        known.update(dict.fromkeys(path, found))
+        return found
 
     out: dict[tuple[int, int], Span] = {}
     for name, a, b, ref in pairs:
