@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import keep, shared_folder, table
+from ledgerlens.llm.decontaminate import decontaminate
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.secret_scan import scan
@@ -135,5 +136,11 @@ FROM p LEFT JOIN last ON p.h = last.h
 """
 
 
+@_query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark regions within the edit budget in all documents; no SQL form for the alignment."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("regions")
+
+
 def load():
     return QUERIES, ORACLES
