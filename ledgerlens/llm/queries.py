@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import keep, shared_folder, table
 from ledgerlens.llm.decontaminate import decontaminate
+from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.secret_scan import scan
@@ -136,6 +137,33 @@ FROM p LEFT JOIN last ON p.h = last.h
 """
 
 
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of runs of lines with 50 words or more, over all documents."""
+    return line_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+ORACLES["op9_line_dedup"] = r"""
+WITH raw AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
+             FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+line AS (SELECT doc_id, i, regexp_replace(l, '^[ 	-]+|[ 	-]+$', '', 'g') AS t, len(regexp_extract_all(l, '[^ 	-]+')) AS w,
+                row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+         FROM raw WHERE regexp_matches(l, '[^ 	-]')),
+d AS (SELECT doc_id, list(t ORDER BY p) AS t, list(w ORDER BY p) AS w FROM line GROUP BY doc_id),
+s AS (SELECT doc_id, t, w, unnest(range(1, len(t) + 1)) AS a FROM d),
+e AS (SELECT doc_id, t, a, w, unnest(range(a, least(a + 49, len(t)) + 1)) AS b FROM s),
+win AS (SELECT doc_id, a, min(b) AS b, any_value(t) AS t FROM e WHERE list_sum(w[a:b]) >= 50 GROUP BY doc_id, a),
+later AS (SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(t[a:b], chr(10)) ORDER BY doc_id, a) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS p FROM later),
+gone_line AS (SELECT doc_id, i FROM line JOIN gone USING (doc_id, p)),
+kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS t FROM raw ANTI JOIN gone_line USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM line GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 @_query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark regions within the edit budget in all documents; no SQL form for the alignment."""
