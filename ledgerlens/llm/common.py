@@ -19,8 +19,9 @@ CHUNK_BYTES = 4 << 20
 #: Stands for a null id wherever ids are ordered or joined; null ids sort first.
 NULL_ID = -(1 << 63)
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words.
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,7 +136,7 @@ class SpanHash:
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document index of the words (runs of bytes other than 0x20, 0x09-0x0D)."""
-    starts, ends = spans(~_SEPARATOR[raw], off)
+    starts, ends = spans(~SEPARATOR[raw], off)
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 

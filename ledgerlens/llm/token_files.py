@@ -20,7 +20,9 @@ an empty table gives no file and no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -37,9 +39,12 @@ MAGIC = b"S8BIDS01"
 #: Bits per id of selectors 1, 2, ...; a word holds 60 // bits ids.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 _COUNTS = tuple(60 // b for b in WIDTHS)
-#: Text of one file, and words a task remembers.
+_NARROWEST = np.array(WIDTHS, np.uint8)[np.searchsorted(1 << np.array(WIDTHS), np.arange(1 << 16), "right")]
+#: Text of one file, and words a task remembers (more are met in a chunk).
 FILE_BYTES = 16 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
+#: Text encoded at once; the more, the fewer of its words are new.
+WRITE_BYTES = 8 << 20
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,12 +53,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    bits = np.zeros(n, np.uint8)
-    for w in (*WIDTHS, 61):  # the narrowest width that holds the id, 61: none
-        bits[(bits == 0) & ((ids < (np.uint64(1) << np.uint64(w))) if w < 61 else True)] = w
+    bits = _NARROWEST[np.minimum(ids, np.uint64(0xFFFF)).astype(np.uint16)]  # the narrowest width that holds the id
+    wide = np.flatnonzero(ids >> np.uint64(16))
+    for w in (*WIDTHS[::-1], 0):  # the others one by one; 61: none holds it
+        bits[wide] = np.where(ids[wide] >> np.uint64(w), bits[wide], w) if w else np.where(ids[wide] >> np.uint64(60), 61, bits[wide])
     block = np.arange(0, n, BLOCK)
     left = np.minimum(BLOCK, n - block)
-    room = (np.repeat(left, left) - np.arange(n) % BLOCK).astype(np.int32)
+    room = np.minimum(np.repeat(left, left) - np.arange(n) % BLOCK, 60).astype(np.uint8)
     select = np.zeros(n, np.uint8)  # 0: escape
     most = {1: bits}  # widest id of the next c
     def widest(c: int) -> np.ndarray:
@@ -130,7 +136,7 @@ class TokenFile:
         self.crc = zlib.crc32(data, self.crc)
         self.stream.write(data)
 
-    def add(self, doc_ids: list[int], sizes: list[int], ids: np.ndarray) -> None:
+    def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         words, starts, counts = pack(ids)
         self._put(words.astype("<u8").tobytes())
         self.starts.append(starts + np.uint64(self.words))
@@ -162,43 +168,65 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v[c:c + docs].astype(np.int64), v[c + docs:].astype(np.int64), unpack(v[:words], v[a:b], v[b:c])
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+_STOPS = b".,;:!?"
+_UPPER = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff]")
+
+
 class WordTokenizer:
     """Ids of white-space separated words, each encoded once by the tokenizers library.
 
-    Right for tokenizers that drop white space; ``__init__`` tries this on a few strings
-    and encodes whole texts where it does not hold.
+    Right for tokenizers that drop white space; ``__init__`` tries this on some words
+    and encodes whole texts where it does not hold.  Where lower-case words turn
+    out to go to the merges as they are (their bytes in the library's alphabet),
+    they are handed to them directly, and stops behind a word are a word of their own.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
-        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        self.alphabet = {c: byte_level.pre_tokenize_str(c)[0][0] for c in letters}
+        self.mapped = str.maketrans(self.alphabet)
         vocab = [w[:-4] for w in self.tok.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and w[:-4].islower()]
-        plain = [*sorted(vocab)[::max(1, len(vocab) // 150)], "zqxjkvwq", "antidisestablishment", "a"]
+        plain = [*sorted(vocab)[::max(1, len(vocab) // 150)], "zqxjkvwq", "antidisestablishment", "a", *letters, "stra\u00dfe", "\u00e9l\u00e8ve", "m\u00fcndung"]
         one = lambda s: self.tok.encode(s, add_special_tokens=False).ids
-        self.by_word = one(" \n".join(plain)) == list(chain.from_iterable(one(w) for w in plain)) and one(" ".join(plain).upper()) == one(" ".join(plain)) and one("a b") == one(" a\n\tb ")
-        #: Lower-case ASCII words go straight to the merges; trailing stops are words of their own.
-        self.direct = self.by_word and all(one(w) == [t.id for t in self.tok.model.tokenize(w)] and one(w + ".,!") == one(w) + one(".,!") for w in plain)
-
-    def _learn(self, words: set[bytes]) -> None:
-        cache = self.cache
-        pack_ids = lambda ids: np.array(ids, "<u4").tobytes()
-        rest, ended = [], []
-        for w in words:
-            if self.direct and w.isalpha() and w.islower():
-                cache[w] = pack_ids([t.id for t in self.tok.model.tokenize(w.decode())])
-            elif self.direct and (s := w.rstrip(b".,;:!?")) != w and s.isalpha() and s.islower():
-                ended.append((w, s, w[len(s):]))
-            else:
+        self.by_word = one(" \n".join(plain)) == list(chain.from_iterable(one(w) for w in plain)) and one(" ".join(plain).upper().replace("SS", "\u00df")) == one(" ".join(plain).replace("ss", "\u00df")) and one("a b") == one(" a\n\tb ")
+        self.direct = self.by_word and all(one(w) == np.frombuffer(self._merge(w), "<u4").tolist() and one(w + ".,!") == one(w) + one(".,!") for w in plain)
+
+    def _merge(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tok.model.tokenize(word.translate(self.mapped) if not word.isascii() else word)]).tobytes()
+
+    def _plain(self, word: bytes) -> str | None:
+        """The word as text if it consists of lower-case ASCII letters and those of ``alphabet``."""
+        if word.isalpha():
+            return word.decode() if word.islower() else None
+        if word.isascii():
+            return None
+        text = word.decode()
+        return text if text.isalpha() and max(text) <= "\u00ff" and min(text) >= "a" and not _UPPER.search(text) else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        cache, merge, rest = self.cache, self._merge, [] if self.direct else words
+        for w in words if self.direct else ():
+            s = w.rstrip(_STOPS)
+            plain = self._plain(s)
+            if plain is None:
                 rest.append(w)
-        more = {x for _, s, p in ended for x in (s, p)} - cache.keys()
-        for x in more:
-            if x.isalpha():
-                cache[x] = pack_ids([t.id for t in self.tok.model.tokenize(x.decode())])
-            elif x not in words:
-                rest.append(x)
+                continue
+            ids = cache.get(s)
+            if ids is None:
+                ids = cache[s] = merge(plain)
+            if len(s) != len(w):
+                stops = w[len(s):]
+                if stops not in cache:
+                    cache[stops] = array("I", self.tok.encode(stops.decode(), add_special_tokens=False).ids).tobytes()
+                cache[w] = ids + cache[stops]
         for a in range(0, len(rest), 500):
             some = rest[a:a + 500]
             joined = [w.decode() for w in some]
@@ -208,23 +236,40 @@ class WordTokenizer:
             ids = np.array(e.ids, "<u4")
             for w, x, y in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 cache[w] = ids[x:y].tobytes()
-        for w, s, p in ended:
-            cache[w] = cache[s] + cache[p]
 
-    def encode(self, docs: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents in a row, each closed by ``end_id``; ids per document) of UTF-8 texts."""
+        n_docs = len(off) - 1
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch([d.decode() for d in docs], add_special_tokens=False)]
-        parts = []
-        for d in docs:
-            low = d.lower()  # ASCII only; the strings of special tokens keep their case
-            parts.append((d if any(s.lower() in low for s in self.special) else low).split())
-        have = set(chain.from_iterable(parts))
-        if len(self.cache) > WORDS_KEPT:
-            self.cache = {w: self.cache[w] for w in have & self.cache.keys()}
-        self._learn(have - self.cache.keys())
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            data = raw.tobytes()
+            some = self.tok.encode_batch([data[a:b].decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], add_special_tokens=False)
+            ids = [np.array([*e.ids, end_id], "<u4") for e in some]
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        low = _LOWER[raw]  # ASCII only; the strings of special tokens keep their case
+        lowered = low.tobytes()
+        if any(s in lowered for s in self.special):
+            low = raw
+        start, end, doc = C.words(low, off)
+        size = end - start
+        packed = low[~C.SEPARATOR[low]]  # all words in a row
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        cache = self.cache
+        if len(cache) > WORDS_KEPT:  # go on with the words of this chunk
+            cache = self.cache = {w: cache[w] for w in distinct if w in cache}
+        new = [w for w in distinct if w not in cache]
+        self._learn(new)
+        ids = list(map(self.cache.__getitem__, distinct))
+        ids.append(np.array([end_id], "<u4").tobytes())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        word = np.insert(coded.indices.to_numpy(), np.searchsorted(doc, np.arange(n_docs), "right"), len(distinct))
+        doc = np.insert(doc, np.searchsorted(doc, np.arange(n_docs), "right"), np.arange(n_docs))
+        n = length[word]
+        before = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat((np.cumsum(length) - length)[word] - before, n)
+        return flat[at], np.bincount(doc, n, n_docs).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -234,17 +279,16 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def _write(folder: str, tokenizer: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-    tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         out = None
         for batch in batches:
-            for t in C.chunks(batch):
+            for t in C.chunks(batch, limit=WRITE_BYTES):
                 if out is None:
                     part, path, stream = part_files.writer(folder, ".s8b")
                     out = TokenFile(stream)
-                ids = [x + tail for x in _tokenizer(tokenizer).encode(C.texts(t.column("text")))]
-                out.add(t.column("k").to_pylist(), [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4"))
+                ids, sizes = _tokenizer(tokenizer).encode(*C.text_buffer(t.column("text")), end_id)
+                out.add(t.column("k").to_numpy(), sizes, ids)
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]}, schema)
