@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import keep, shared_folder, table
 from ledgerlens.llm.decontaminate import decontaminate
 from ledgerlens.llm.line_dedup import line_dedup
+from ledgerlens.llm.minhash_dedup import near_duplicates
 from ledgerlens.llm.piece_codec import encode_decode
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.secret_scan import scan
@@ -50,6 +51,12 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+@_query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by 3-word shingles at 85 percent; tested against brute force."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file; the operators take any path."""
     import public_tokenizers
@@ -146,9 +153,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op9_line_dedup"] = r"""
 WITH raw AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i
              FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
-line AS (SELECT doc_id, i, regexp_replace(l, '^[ 	-]+|[ 	-]+$', '', 'g') AS t, len(regexp_extract_all(l, '[^ 	-]+')) AS w,
+line AS (SELECT doc_id, i, regexp_replace(l, '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS t, len(regexp_extract_all(l, '[^ 	-
+]+')) AS w,
                 row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
-         FROM raw WHERE regexp_matches(l, '[^ 	-]')),
+         FROM raw WHERE regexp_matches(l, '[^ 	-
+]')),
 d AS (SELECT doc_id, list(t ORDER BY p) AS t, list(w ORDER BY p) AS w FROM line GROUP BY doc_id),
 s AS (SELECT doc_id, t, w, unnest(range(1, len(t) + 1)) AS a FROM d),
 e AS (SELECT doc_id, t, a, w, unnest(range(a, least(a + 49, len(t)) + 1)) AS b FROM s),
