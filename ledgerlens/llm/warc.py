@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -143,7 +144,7 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of every record of an open WARC file, gzipped or not."""
     lead = stream.read(2)
     stream.seek(0)
-    f = gzip.GzipFile(fileobj=stream) if lead == b"\x1f\x8b" else stream
+    f = gzip.GzipFile(fileobj=stream) if lead == b"\x1f\x8b" else io.BufferedReader(stream)
     while line := f.readline():
         if not line.strip():
             continue
@@ -153,6 +154,8 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := f.readline()).strip():
             lines.append(line)
         headers = _headers(iter(lines))
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError("WARC record without a length")
         size = int(headers["content-length"])
         block = f.read(size)
         if len(block) != size:
