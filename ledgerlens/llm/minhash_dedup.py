@@ -16,10 +16,12 @@ smallest doc_id.
    soon as the posterior probability (uniform prior) that its similarity reaches
    the threshold falls below ``MISS``.  Survivors are verified on their full sets.
 5. Rest: buckets whose members are in different components by now meet again:
-   members outside the centre's component against all others, in hashed blocks
-   of about ``BLOCK`` by ``BLOCK`` rows, compared in a task (no pair rows), pruned
-   and verified as before.  So no link is lost to the choice of centres.
-   Buckets that stars have joined are done, which keeps this part small.
+   members outside the bucket's largest component against all others, in hashed
+   blocks of about ``BLOCK`` by ``BLOCK`` rows with their signatures and texts.
+   A task prunes and verifies a block's pairs as before and returns only links
+   that join components, so neither pairs nor links multiply.  No link between
+   classes is lost to the choice of centres.  Buckets that stars have joined are
+   done, which keeps this part small.
 
 Each row of a repeated doc_id belongs to that one document: it is linked to
 whatever any of its rows is linked to.
@@ -49,7 +51,7 @@ ROWS = 4
 MISS = 1e-8
 #: Min-hashes compared at once, and members of a block.
 BATCH = 20
-BLOCK = 200
+BLOCK = 1000
 _SLICE = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -196,23 +198,45 @@ def _verify(size: int, threshold: int):
     return run
 
 
-def _meet(threshold: int, hashes: int):
-    """Pairs of probes and others of a block in different components that signatures do not rule out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def block_links(t: pa.Table, size: int, threshold: int, hasher: C.SpanHash) -> list[dict]:
+    """Links of a block's probes to its other rows that join different components, verified on full sets.
 
-    def pairs(key_rows: pa.Table, least: tuple[int, ...]):
-        probe = key_rows.column("probe").to_numpy(zero_copy_only=False)
-        ids, comp = key_rows.column("id").to_numpy(), key_rows.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(key_rows.column("sig").to_pylist()), np.uint32).reshape(-1, hashes)
-        p, o = np.flatnonzero(probe), np.flatnonzero(~probe)
-        for i in p.tolist():
-            j = o[(comp[o] != comp[i])]
-            j = j[plausible(np.broadcast_to(sig[i], (len(j), hashes)), sig[j], least)]
-            for x in ids[j].tolist():
-                yield (int(ids[i]), x) if ids[i] < x else (x, int(ids[i]))
+    A pair that shares an earlier band is left to that band's bucket.  Rows of
+    one component, also of one that a link has just made, are not compared.
+    """
+    probe = t.column("probe").to_numpy(zero_copy_only=False)
+    ids, label, band = t.column("id").to_numpy(), t.column("comp").to_numpy().copy(), int(t.column("band")[0].as_py())
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+    least = least_matches(threshold, sig.shape[1])
+    doc, g = shingles(*C.text_buffer(t.column("text")), size, hasher)
+    values, code = np.unique(g, return_inverse=True)
+    head = np.searchsorted(doc, np.arange(len(ids) + 1))
+    mark, out, others = np.zeros(len(values), bool), [], np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe).tolist():
+        j = others[label[others] != label[i]]
+        if band and len(j):
+            j = j[~(sig[j, :ROWS * band] == sig[i, :ROWS * band]).reshape(len(j), band, ROWS).all(axis=2).any(axis=1)]
+        if len(j):
+            j = j[plausible(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], least)]
+        own = code[head[i]:head[i + 1]]
+        mark[own] = True
+        for x in j.tolist():
+            if label[x] == label[i]:
+                continue
+            theirs = code[head[x]:head[x + 1]]
+            both = int(np.count_nonzero(mark[theirs]))
+            if both and 100 * both >= threshold * (len(own) + len(theirs) - both):
+                out.append({"a": int(min(ids[i], ids[x])), "b": int(max(ids[i], ids[x]))})
+                label[label == label[x]] = label[i]
+        mark[own] = False
+    return out
+
+
+def _meet(size: int, threshold: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        least = least_matches(threshold, hashes)
+        hasher = C.SpanHash(30)
         names, held, at = ["key", "r", "d"], [], None
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -221,13 +245,12 @@ def _meet(threshold: int, hashes: int):
             for x, y in zip(new, [*new[1:], b.num_rows], strict=True):
                 here = tuple(int(w[x]) for w in where)
                 if here != at and held:
-                    found = set(pairs(pa.concat_tables(held), least))
-                    yield pa.RecordBatch.from_pylist([{"a": u, "b": v} for u, v in found], schema)
+                    yield pa.RecordBatch.from_pylist(block_links(pa.concat_tables(held), size, threshold, hasher), schema)
                     held = []
                 at = here
                 held.append(t.slice(x, y - x))
         if held:
-            yield pa.RecordBatch.from_pylist([{"a": u, "b": v} for u, v in set(pairs(pa.concat_tables(held), least))], schema)
+            yield pa.RecordBatch.from_pylist(block_links(pa.concat_tables(held), size, threshold, hasher), schema)
 
     return run
 
@@ -247,12 +270,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
     # buckets of two sets or more; a set is present through its smallest document
     ids = some.join(firsts, (some.k == firsts.id) & (some.s1 == firsts.s1) & (some.s2 == firsts.s2) & (some.n_shingles == firsts.n_shingles)).select("id", "dk", "sig", "bands").dropDuplicates(["id", "dk"])
     ids = C.keep(ids, "minhash-ids")
-    rows = ids.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("key"))
+    rows = ids.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("key", "n")
     members = C.keep(rows.join(sizes, "key"), "minhash-members")
     popular = members.groupBy("id").agg(F.sum("n").alias("popular"))
     centre = members.join(popular, "id").groupBy("key").agg(F.max_by("id", F.struct("popular", -F.col("id"))).alias("centre"))
-    members = members.select("key", "id")
+    members = members.select("key", "band", "id")
     stars = members.join(centre, "key").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
     candidates = members.select("id").distinct()
@@ -271,20 +294,18 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
     # buckets that hold more than one component
     labelled = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     labelled = C.keep(labelled, "minhash-labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("key", "n")
-    rest = labelled.join(open_keys, "key").join(centre, "key")
-    main = rest.filter("id = centre").groupBy("key").agg(F.min("comp").alias("main"))
-    rest = rest.join(main, "key").withColumn("outside", F.col("comp") != F.col("main"))
-    outside = rest.groupBy("key").agg(F.sum(F.col("outside").cast("long")).alias("n_out"))
-    rest = rest.join(outside, "key").withColumns({"r_blocks": F.ceil(F.col("n_out") / BLOCK), "d_blocks": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
-    here = lambda c: F.pmod("h", F.greatest(F.col(c), F.lit(1)))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(c), F.lit(1)) - 1))
-    probes = rest.filter("outside").select("key", "id", "comp", F.lit(True).alias("probe"), here("r_blocks").alias("r"), every("d_blocks").alias("d"))
-    others = rest.select("key", "id", "comp", F.lit(False).alias("probe"), every("r_blocks").alias("r"), here("d_blocks").alias("d"))
-    blocks = probes.unionByName(others).join(sig, "id")
+    of_comp = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = (of_comp.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+                 .filter("comps > 1").select("key", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("n_out")))
+    rest = labelled.join(open_keys, "key").withColumns({"r_blocks": F.ceil(F.col("n_out") / BLOCK), "d_blocks": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
+    here = lambda c: F.pmod("h", F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    probes = rest.filter("comp <> main").select("key", "band", "id", "comp", F.lit(True).alias("probe"), here("r_blocks").alias("r"), every("d_blocks").alias("d"))
+    others = rest.select("key", "band", "id", "comp", F.lit(False).alias("probe"), every("r_blocks").alias("r"), here("d_blocks").alias("d"))
+    blocks = probes.unionByName(others).join(sig, "id").join(texts, "id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = blocks.repartition(parts, "key", "r", "d").sortWithinPartitions("key", "r", "d").mapInArrow(_meet(threshold, hashes), "a long, b long")
-    rest_links = C.keep(linked(C.keep(near.distinct(), "minhash-rest")), "minhash-rest-links")
+    near = blocks.repartition(parts, "key", "r", "d").sortWithinPartitions("key", "r", "d").mapInArrow(_meet(shingle, threshold), "a long, b long")
+    rest_links = C.keep(near.distinct(), "minhash-rest-links")
     found = C.keep(components(star_links.unionByName(rest_links).unionByName(equal)), "minhash-classes")
     return (base.select("k", "dk", "n_shingles").join(found, F.col("k") == F.col("node"), "left")
             .select("k", "dk", "n_shingles", F.coalesce("component", "k").alias("component")))
