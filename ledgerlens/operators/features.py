@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Z_DECIMALS = 9  # z-scores are rounded so rankings agree across engines
-
 
 def _num(c: str) -> Column:
-    # numeric null -> 0.0 before fitting and before scoring
-    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    # numeric null or NaN -> 0.0 before fitting and before scoring
+    x = F.col(c).cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
 
 
 def numeric_stats_wide(ref: DataFrame, keys, numeric) -> DataFrame:
@@ -49,17 +48,26 @@ def category_values(ref: DataFrame, keys, categorical) -> DataFrame:
 
 
 def standardize(df: DataFrame, stats_wide: DataFrame, keys, numeric, prefix: str = "z_") -> DataFrame:
-    """``z = round((coalesce(x, 0) - mean) / std, 9)`` with the group's stats.
+    """``z = (x - mean) / std`` (missing x: 0) with the group's stats.
 
-    Rows of groups without stats are dropped (no model for the group).
+    Rows of groups without stats are dropped (no model for the group; ``scoring.rejected`` lists them).
     """
     j = df.join(stats_wide, list(keys), "inner")
-    zs = [F.round((_num(c) - F.col(f"_mean{i}")) / F.col(f"_std{i}"), Z_DECIMALS).alias(f"{prefix}{c}")
-          for i, c in enumerate(numeric)]
+    zs = [((_num(c) - F.col(f"_mean{i}")) / F.col(f"_std{i}")).alias(f"{prefix}{c}") for i, c in enumerate(numeric)]
     drop = [f"_mean{i}" for i in range(len(numeric))] + [f"_std{i}" for i in range(len(numeric))]
     return j.select("*", *zs).drop(*drop)
 
 
+def with_scale(df: DataFrame, stats_wide: DataFrame, keys, numeric) -> DataFrame:
+    """Adds ``x_<c>`` (missing: 0) and ``s_<c>`` (the group's std): differences of x divided by s are those of z-scores.
+
+    Equal values stay exactly equal.  Rows of groups without stats are dropped, as by ``standardize``.
+    """
+    j = df.join(stats_wide, list(keys), "inner")
+    cols = [x for i, c in enumerate(numeric) for x in (_num(c).alias(f"x_{c}"), F.col(f"_std{i}").alias(f"s_{c}"))]
+    return j.select(*df.columns, *cols)
+
+
 def known_flags(df: DataFrame, ref: DataFrame, keys, categorical, prefix: str = "known_") -> DataFrame:
     """Per categorical feature: does the row's value occur on the group's reference side?
 

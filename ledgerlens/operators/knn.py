@@ -2,29 +2,36 @@
 
 Every query row is matched against the reference rows of its own group
 (equi keys, normally ``(tenant_id, table_name)``) under the squared distance
-F10: ``sum((zq - zt)^2)`` over standardised numerics, plus per categorical
-feature 0 (equal, null = null) / 2 (different, query value known) / 1 (query
-value unseen), plus ``sum((a_i - b_i)^2)`` over an optional dense vector.
-That is the Euclidean distance of the reference's one-hot + z-score space,
-so the triangle inequality holds and pruning by a pivot is exact.
-
-Plan (no pair set of a whole group is ever produced):
-
-1. Identical reference profiles keep only their ``k (+1)`` smallest ids --
-   exact, because ties are broken by id.  The window is planned with a
-   partial WindowGroupLimit, so a hot profile ships <= k rows per map task.
-2. One pivot per group (smallest ``xxhash64(id)`` -- deterministic).  Every
-   row gets ``dp = d(row, pivot)``; rows of a group are bucketed into
-   equi-width cells of ``dp`` sized for ~``cell_rows`` reference rows.
-3. Seeds: each query meets the reference rows of its cell and the two
-   neighbouring cells (equi-join on ``(keys, cell)``).  Its k-th smallest
-   seed distance ``r`` bounds its k-th neighbour distance.
-4. Band: by the triangle inequality every true neighbour has
-   ``|dp_t - dp_q| <= r``; the query is joined to the cells covering that
-   band only, and the exact top-k is taken there (ranked by ``(d2, id)``).
-   Queries with fewer than k seeds (sparse regions) widen the seed window
-   in rounds; only a query whose group has fewer than k candidates at all
-   is joined to its (tiny) group.
+F10: ``sum(((xq - xt) / s)^2)`` over numerics with the group's scale ``s``, plus
+per categorical feature 0 (equal, null = null) / 2 (different, query value
+known) / 1 (query value unseen).  Distances are never rounded before ranking or
+voting: equal features, and only they, are at distance 0; ties go to the smaller
+id.
+
+Plan (no pair set of a group is ever produced):
+
+1. Agreement cells.  For each subset S of the categorical features, the rows of
+   a group with equal values on S form a cell, ordered by the first numeric
+   feature.  The penalty of a pair falls as its agreement grows, so a true
+   neighbour that agrees with the query on exactly S is among the k numerically
+   nearest rows of the query's cell of S: any nearer row of that cell is at
+   least as near in total.
+2. Ordinals.  References and queries are range-partitioned by (cell, value); a
+   running count, with the counts of earlier partitions added, gives every row
+   its position in its cell, so a hot cell (a whole tenant) is counted by many
+   tasks.
+3. Candidates.  A query joins the positions around its own on
+   ``(cell, position block)``: at most ``3 k`` rows for each subset, whatever
+   the group's size or its distribution.  A pair counts in the cell of its exact
+   agreement only, hence once.
+4. With more than one numeric feature the candidates only bound the k-th
+   distance; the rows that can be nearer lie, for each subset whose penalty is
+   within the bound, in a range of the first numeric feature, and are joined by
+   position blocks in the same way.
+
+A dense vector feature has no such order: its pairs are evaluated in tiles of
+query and reference blocks (numpy, partial top-k for each tile), see
+``knn_vectors``.
 
 Top-k is ``row_number() <= k`` per query; Catalyst plans a partial
 WindowGroupLimit before the shuffle, and the query id is a unique key, so no
@@ -34,299 +41,234 @@ partition holds more than one query's candidates per map task.
 from __future__ import annotations
 
 import operator
-import os
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.operators.features import categorical_penalty
 from ledgerlens.session import materialize
 
-DIST_DECIMALS = 9          # squared distances are rounded before ranking
-DEFAULT_CELL_ROWS = 128    # target reference rows per pivot-distance cell
-_EPS = 1e-6                # band slack for floating point
+SCORE_DECIMALS = 9   # vote scores are shares of the group's votes, so this is relative
+BAND_BLOCK = 64      # positions per block of the range join (several numerics)
+TILE_ROWS = 1024     # rows of a block of vectors
 
 
 def _sq(c: Column) -> Column:
     return c * c
 
 
-def pair_d2(a: str, b: str, n_num: int, n_cat: int, has_vec: bool,
-            known: str | None, mask: str | None) -> Column:
+def pair_d2(a: str, b: str, n_num: int, n_cat: int, known: str | None, scale: str | None = None) -> Column:
     """Squared distance between the row prefixed ``a`` and the row prefixed ``b``.
 
-    ``known``: prefix of a's known-value flags (None: all known, i.e. a is a
-    reference row).  ``mask``: prefix of per-group feature-use flags.
+    ``known``: prefix of a's known-value flags (None: all known).  ``scale``: prefix of the
+    divisors of numeric differences (None: 1).
     """
     terms = []
     for i in range(n_num):
-        t = _sq(F.col(f"{a}n{i}") - F.col(f"{b}n{i}"))
-        terms.append(F.when(F.col(f"{mask}mn{i}"), t).otherwise(F.lit(0.0)) if mask else t)
+        d = F.col(f"{a}n{i}") - F.col(f"{b}n{i}")
+        terms.append(_sq(d / F.col(f"{scale}{i}") if scale else d))
     for i in range(n_cat):
-        kn = F.col(f"{known}{i}") if known else F.lit(True)
-        t = categorical_penalty(f"{a}c{i}", f"{b}c{i}", kn)
-        terms.append(F.when(F.col(f"{mask}mc{i}"), t).otherwise(F.lit(0.0)) if mask else t)
-    if has_vec:
-        terms.append(F.aggregate(
-            F.zip_with(F.col(f"{a}v"), F.col(f"{b}v"),
-                       lambda x, y: _sq(x.cast("double") - y.cast("double"))),
-            F.lit(0.0), lambda acc, x: acc + x))
+        terms.append(categorical_penalty(f"{a}c{i}", f"{b}c{i}", F.col(f"{known}{i}") if known else F.lit(True)))
     return reduce(operator.add, terms) if terms else F.lit(0.0)
 
 
-def profile_key(prefix: str, n_cat: int, mask: str | None) -> Column:
-    """Exact, null-safe text key of the categorical values in use (masked features drop out).
+def _cells(df: DataFrame, keys, prefix: str, n_cat: int) -> DataFrame:
+    """One row per subset of categorical features: ``subset`` (bits) and the cell as two 64-bit hashes."""
+    tokens = [F.when(F.col(f"{prefix}c{i}").isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.col(f"{prefix}c{i}"))) for i in range(n_cat)]
+    cells = []
+    for s in range(1 << n_cat):
+        parts = [F.col(k) for k in keys] + [F.lit(s)] + [t for i, t in enumerate(tokens) if s >> i & 1]
+        cells.append(F.struct(F.lit(s).alias("subset"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")))
+    return df.select("*", F.explode(F.array(*cells)).alias("_c")).select(*df.columns, "_c.subset", "_c.h1", "_c.h2")
 
-    Tokens are ``-`` (masked), ``N`` (null) or ``V<len>:<value>``, so the key
-    decodes uniquely and equal keys mean equal used categorical values.
+
+def _positions(refs: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds ``pos``: to references their rank in the cell by (x, t_id), to probes the references before them.
+
+    Both have h1, h2, x; probes also ``side`` (-1: before equal values, 1: after them).
     """
-    toks = []
-    for i in range(n_cat):
-        c = F.col(f"{prefix}c{i}")
-        tok = F.when(c.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.length(c).cast("string"), F.lit(":"), c))
-        if mask:
-            tok = F.when(F.col(f"{mask}mc{i}"), tok).otherwise(F.lit("-"))
-        toks.append(tok)
-    return F.concat_ws("|", *toks) if toks else F.lit("")
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["h1", "h2", "x", "side", "t_id"]
+    both = refs.withColumn("side", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+    ranged = materialize(both.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "knn_ranges")
+    is_ref = (F.col("side") == 0).cast("long")
+    earlier = Window.partitionBy("h1", "h2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = (ranged.groupBy("h1", "h2", "_part").agg(F.sum(is_ref).alias("_n"))
+                     .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
+    inside = Window.partitionBy("_part", "h1", "h2").orderBy("x", "side", "t_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_in", F.sum(is_ref).over(inside)).join(offsets, ["h1", "h2", "_part"])
+    placed = materialize(placed.withColumn("pos", F.col("_before") + F.col("_in")).drop("_in", "_before", "_part"), "knn_positions")
+    return (placed.filter("side = 0").select(*refs.columns, "pos"), placed.filter("side <> 0").select(*probes.columns, "pos"))
+
+
+def _blocks(first: Column, last: Column, size: int) -> Column:
+    """Blocks of positions ``first..last`` (counted from 0), empty if there are none."""
+    lo = F.greatest(first, F.lit(0).cast("long"))
+    return F.when(last >= lo, F.sequence(F.floor(lo / size), F.floor(last / size))).otherwise(F.array().cast("array<bigint>"))
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str,
-             num=(), cat=(), known=(), vec: str | None = None, masks: DataFrame | None = None,
-             num_mask=(), cat_mask=(), k: int = 7, exclude_self: bool = False,
-             cell_rows: int = DEFAULT_CELL_ROWS, materialize_steps: bool = True) -> DataFrame:
+             num=(), scale=(), cat=(), known=(), masks: DataFrame | None = None,
+             num_mask=(), cat_mask=(), k: int = 7, exclude_self: bool = False) -> DataFrame:
     """Exact k nearest reference rows per query row, within equal ``keys``.
 
-    ``num``: numeric (already standardised) columns; ``cat``: categorical
-    columns; ``known``: query-side boolean columns, one per ``cat`` (empty =
-    every value known); ``vec``: dense array column.  Optional ``masks``:
-    one row per group with boolean columns ``num_mask``/``cat_mask`` (feature
-    used in that group).
+    ``num``: numeric columns; ``scale``: query-side divisors, one per ``num`` (empty = 1);
+    ``cat``: categorical columns; ``known``: query-side boolean columns, one per ``cat``
+    (empty = every value known).  Optional ``masks``: one row per group with boolean columns
+    ``num_mask``/``cat_mask`` (feature used in that group).
 
-    Returns ``(keys..., q_id, rank, t_id, t_label, d2, distance)``, ``rank``
-    1..k ordered by ``(round(d2, 9), t_id)``; ``distance = round(sqrt(d2), 6)``.
+    Returns ``(keys..., q_id, rank, t_id, t_label, d2, distance)``, ``rank`` 1..k ordered by
+    ``(d2, t_id)``; ``distance = round(sqrt(d2), 6)``.
     """
     keys = list(keys)
-    n_num, n_cat, has_vec = len(num), len(cat), vec is not None
-
+    n_num, n_cat = len(num), len(cat)
+    keep = k + (1 if exclude_self else 0)
     q = queries.select(*keys, F.col(q_id).alias("q_id"),
                        *[F.col(c).cast("double").alias(f"qn{i}") for i, c in enumerate(num)],
+                       *[(F.col(scale[i]).cast("double") if scale else F.lit(1.0)).alias(f"qs{i}") for i in range(n_num)],
                        *[F.col(c).cast("string").alias(f"qc{i}") for i, c in enumerate(cat)],
-                       *[F.col(c).alias(f"qk{i}") for i, c in enumerate(known)],
-                       *([F.col(vec).alias("qv")] if has_vec else []))
-    if not known:
-        q = q.select("*", *[F.lit(True).alias(f"qk{i}") for i in range(n_cat)])
+                       *[(F.col(known[i]) if known else F.lit(True)).alias(f"qk{i}") for i in range(n_cat)])
     t = refs.select(*keys, F.col(t_id).alias("t_id"), F.col(t_label).alias("t_label"),
                     *[F.col(c).cast("double").alias(f"tn{i}") for i, c in enumerate(num)],
-                    *[F.col(c).cast("string").alias(f"tc{i}") for i, c in enumerate(cat)],
-                    *([F.col(vec).alias("tv")] if has_vec else []))
-
-    # 1. identical profiles: keep the k (+1 with self-exclusion) smallest ids
-    profile = [f"tn{i}" for i in range(n_num)] + [f"tc{i}" for i in range(n_cat)]
-    if has_vec:
-        profile.append("tv")
-    keep = k + (1 if exclude_self else 0)
-    if profile:
-        wp = Window.partitionBy(*keys, *profile).orderBy("t_id")
-        t = t.withColumn("_pr", F.row_number().over(wp)).filter(F.col("_pr") <= keep).drop("_pr")
-
-    # 2. pivot per group + per-group feature masks
-    pw = Window.partitionBy(*keys).orderBy(F.xxhash64("t_id"), "t_id")
-    piv = (t.withColumn("_pr", F.row_number().over(pw)).filter("_pr = 1")
-             .select(*keys, *[F.col(f"tn{i}").alias(f"pn{i}") for i in range(n_num)],
-                     *[F.col(f"tc{i}").alias(f"pc{i}") for i in range(n_cat)],
-                     *([F.col("tv").alias("pv")] if has_vec else [])))
-    mask = None
-    if masks is not None:
-        piv = piv.join(masks.select(*keys, *[F.col(c).alias(f"pmn{i}") for i, c in enumerate(num_mask)],
-                                    *[F.col(c).alias(f"pmc{i}") for i, c in enumerate(cat_mask)]),
-                       keys, "left")
-        piv = piv.select(*keys, *[c for c in piv.columns if c not in keys and not c.startswith("pm")],
-                         *[F.coalesce(F.col(f"pmn{i}"), F.lit(True)).alias(f"pmn{i}") for i in range(n_num)],
-                         *[F.coalesce(F.col(f"pmc{i}"), F.lit(True)).alias(f"pmc{i}") for i in range(n_cat)])
-        mask = "p"
-    pcols = [c for c in piv.columns if c not in keys]
-    mcols = [c for c in pcols if c.startswith("pm")]
-
-    tp = (t.join(piv, keys, "inner")
-           .withColumn("t_dp", F.sqrt(pair_d2("t", "p", n_num, n_cat, has_vec, None, mask)))
-           .withColumn("prof", profile_key("t", n_cat, mask))
-           .drop(*pcols))
-    qp = (q.join(piv, keys, "inner")
-           .withColumn("q_dp", F.sqrt(pair_d2("q", "p", n_num, n_cat, has_vec, "qk", mask)))
-           .withColumn("q_prof", profile_key("q", n_cat, mask)))
-    # the query side carries the group's masks into every pair
-    qp = qp.select(*[c for c in qp.columns if c not in pcols or c in mcols])
-    qp = qp.select(*[F.col(c).alias("q" + c[1:]) if c in mcols else F.col(c) for c in qp.columns])
-    pmask = "q" if masks is not None else None
-
-    # cells of the pivot distance, per group
-    g = (tp.groupBy(*keys)
-           .agg(F.min("t_dp").alias("g_lo"), F.max("t_dp").alias("g_hi"), F.count(F.lit(1)).alias("g_n"))
-           .withColumn("g_nc", F.greatest(F.lit(1), F.ceil(F.col("g_n") / F.lit(cell_rows))).cast("long"))
-           .withColumn("g_w", F.when(F.col("g_hi") > F.col("g_lo"),
-                                     (F.col("g_hi") - F.col("g_lo")) / F.col("g_nc")).otherwise(F.lit(1.0))))
-
-    def cell_of(dp: Column) -> Column:
-        raw = F.floor((dp - F.col("g_lo")) / F.col("g_w"))
-        return F.least(F.col("g_nc") - 1, F.greatest(F.lit(0), raw)).cast("long")
-
-    tc = tp.join(g.select(*keys, "g_lo", "g_w", "g_nc"), keys).withColumn("cell", cell_of(F.col("t_dp")))
-    tc = tc.drop("g_lo", "g_w", "g_nc")
-    qc = qp.join(g, keys).withColumn("q_cell", cell_of(F.col("q_dp")))
-    if materialize_steps:
-        # both sides are read three times (seeds, band, fallback): write once
-        tc = materialize(tc, "knn_ref_cells")
-        qc = materialize(qc, "knn_query_cells")
-
-    tfeat = [c for c in tc.columns if c.startswith("tn") or c.startswith("tc") or c == "tv"]
-
-    def not_self(df: DataFrame) -> DataFrame:
-        return df.filter(F.col("q_id") != F.col("t_id")) if exclude_self else df
-
-    def d2_of(df: DataFrame) -> DataFrame:
-        return df.withColumn("d2", F.round(pair_d2("q", "t", n_num, n_cat, has_vec, "qk", pmask),
-                                           DIST_DECIMALS))
-
-    # 3. seeds: a bounded sample (by hash; 4k rows per cell when a categorical
-    #    profile sample follows, else cell_rows) of the own cell and its two
-    #    neighbours.  Any k candidates bound the k-th
-    #    neighbour distance, so the sample keeps the result exact and bounds
-    #    the work per query even for dense cells.
-    ws = Window.partitionBy(*keys, "cell").orderBy(F.xxhash64("t_id"), "t_id")
-    seed_rows = max(4 * k, 16) if n_cat else cell_rows
-    sample = (tc.select(*keys, "cell", "t_id", *tfeat)
-                .withColumn("_sr", F.row_number().over(ws)).filter(F.col("_sr") <= seed_rows)
-                .drop("_sr"))
-    seeds = qc.withColumn("cell", F.explode(F.sequence(
-        F.greatest(F.lit(0).cast("long"), F.col("q_cell") - 1),
-        F.least(F.col("g_nc") - 1, F.col("q_cell") + 1))))
-    near = seeds
-    seeds = d2_of(not_self(seeds.join(sample, keys + ["cell"])))
-    if n_cat:
-        # plus up to cell_rows rows of the query's own categorical profile per
-        # cell (disjoint from the sample above): those are the likely
-        # neighbours, so the radius gets tight enough for the profile band
-        wsp = Window.partitionBy(*keys, "cell", "prof").orderBy(F.xxhash64("t_id"), "t_id")
-        sample_p = (tc.select(*keys, "cell", "prof", "t_id", *tfeat)
-                      .withColumn("_sr", F.row_number().over(wsp)).filter(F.col("_sr") <= cell_rows)
-                      .drop("_sr")
-                      .join(sample.select(*keys, "t_id"), keys + ["t_id"], "left_anti"))
-        seeds_p = d2_of(not_self(near.withColumn("prof", F.col("q_prof"))
-                                     .join(sample_p, keys + ["cell", "prof"]).drop("prof")))
-        seeds = seeds.unionByName(seeds_p)
-    radius = seed_radius(seeds, keys, k)
-    qr = qc.join(radius, keys + ["q_id"], "left")
-    if materialize_steps:
-        qr = materialize(qr, "knn_query_radius")
-    resolved = qr.filter(F.col("n_seed") >= k)
-    unresolved = qr.filter(F.col("n_seed").isNull() | (F.col("n_seed") < k))
-
-    # 3b. queries with fewer than k seeds (sparse regions) widen their seed
-    #     window in rounds (+-4, +-16, ... cells).  A query whose window already
-    #     spans its whole group and still has < k seeds is in a group with
-    #     fewer than k candidates: it is joined to that (tiny) group directly.
-    base_cols = [c for c in qr.columns if c not in ("n_seed", "r2")]
-    m, half = 1, 4
-    while unresolved.limit(1).count():
-        spans = (2 * m + 1) >= F.col("g_nc")
-        widen = unresolved.filter(~spans).select(*base_cols)
-        if not widen.limit(1).count():
-            break
-        ring = widen.withColumn("cell", F.explode(F.sequence(
-            F.greatest(F.lit(0).cast("long"), F.col("q_cell") - half),
-            F.least(F.col("g_nc") - 1, F.col("q_cell") + half))))
-        ring = d2_of(not_self(ring.join(sample, keys + ["cell"])))
-        qw = widen.join(seed_radius(ring, keys, k), keys + ["q_id"], "left")
-        if materialize_steps:
-            qw = materialize(qw, "knn_query_radius_wide")
-        resolved = resolved.unionByName(qw.filter(F.col("n_seed") >= k))
-        unresolved = (unresolved.filter(spans)
-                      .unionByName(qw.filter(F.col("n_seed").isNull() | (F.col("n_seed") < k))))
-        m, half = half, half * 4
-
-    # 4. band of cells around dp_q of half-width r (exact by the triangle
-    #    inequality); only pairs with d2 <= r2 can be in the top k, so the
-    #    ranking window sees about k rows per query.
-    #    Every categorical mismatch in use costs >= 1, so a query with r2 < 1
-    #    can only have neighbours with its exact categorical profile: those
-    #    queries join the band on (keys, cell, profile) -- still exact, and
-    #    the profile splits the cell's rows by the categorical combinations.
-    r = F.sqrt(F.col("r2")) + F.lit(_EPS)
-    band = resolved.withColumn("cell", F.explode(F.sequence(cell_of(F.col("q_dp") - r),
-                                                           cell_of(F.col("q_dp") + r))))
-    if n_cat:
-        same = F.col("r2") < F.lit(1.0)
-        band_p = (band.filter(same).withColumn("prof", F.col("q_prof"))
-                      .join(tc, keys + ["cell", "prof"]).drop("prof"))
-        band_g = band.filter(~same).join(tc.drop("prof"), keys + ["cell"])
-        band = band_p.unionByName(band_g)
-    else:
-        band = band.join(tc.drop("prof"), keys + ["cell"])
-    band = band.filter(F.abs(F.col("t_dp") - F.col("q_dp")) <= r)
-    band = d2_of(not_self(band))
-    if os.environ.get("LEDGERLENS_TRACE"):
-        print(f"[knn] band_pairs_before_r2_filter={band.count()}", flush=True)
-    band = band.filter(F.col("d2") <= F.col("r2"))
-    rest = d2_of(not_self(unresolved.join(tc.drop("cell", "prof"), keys)))   # groups with < k candidates
-    cols = keys + ["q_id", "t_id", "t_label", "d2"]
-    pairs = band.select(*cols).unionByName(rest.select(*cols))
-    if os.environ.get("LEDGERLENS_TRACE"):
-        nq = qc.count()
-        print(f"[knn] queries={nq} seeds={seeds.count()} band_cells={band.count()} "
-              f"fallback={rest.count()} refs={tc.count()}", flush=True)
-
-    wq = Window.partitionBy(*keys, "q_id").orderBy("d2", "t_id")
-    top = (pairs.withColumn("rank", F.row_number().over(wq)).filter(F.col("rank") <= k)
-                .select(*keys, "q_id", "rank", "t_id", "t_label", "d2",
-                        F.round(F.sqrt("d2"), 6).alias("distance")))
-    return top
-
-
-_ZERO_BUCKET = -(1 << 20)
-
-
-def seed_radius(seeds: DataFrame, keys, k: int) -> DataFrame:
-    """Upper bound ``r2`` of the k-th smallest seed ``d2`` per query.
-
-    Seeds are counted per query in quarter-octave buckets of ``d2`` (a hash
-    aggregate with map-side partial counts, no sort of the pairs); the upper
-    edge of the bucket where the running count reaches k is a valid radius:
-    at least k seeds lie within it.  It is at most 2^(1/4) above the exact
-    k-th value.  Queries with fewer than k seeds get no row.
+                    *[F.col(c).cast("string").alias(f"tc{i}") for i, c in enumerate(cat)])
+    if masks is not None:  # unused features are equal in all rows of the group
+        m = masks.select(*keys, *[F.col(c).alias(f"_mn{i}") for i, c in enumerate(num_mask)], *[F.col(c).alias(f"_mc{i}") for i, c in enumerate(cat_mask)])
+
+        def blank(df: DataFrame, side: str) -> DataFrame:
+            out = df.join(m, keys, "left")
+            use = lambda c: F.coalesce(F.col(c), F.lit(True))
+            for i in range(n_num):
+                out = out.withColumn(f"{side}n{i}", F.when(use(f"_mn{i}"), F.col(f"{side}n{i}")).otherwise(F.lit(0.0)))
+            for i in range(n_cat):
+                out = out.withColumn(f"{side}c{i}", F.when(use(f"_mc{i}"), F.col(f"{side}c{i}")))
+            return out.select(*df.columns)
+
+        q, t = blank(q, "q"), blank(t, "t")
+
+    # 1. cells; of equal rows of a cell only the smallest ids can be neighbours
+    nums = [f"tn{i}" for i in range(n_num)]
+    tc = _cells(t, keys, "t", n_cat).drop(*keys).withColumn("x", F.col("tn0") if n_num else F.lit(0.0))
+    wp = Window.partitionBy("h1", "h2", *nums).orderBy("t_id")
+    tc = tc.withColumn("_r", F.row_number().over(wp)).filter(F.col("_r") <= keep).drop("_r", "subset")
+    # without numerics the smallest ids are nearest: the query stands before them
+    qc = _cells(q, keys, "q", n_cat).withColumn("x", F.col("qn0") if n_num else F.lit(-1.0)).withColumn("side", F.lit(1))
+
+    # 2. positions
+    rp, qp = _positions(tc, qc)
+
+    def matched(probes: DataFrame, size: int) -> DataFrame:
+        """Pairs of probes (with from, to: positions from 0) and references, each in the cell of its agreement."""
+        r = rp.drop("x").withColumn("block", F.floor((F.col("pos") - 1) / size))
+        p = probes.select("*", F.explode(_blocks(F.col("from"), F.col("to"), size)).alias("block")).drop("x", "side", "pos")
+        pairs = p.join(r, ["h1", "h2", "block"]).filter((F.col("pos") - 1).between(F.col("from"), F.col("to")))
+        bits = [F.col(f"qc{i}").eqNullSafe(F.col(f"tc{i}")).cast("int") * (1 << i) for i in range(n_cat)]
+        pairs = pairs.filter(F.col("subset") == (reduce(operator.add, bits) if bits else F.lit(0)))
+        if exclude_self:
+            pairs = pairs.filter(F.col("q_id") != F.col("t_id"))
+        return pairs.withColumn("d2", pair_d2("q", "t", n_num, n_cat, "qk", "qs"))
+
+    def top(pairs: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys, "q_id").orderBy("d2", "t_id")
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    # 3. the nearest positions: equal values stand in order of ids, at most `keep` of them,
+    #    so 2 keep - 1 rows below and at the query's value hold the `keep` nearest of that side
+    pos = F.col("pos")
+    best = top(matched(qp.withColumn("from", pos - (2 * keep - 1)).withColumn("to", pos + (keep - 1)), 2 * keep))
+
+    # 4. several numerics: all rows of the range that the k-th distance leaves open
+    if n_num > 1:
+        best = materialize(best.select(*keys, "q_id", "rank", "d2"), "knn_bound")
+        bound = best.groupBy(*keys, "q_id").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("_n"))
+        bound = bound.select(*keys, "q_id", F.when(F.col("_n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
+        penalty = reduce(operator.add, [F.when(F.col("subset").bitwiseAND(1 << i) > 0, F.lit(0.0)).when(F.col(f"qk{i}"), F.lit(2.0)).otherwise(F.lit(1.0))
+                                        for i in range(n_cat)], F.lit(0.0))
+        wide = qc.drop("x", "side").join(bound, [*keys, "q_id"]).withColumn("_left", F.col("bound") - penalty).filter(F.col("_left") >= 0)
+        reach = F.sqrt("_left") * F.col("qs0") * (1 + 1e-9)
+        ends = wide.select("*", F.explode(F.array(F.struct(F.lit(-1).alias("side"), (F.col("qn0") - reach).alias("x")),
+                                                  F.struct(F.lit(1).alias("side"), (F.col("qn0") + reach).alias("x")))).alias("_e")).select(*wide.columns, "_e.*")
+        rp, ep = _positions(tc, ends)
+        by = [c for c in qc.columns if c not in ("x", "side")] + ["bound"]
+        span = ep.groupBy(*by).agg(F.min("pos").alias("from"), (F.max("pos") - 1).alias("to"))
+        best = top(matched(span, BAND_BLOCK).filter(F.col("d2") <= F.col("bound")))
+    return best.select(*keys, "q_id", "rank", "t_id", "t_label", "d2", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+def knn_vectors(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str, vec: str,
+                k: int = 7, exclude_self: bool = False) -> DataFrame:
+    """``knn_join`` over a dense vector: exact squared Euclidean distance, in tiles.
+
+    In many dimensions no order prunes pairs, so all pairs of a group are evaluated, block by
+    block (``TILE_ROWS`` rows a side) in numpy; a tile returns its ``k`` best rows per query.
+    Rows without a vector have no neighbours and are none.
     """
-    b = (F.when(F.col("d2") <= 0, F.lit(_ZERO_BUCKET))
-          .otherwise(F.floor(F.log2("d2") * 4)).cast("int").alias("_b"))
-    hist = seeds.groupBy(*keys, "q_id", b).agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.partitionBy(*keys, "q_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_n").over(run))
-    first = hist.filter(F.col("_cum") >= k).groupBy(*keys, "q_id").agg(F.min("_b").alias("_bk"))
-    r2 = F.when(F.col("_bk") == _ZERO_BUCKET, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), (F.col("_bk") + 1) / 4.0))
-    return first.select(*keys, "q_id", F.lit(k).cast("long").alias("n_seed"), r2.alias("r2"))
+    keys = list(keys)
+
+    def side(df: DataFrame, id_col: str, label, is_query: bool) -> DataFrame:
+        return df.filter(F.col(vec).isNotNull()).select(*keys, F.col(id_col).alias("id"), label.alias("label"), F.col(vec).cast("array<double>").alias("v"), F.lit(is_query).alias("is_query"))
+
+    both = side(queries, q_id, F.lit(None).cast("string"), True).unionByName(side(refs, t_id, F.col(t_label).cast("string"), False))
+    blocks = both.groupBy(*keys).agg(*[F.ceil(F.count_if(F.col("is_query") == flag) / TILE_ROWS).alias(c) for c, flag in (("nq", True), ("nt", False))])
+    h = F.xxhash64("id")
+    all_of = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.col(c), F.lit(1)) - 1)
+    own = lambda c: F.array(F.pmod(h, F.greatest(F.col(c), F.lit(1))))
+    tiles = (both.join(blocks, keys)
+             .withColumn("qb", F.explode(F.when(F.col("is_query"), own("nq")).otherwise(all_of("nq"))))
+             .withColumn("tb", F.explode(F.when(F.col("is_query"), all_of("nt")).otherwise(own("nt")))).drop("nq", "nt"))
+    schema = T.StructType([*[both.schema[c] for c in keys], T.StructField("q_id", both.schema["id"].dataType), T.StructField("t_id", both.schema["id"].dataType),
+                           T.StructField("t_label", T.StringType()), T.StructField("d2", T.DoubleType())])
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, ts = pdf[pdf["is_query"]], pdf[~pdf["is_query"]].sort_values("id")
+        if not len(qs) or not len(ts):
+            return pd.DataFrame({f.name: [] for f in schema.fields}).astype({"d2": float})
+        q, t = np.stack(qs["v"].to_numpy()), np.stack(ts["v"].to_numpy())
+        out = []
+        for a in range(0, len(q), 64):
+            d2 = np.zeros((min(64, len(q) - a), len(t)))
+            for c in range(q.shape[1]):  # summed in the order of the vector
+                d2 += np.square(q[a:a + 64, c][:, None] - t[:, c][None, :])
+            if exclude_self:
+                d2[qs["id"].to_numpy()[a:a + 64][:, None] == ts["id"].to_numpy()[None, :]] = np.inf
+            at = np.argsort(d2, axis=1, kind="stable")[:, :k]  # equal distances: smaller id first
+            i, j = np.repeat(np.arange(len(d2)), at.shape[1]), at.ravel()
+            out.append(pd.DataFrame({"q_id": qs["id"].to_numpy()[a + i], "t_id": ts["id"].to_numpy()[j], "t_label": ts["label"].to_numpy()[j], "d2": d2[i, j]}))
+        res = pd.concat(out)
+        for c in keys:
+            res[c] = pdf[c].iloc[0]
+        return res[np.isfinite(res["d2"])][[f.name for f in schema.fields]]
+
+    pairs = tiles.groupBy(*keys, "qb", "tb").applyInPandas(tile, schema)
+    w = Window.partitionBy(*keys, "q_id").orderBy("d2", "t_id")
+    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                 .select(*keys, "q_id", "rank", "t_id", "t_label", "d2", F.round(F.sqrt("d2"), 6).alias("distance")))
 
 
 def vote(neighbors: DataFrame, keys, weights: str = "distance") -> DataFrame:
     """Class vote over the k neighbours of each query.
 
     uniform: weight 1.  distance: weight ``1/d``; if any neighbour is at
-    distance 0, only those vote (weight 1).  Winner by (score desc, label asc).
+    distance 0, only those vote (weight 1).  ``score`` is the class's share of
+    all weights; winner by (score desc, label asc).
     Returns ``(keys..., q_id, prediction, score)``.
     """
     keys = list(keys)
     wq = Window.partitionBy(*keys, "q_id")
+    near = F.min("d2").over(wq)
     if weights == "uniform":
         w = F.lit(1.0)
-    elif weights == "distance":
-        has_zero = F.min("d2").over(wq) == 0
-        w = F.when(has_zero, F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))) \
-             .otherwise(F.lit(1.0) / F.sqrt("d2"))
+    elif weights == "distance":  # relative to the nearest, so the scale of the features does not matter
+        w = F.when(near == 0, F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.sqrt(near / F.col("d2")))
     else:
         raise ValueError(f"unknown weights {weights!r}")
-    s = (neighbors.withColumn("_w", w)
-         .groupBy(*keys, "q_id", "t_label").agg(F.round(F.sum("_w"), DIST_DECIMALS).alias("score")))
-    wr = Window.partitionBy(*keys, "q_id").orderBy(F.col("score").desc(), F.col("t_label").asc())
-    return (s.withColumn("_r", F.row_number().over(wr)).filter("_r = 1")
-             .select(*keys, "q_id", F.col("t_label").alias("prediction"), "score"))
+    s = (neighbors.withColumn("_w", w).withColumn("_w", F.col("_w") / F.sum("_w").over(wq))
+         .groupBy(*keys, "q_id", "t_label").agg(F.round(F.sum("_w"), SCORE_DECIMALS).alias("score")))
+    win = s.groupBy(*keys, "q_id").agg(F.min_by(F.struct("t_label", "score"), F.struct((-F.col("score")).alias("a"), F.col("t_label").alias("b"))).alias("_w"))
+    return win.select(*keys, "q_id", F.col("_w.t_label").alias("prediction"), F.col("_w.score").alias("score"))
 
 
 def distance_stats(neighbors: DataFrame, keys) -> DataFrame:

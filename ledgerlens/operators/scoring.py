@@ -35,7 +35,8 @@ class Model:
 
 def feature_mask(ref: DataFrame, keys, features) -> DataFrame:
     """P10 per group: a feature is used unless constant (null counts as a value)."""
-    aggs = [((F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))) > 1).alias(f"use_{c}")
+    # two different values, or a value and a null; min and max aggregate map-side
+    aggs = [F.coalesce((F.min(c) != F.max(c)) | (F.max(F.col(c).isNull()) & F.max(c).isNotNull()), F.lit(False)).alias(f"use_{c}")
             for c in features]
     return ref.groupBy(*keys).agg(*aggs) if aggs else ref.select(*keys).distinct()
 
@@ -74,13 +75,17 @@ def neighbors(model: Model, queries: DataFrame, *, exclude_self: bool = False,
               k: int | None = None) -> DataFrame:
     """C3 + J9: standardise, flag unseen categories, exact k nearest reference rows."""
     spec, keys = model.spec, list(model.spec.group_keys)
-    qz = fe.standardize(queries, model.stats, keys, spec.numeric)
-    qz = fe.known_flags(qz, model.ref, keys, spec.categorical)
-    rz = fe.standardize(model.ref, model.stats, keys, spec.numeric)
+    if spec.vector:
+        if spec.numeric or spec.categorical:
+            raise ValueError("a vector feature stands alone")
+        return knn.knn_vectors(queries.join(model.stats.select(*keys), keys, "left_semi"), model.ref, keys=keys, q_id=spec.id_col, t_id=spec.id_col,
+                               t_label=spec.target, vec=spec.vector, k=k or spec.k, exclude_self=exclude_self)
+    qz = fe.known_flags(fe.with_scale(queries, model.stats, keys, spec.numeric), model.ref, keys, spec.categorical)
+    rz = fe.with_scale(model.ref, model.stats, keys, spec.numeric)
     return knn.knn_join(
         qz, rz, keys=keys, q_id=spec.id_col, t_id=spec.id_col, t_label=spec.target,
-        num=[f"z_{c}" for c in spec.numeric], cat=list(spec.categorical),
-        known=[f"known_{c}" for c in spec.categorical], vec=spec.vector,
+        num=[f"x_{c}" for c in spec.numeric], scale=[f"s_{c}" for c in spec.numeric], cat=list(spec.categorical),
+        known=[f"known_{c}" for c in spec.categorical],
         masks=model.mask, num_mask=[f"use_{c}" for c in spec.numeric],
         cat_mask=[f"use_{c}" for c in spec.categorical],
         k=k or spec.k, exclude_self=exclude_self)

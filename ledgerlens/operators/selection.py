@@ -4,26 +4,28 @@ elimination (T5-T7, W6, W7, A10, A27-A29, C7-C10).
 Random orders are md5 orders of ``id || '|' || seed`` (declared divergence
 D1): deterministic, identical in every engine, and computable per row.
 
-Cross-validation of every configuration of a round is one kNN job: fold and
-candidate feature subset are extra group keys, a candidate is a per-group
-feature mask, and k in {3,5,7,9} are prefixes of one top-9 neighbour list.
-So 8 configs x F candidates x 5 folds cost one neighbour join instead of
-8*F*5 model fits.
+Cross-validation of every configuration of a round is one job with one neighbour
+pass per (group, fold): the distance is a sum of per-feature terms, a candidate
+feature subset only adds up fewer of them, and k in {3,5,7,9} are prefixes of one
+top-9 list.  It runs on the selection sample, at most ``SELECTION_SAMPLE_ROWS``
+(10 000) labelled rows of a group, so a task's input is bounded.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.config import (BEST_MINIMAL_TOLERANCE, CV_FOLDS, CV_SEED, EARLY_STOP_ROUNDS,
                                ELIMINATION_TOLERANCE, SELECTION_K_OPTIONS, SELECTION_MIN_PER_CLASS,
                                SELECTION_SAMPLE_ROWS, SELECTION_WEIGHT_OPTIONS)
-from ledgerlens.operators import features as fe
-from ledgerlens.operators import knn
 from ledgerlens.session import materialize
 
 ACC_DECIMALS = 9
+SCORE_ROWS = 256   # rows scored at once in a task
 
 
 def md5_order(id_col: str, seed: int = CV_SEED) -> Column:
@@ -104,93 +106,97 @@ def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric
     return mi.withColumn("mi_rank", F.row_number().over(wr))
 
 
-def impute_median(q: DataFrame, r: DataFrame, keys, numeric) -> tuple[DataFrame, DataFrame]:
-    """C4: numeric nulls -> median of the training folds (quirk Q2 fixed), both sides."""
-    if not numeric:
-        return q, r
-    keys = list(keys)
-    med = r.groupBy(*keys).agg(*[F.median(c).alias(f"_med{i}") for i, c in enumerate(numeric)])
-
-    def fill(df):
-        j = df.join(med, keys, "left")
-        for i, c in enumerate(numeric):
-            j = j.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med{i}")))
-        return j.drop(*[f"_med{i}" for i in range(len(numeric))])
-
-    return fill(q), fill(r)
-
-
-def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str, target: str,
-                numeric=(), categorical=(), k_options=SELECTION_K_OPTIONS,
-                weight_options=SELECTION_WEIGHT_OPTIONS, folds: int = CV_FOLDS) -> DataFrame:
-    """Mean CV accuracy of every (candidate, k, weights) per group, in one job.
-
-    ``sample`` carries a ``fold`` column; ``candidates``: ``(keys, cand,
-    use_<feature>...)`` -- one row per feature subset to evaluate.
-    Returns ``(keys, cand, k, weights, mean_accuracy, n_folds)``.
+def _nearest(d2: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of each row, by (value, column)."""
+    k = min(k, d2.shape[1])
+    limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
+    r, c = np.nonzero(d2 <= limit[:, None])
+    order = np.lexsort((c, d2[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, np.arange(len(d2)))
+    return c[first[:, None] + np.arange(k)]
+
+
+def _fold_scorer(keys, id_col, target, numeric, categorical, k_options, weight_options, schema):
+    """(rows of a group with the fold to score, candidates) -> correct answers of every configuration."""
+
+    def score(key, rows: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        is_q = (rows["fold"] == rows["fold_g"]).to_numpy()
+        q, r = rows[is_q], rows[~is_q].sort_values(id_col)
+        if not len(q) or not len(r) or not len(cands):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        labels = sorted(r[target].unique())
+        code = {x: i for i, x in enumerate(labels)}
+        r_label = r[target].map(code).to_numpy()
+        truth = q[target].map(code).fillna(-1).astype(int).to_numpy()
+        parts = []  # (query values, reference values, scale) or (query codes, reference codes, penalty)
+        for c in numeric:
+            t = r[c].to_numpy(float)
+            med = np.nanmedian(t) if not np.isnan(t).all() else 0.0
+            t, x = np.where(np.isnan(t), med, t), q[c].to_numpy(float)
+            parts.append((np.where(np.isnan(x), med, x), t, t.std() or 1.0))
+        for c in categorical:
+            codes, _ = pd.factorize(rows[c], use_na_sentinel=False)
+            x, t = codes[is_q], codes[~is_q][np.argsort(rows[~is_q][id_col].to_numpy(), kind="stable")]
+            parts.append((x, t, np.where(np.isin(x, t), 2.0, 1.0)))
+        names = [*numeric, *categorical]
+        correct = {(cand, k, w): 0 for cand in cands["cand"] for k in k_options for w in weight_options}
+        for a in range(0, len(q), SCORE_ROWS):
+            terms = []
+            for i, (x, t, s) in enumerate(parts):
+                if i < len(numeric):
+                    terms.append(np.square((x[a:a + SCORE_ROWS, None] - t[None, :]) / s))
+                else:
+                    terms.append(np.where(x[a:a + SCORE_ROWS, None] == t[None, :], 0.0, s[a:a + SCORE_ROWS, None]))
+            for row in cands.itertuples(index=False):
+                d2 = np.zeros((len(terms[0]), len(r)))
+                for name, term in zip(names, terms, strict=True):
+                    if getattr(row, f"use_{name}"):
+                        d2 += term
+                at = _nearest(d2, max(k_options))
+                near, lab = np.take_along_axis(d2, at, 1), r_label[at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    by_distance = np.where(near[:, :1] == 0, (near == 0).astype(float), np.sqrt(near[:, :1] / near))
+                for w in weight_options:
+                    votes = np.ones_like(near) if w == "uniform" else by_distance
+                    total, done = np.zeros((len(near), len(labels))), 0
+                    for k in sorted(k_options):
+                        for j in range(done, min(k, near.shape[1])):
+                            total[np.arange(len(near)), lab[:, j]] += votes[:, j]
+                        done = k
+                        correct[row.cand, k, w] += int((total.round(ACC_DECIMALS).argmax(axis=1) == truth[a:a + SCORE_ROWS]).sum())
+        out = pd.DataFrame([(*key[:-1], cand, k, w, key[-1], len(q), n) for (cand, k, w), n in correct.items()], columns=[f.name for f in schema.fields])
+        return out
+
+    return score
+
+
+def cv_fold_scores(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str, target: str,
+                   numeric=(), categorical=(), k_options=SELECTION_K_OPTIONS,
+                   weight_options=SELECTION_WEIGHT_OPTIONS, folds: int = CV_FOLDS) -> DataFrame:
+    """C7/A27 per fold: right answers of every (candidate, k, weights), one neighbour pass per fold.
+
+    ``sample`` is the selection sample (at most ``SELECTION_SAMPLE_ROWS`` rows per group) with a
+    ``fold`` column; a task scores one fold of one group.  The terms of all features are
+    computed once for a block of rows; a candidate only adds up those it uses.  Numeric nulls
+    are imputed by the training folds' median (C4, quirk Q2 fixed).
+    Returns ``(keys, cand, k, weights, fold, n_rows, n_correct)``.
     """
     keys = list(keys)
-    feats = list(numeric) + list(categorical)
-    use_cols = [f"use_{c}" for c in feats]
-    q = sample.withColumn("fold_g", F.col("fold"))
-    r = (sample.withColumn("fold_g", F.explode(F.array(*[F.lit(i) for i in range(folds)])))
-               .filter(F.col("fold_g") != F.col("fold")))
-    # candidates travel as a small int id (the name is a long feature list)
-    names = candidates.select("cand").distinct().withColumn(
-        "cand_id", F.dense_rank().over(Window.orderBy("cand")).cast("int"))
-    cand = candidates.join(names, "cand").select(*keys, "cand_id", *use_cols)
-    q = q.join(cand.select(*keys, "cand_id"), keys)
-    r = r.join(cand.select(*keys, "cand_id"), keys)
-    k2 = keys + ["fold_g", "cand_id"]
-    q, r = impute_median(q, r, k2, numeric)
-    r = materialize(r, "cv_fold_refs")          # every row x (folds - 1) x candidates
-    stats = fe.numeric_stats_wide(r, k2, numeric)
-    qz = materialize(fe.known_flags(fe.standardize(q, stats, k2, numeric), r, k2, categorical), "cv_fold_queries")
-    rz = fe.standardize(r, stats, k2, numeric)
-    masks = cand.join(q.select(*keys, "fold_g", "cand_id").distinct(), keys + ["cand_id"])
-    nb = knn.knn_join(qz, rz, keys=k2, q_id=id_col, t_id=id_col, t_label=target,
-                      num=[f"z_{c}" for c in numeric], cat=list(categorical),
-                      known=[f"known_{c}" for c in categorical], masks=masks,
-                      num_mask=[f"use_{c}" for c in numeric], cat_mask=[f"use_{c}" for c in categorical],
-                      k=max(k_options))
-    nb = materialize(nb, "cv_neighbors")
-    acc = _config_accuracy(nb, q, keys, k2, id_col, target, k_options, weight_options)
-    out = (acc.groupBy(*keys, "cand_id", "k", "weights")
-              .agg(F.round(F.avg("fold_accuracy"), ACC_DECIMALS).alias("mean_accuracy"),
-                   F.count(F.lit(1)).alias("n_folds")))
-    return out.join(names, "cand_id").select(*keys, "cand", "k", "weights", "mean_accuracy", "n_folds")
-
-
-def _config_accuracy(nb: DataFrame, q: DataFrame, keys, k2, id_col: str, target: str,
-                     k_options, weight_options) -> DataFrame:
-    """Mean fold accuracy of every (k, weights) from one ranked neighbour list, aggregations only.
-
-    The rank-1 neighbour has the smallest distance, so "some neighbour is at
-    distance 0" is the same for every prefix k; each config's class score is
-    a conditional sum over ranks <= k, and its winner is ``min_by`` on
-    ``(-score, label)`` (highest score, then smallest label).
-    """
-    first = nb.filter(F.col("rank") == 1).select(*k2, "q_id", (F.col("d2") == 0).alias("_zero"))
-    w_dist = F.when(F.col("_zero"), F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))) \
-              .otherwise(F.lit(1.0) / F.sqrt("d2"))
-    nbw = nb.join(first, k2 + ["q_id"]).withColumn("_wd", w_dist)
-    configs = [(k, w) for k in k_options for w in weight_options]
-    sums = []
-    for k, w in configs:
-        val = F.lit(1.0) if w == "uniform" else F.col("_wd")
-        sums.append(F.round(F.sum(F.when(F.col("rank") <= k, val).otherwise(F.lit(0.0))), ACC_DECIMALS)
-                    .alias(f"_s_{k}_{w}"))
-    per_label = nbw.groupBy(*k2, "q_id", "t_label").agg(*sums)
-    winners = per_label.groupBy(*k2, "q_id").agg(*[
-        F.min_by("t_label", F.struct((-F.col(f"_s_{k}_{w}")).alias("a"), F.col("t_label").alias("b")))
-         .alias(f"_p_{k}_{w}") for k, w in configs])
-    truth = q.select(*k2, F.col(id_col).alias("q_id"), F.col(target).alias("_truth"))
-    acc = winners.join(truth, k2 + ["q_id"]).groupBy(*k2).agg(*[
-        F.avg((F.col(f"_p_{k}_{w}") == F.col("_truth")).cast("double")).alias(f"_a_{k}_{w}") for k, w in configs])
-    long = acc.select(*k2, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(w).alias("weights"), F.col(f"_a_{k}_{w}").alias("fold_accuracy"))
-        for k, w in configs])).alias("_c")).select(*k2, "_c.*")
-    return long
+    each = F.explode(F.array(*[F.lit(i) for i in range(folds)])).alias("fold_g")
+    rows = sample.select(*keys, id_col, target, *numeric, *categorical, "fold", each)
+    cands = candidates.select(*keys, "cand", *[f"use_{c}" for c in [*numeric, *categorical]], each)
+    schema = T.StructType([*[sample.schema[c] for c in keys], T.StructField("cand", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("weights", T.StringType()),
+                           T.StructField("fold", T.IntegerType()), T.StructField("n_rows", T.LongType()), T.StructField("n_correct", T.LongType())])
+    score = _fold_scorer(keys, id_col, target, tuple(numeric), tuple(categorical), tuple(k_options), tuple(weight_options), schema)
+    return rows.groupBy(*keys, "fold_g").cogroup(cands.groupBy(*keys, "fold_g")).applyInPandas(score, schema)
+
+
+def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, **how) -> DataFrame:
+    """Mean CV accuracy ``(keys, cand, k, weights, mean_accuracy, n_folds)``; see ``cv_fold_scores``."""
+    per_fold = cv_fold_scores(sample, candidates, keys, **how)
+    return per_fold.groupBy(*keys, "cand", "k", "weights").agg(
+        F.round(F.avg(F.col("n_correct") / F.col("n_rows")), ACC_DECIMALS).alias("mean_accuracy"), F.count(F.lit(1)).alias("n_folds"))
 
 
 def best_minimal(cv: DataFrame, keys, tol: float = BEST_MINIMAL_TOLERANCE) -> DataFrame:

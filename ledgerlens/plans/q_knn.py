@@ -56,33 +56,43 @@ st AS (SELECT tenant_id, table_name, avg(coalesce(o_totalprice, 0)) AS m,
               CASE WHEN stddev_pop(coalesce(o_totalprice, 0)) = 0 OR stddev_pop(coalesce(o_totalprice, 0)) IS NULL
                    THEN 1.0::DOUBLE ELSE stddev_pop(coalesce(o_totalprice, 0)) END AS s
        FROM ref GROUP BY ALL),
-rz AS (SELECT ref.*, round((coalesce(o_totalprice, 0) - m) / s, 9) AS z FROM ref JOIN st USING (tenant_id, table_name)),
-qz AS (SELECT q.*, round((coalesce(q.o_totalprice, 0) - m) / s, 9) AS z,
+rz AS (SELECT ref.*, s, coalesce(o_totalprice, 0) AS x FROM ref JOIN st USING (tenant_id, table_name)),
+qz AS (SELECT q.*, s, coalesce(q.o_totalprice, 0) AS x, (coalesce(q.o_totalprice, 0) - m) / s AS z,
               EXISTS (SELECT 1 FROM ref r WHERE r.tenant_id = q.tenant_id AND r.table_name = q.table_name
                       AND r.o_orderstatus IS NOT DISTINCT FROM q.o_orderstatus) AS k1,
               EXISTS (SELECT 1 FROM ref r WHERE r.tenant_id = q.tenant_id AND r.table_name = q.table_name
                       AND r.c_mktsegment IS NOT DISTINCT FROM q.c_mktsegment) AS k2
        FROM base q JOIN st USING (tenant_id, table_name) WHERE q.is_q),
 pairs AS (SELECT q.tenant_id, q.table_name, q.o_orderkey AS q_id, r.o_orderkey AS t_id, r.cls AS t_label,
-                 round((q.z - r.z) * (q.z - r.z)
+                 ((q.x - r.x) / q.s) * ((q.x - r.x) / q.s)
                    + CASE WHEN q.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus THEN 0.0::DOUBLE
                           WHEN q.k1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END
                    + CASE WHEN q.c_mktsegment IS NOT DISTINCT FROM r.c_mktsegment THEN 0.0::DOUBLE
-                          WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS d2
+                          WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS d2
           FROM qz q JOIN rz r ON q.tenant_id = r.tenant_id AND q.table_name = r.table_name),
 nb AS (SELECT *, round(sqrt(d2), 6) AS distance FROM (
          SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY d2, t_id) AS rank
          FROM pairs) WHERE rank <= 7)"""
 
 
+#: Reported columns of a neighbour list; ranking and voting use the unrounded distance.
+NB_COLUMNS = "tenant_id, table_name, q_id, rank, t_id, t_label, round(d2, 6) AS d2, distance"
+
+
+def reported(nb):
+    """Neighbours with the squared distance rounded for output."""
+    return nb.withColumn("d2", F.round("d2", 6))
+
+
 def vote_sql(nb: str, weights: str) -> str:
     w = ("1.0::DOUBLE" if weights == "uniform" else
          "CASE WHEN mind2 = 0 THEN (CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) "
-         "ELSE 1.0::DOUBLE / sqrt(d2) END")
+         "ELSE sqrt(mind2 / d2) END")
     return f"""(SELECT tenant_id, table_name, q_id, t_label AS prediction, score FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY score DESC, t_label) AS rn
-  FROM (SELECT tenant_id, table_name, q_id, t_label, round(sum({w}), 9) AS score
-        FROM (SELECT *, min(d2) OVER (PARTITION BY tenant_id, table_name, q_id) AS mind2 FROM {nb})
+  FROM (SELECT tenant_id, table_name, q_id, t_label, round(sum(w / tw), 9) AS score
+        FROM (SELECT *, sum(w) OVER (PARTITION BY tenant_id, table_name, q_id) AS tw
+              FROM (SELECT *, {w} AS w FROM (SELECT *, min(d2) OVER (PARTITION BY tenant_id, table_name, q_id) AS mind2 FROM {nb})))
         GROUP BY tenant_id, table_name, q_id, t_label)) WHERE rn = 1)"""
 
 
@@ -107,13 +117,13 @@ def category_stats(spark, d):
 
 
 @query("zscore", ORDER_BASE + """
-SELECT tenant_id, table_name, o_orderkey, z AS z_o_totalprice, k1 AS known_o_orderstatus,
+SELECT tenant_id, table_name, o_orderkey, round(z, 6) AS z_o_totalprice, k1 AS known_o_orderstatus,
        k2 AS known_c_mktsegment FROM qz""")
 def zscore(spark, d):
     model, queries = order_model(spark, d)
     z = fe.standardize(queries, model.stats, KEYS, ORDER_SPEC.numeric)
     z = fe.known_flags(z, model.ref, KEYS, ORDER_SPEC.categorical)
-    return z.select(*KEYS, "o_orderkey", "z_o_totalprice", "known_o_orderstatus", "known_c_mktsegment")
+    return z.select(*KEYS, "o_orderkey", F.round("z_o_totalprice", 6).alias("z_o_totalprice"), "known_o_orderstatus", "known_c_mktsegment")
 
 
 @query("onehot_distance", ORDER_BASE + """,
@@ -121,33 +131,33 @@ prev AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER B
          FROM of),
 prevq AS (SELECT qz.*, prev.prev_key FROM qz JOIN prev USING (o_orderkey))
 SELECT q.tenant_id, q.table_name, q.o_orderkey AS q_id, r.o_orderkey AS t_id,
-       round((q.z - r.z) * (q.z - r.z)
+       round(((q.x - r.x) / q.s) * ((q.x - r.x) / q.s)
          + CASE WHEN q.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus THEN 0.0::DOUBLE
                 WHEN q.k1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END
          + CASE WHEN q.c_mktsegment IS NOT DISTINCT FROM r.c_mktsegment THEN 0.0::DOUBLE
-                WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 9) AS d2
+                WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS d2
 FROM prevq q JOIN rz r ON r.o_orderkey = q.prev_key AND r.tenant_id = q.tenant_id""")
 def onehot_distance(spark, d):
     """distance of each query order to its customer's previous order (if a reference row)."""
     model, queries = order_model(spark, d)
     from pyspark.sql import Window
-    qz = fe.standardize(queries, model.stats, KEYS, ORDER_SPEC.numeric)
+    qz = fe.with_scale(queries, model.stats, KEYS, ORDER_SPEC.numeric)
     qz = fe.known_flags(qz, model.ref, KEYS, ORDER_SPEC.categorical)
     allq = si.order_features(spark, d).select("o_orderkey", "o_custkey", "o_orderdate")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     prev = allq.withColumn("prev_key", F.lag("o_orderkey").over(w)).select("o_orderkey", "prev_key")
     qz = qz.join(prev, "o_orderkey")
-    rz = fe.standardize(model.ref, model.stats, KEYS, ORDER_SPEC.numeric)
+    rz = fe.with_scale(model.ref, model.stats, KEYS, ORDER_SPEC.numeric)
     q = qz.select(*KEYS, F.col("o_orderkey").alias("q_id"), "prev_key",
-                  F.col("z_o_totalprice").alias("qn0"), F.col("o_orderstatus").alias("qc0"),
+                  F.col("x_o_totalprice").alias("qn0"), F.col("s_o_totalprice").alias("qs0"), F.col("o_orderstatus").alias("qc0"),
                   F.col("c_mktsegment").alias("qc1"), F.col("known_o_orderstatus").alias("qk0"),
                   F.col("known_c_mktsegment").alias("qk1"))
     t = rz.select(F.col("tenant_id").alias("t_tenant"), F.col("o_orderkey").alias("t_id"),
-                  F.col("z_o_totalprice").alias("tn0"), F.col("o_orderstatus").alias("tc0"),
+                  F.col("x_o_totalprice").alias("tn0"), F.col("o_orderstatus").alias("tc0"),
                   F.col("c_mktsegment").alias("tc1"))
     j = q.join(t, (F.col("prev_key") == F.col("t_id")) & (F.col("tenant_id") == F.col("t_tenant")))
     return j.select(*KEYS, "q_id", "t_id",
-                    F.round(knn.pair_d2("q", "t", 1, 2, False, "qk", None), 9).alias("d2"))
+                    F.round(knn.pair_d2("q", "t", 1, 2, "qk", "qs"), 6).alias("d2"))
 
 
 @query("class_frequency", ORDER_BASE + """,
@@ -175,11 +185,11 @@ def knn_predict(spark, d):
             .unionByName(knn.vote(nb, KEYS, "uniform").withColumn("weights", F.lit("uniform"))))
 
 
-@query("knn_explanations", ORDER_BASE + "SELECT tenant_id, table_name, q_id, rank, t_id, t_label, d2, distance FROM nb")
+@query("knn_explanations", ORDER_BASE + f"SELECT {NB_COLUMNS} FROM nb")
 def knn_explanations(spark, d):
     """C6 explanations: the k neighbours of each query line with rank and distance."""
     model, queries = order_model(spark, d)
-    return scoring.neighbors(model, queries)
+    return reported(scoring.neighbors(model, queries))
 
 
 @query("neighbor_distance_stats", ORDER_BASE + """
@@ -223,9 +233,9 @@ CUST_BASE = """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS tenant_id, 'cus
 st AS (SELECT tenant_id, table_name, avg(coalesce(c_acctbal, 0)) AS m,
               CASE WHEN stddev_pop(coalesce(c_acctbal, 0)) = 0 THEN 1.0::DOUBLE
                    ELSE stddev_pop(coalesce(c_acctbal, 0)) END AS s FROM c GROUP BY ALL),
-z AS (SELECT c.*, round((coalesce(c_acctbal, 0) - m) / s, 9) AS z FROM c JOIN st USING (tenant_id, table_name)),
+z AS (SELECT c.*, s, coalesce(c_acctbal, 0) AS x FROM c JOIN st USING (tenant_id, table_name)),
 pairs AS (SELECT q.tenant_id, q.table_name, q.c_custkey AS q_id, t.c_custkey AS t_id, t.c_mktsegment AS t_label,
-                 round((q.z - t.z) * (q.z - t.z), 9) AS d2
+                 ((q.x - t.x) / q.s) * ((q.x - t.x) / q.s) AS d2
           FROM z q JOIN z t ON q.tenant_id = t.tenant_id AND q.table_name = t.table_name AND q.c_custkey <> t.c_custkey),
 nb AS (SELECT *, round(sqrt(d2), 6) AS distance FROM (
          SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY d2, t_id) AS rank
@@ -238,12 +248,12 @@ def customers(spark, d):
                     F.lit("customers").alias("table_name"), "c_custkey", "c_acctbal", "c_mktsegment")
 
 
-@query("knn_neighbors", CUST_BASE + " SELECT tenant_id, table_name, q_id, rank, t_id, t_label, d2, distance FROM nb")
+@query("knn_neighbors", CUST_BASE + f" SELECT {NB_COLUMNS} FROM nb")
 def knn_neighbors(spark, d):
     """J9 self-join: each customer's 7 nearest other customers of its nation."""
     c = customers(spark, d)
     model = scoring.fit(c, CUSTOMER_SPEC, filter_rare=False)
-    return scoring.neighbors(model, c, exclude_self=True)
+    return reported(scoring.neighbors(model, c, exclude_self=True))
 
 
 # --- dense vectors --------------------------------------------------------------
@@ -253,8 +263,8 @@ ref0 AS (SELECT * FROM v WHERE NOT is_q),
 cnt AS (SELECT tenant_id, table_name, label, count(*) AS n FROM ref0 GROUP BY ALL),
 ref AS (SELECT ref0.* FROM ref0 JOIN cnt USING (tenant_id, table_name, label) WHERE cnt.n >= 5),
 pairs AS (SELECT q.tenant_id, q.table_name, q.vec_id AS q_id, r.vec_id AS t_id, r.label AS t_label,
-                 round(list_sum(list_transform(list_zip(q.embedding, r.embedding),
-                       lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 9) AS d2
+                 list_sum(list_transform(list_zip(q.embedding, r.embedding),
+                       lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS d2
           FROM v q JOIN ref r ON q.tenant_id = r.tenant_id WHERE q.is_q),
 nb AS (SELECT *, round(sqrt(d2), 6) AS distance FROM (
          SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY d2, t_id) AS rank

@@ -69,21 +69,20 @@ st AS (SELECT tenant_id, table_name, fold_g, cand,
               avg(c_acctbal) AS m2,
               CASE WHEN stddev_pop(c_acctbal) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(c_acctbal) END AS s2
        FROM r GROUP BY ALL),
-rz AS (SELECT r.*, round((o_totalprice - m1) / s1, 9) AS z1, round((c_acctbal - m2) / s2, 9) AS z2
-       FROM r JOIN st USING (tenant_id, table_name, fold_g, cand)),
-qz AS (SELECT q.*, round((o_totalprice - m1) / s1, 9) AS z1, round((c_acctbal - m2) / s2, 9) AS z2,
+rz AS (SELECT r.* FROM r JOIN st USING (tenant_id, table_name, fold_g, cand)),
+qz AS (SELECT q.*, s1, s2,
               EXISTS (SELECT 1 FROM r WHERE r.tenant_id = q.tenant_id AND r.fold_g = q.fold_g AND r.cand = q.cand
                       AND r.o_orderstatus IS NOT DISTINCT FROM q.o_orderstatus) AS k1,
               EXISTS (SELECT 1 FROM r WHERE r.tenant_id = q.tenant_id AND r.fold_g = q.fold_g AND r.cand = q.cand
                       AND r.c_mktsegment IS NOT DISTINCT FROM q.c_mktsegment) AS k2
        FROM q JOIN st USING (tenant_id, table_name, fold_g, cand)),
 pairs AS (SELECT q.tenant_id, q.table_name, q.fold_g, q.cand, q.id AS q_id, q.cls AS truth, t.id AS t_id, t.cls AS t_label,
-  round(CASE WHEN q.{u['o_totalprice']} THEN (q.z1 - t.z1) * (q.z1 - t.z1) ELSE 0.0::DOUBLE END
-      + CASE WHEN q.{u['c_acctbal']} THEN (q.z2 - t.z2) * (q.z2 - t.z2) ELSE 0.0::DOUBLE END
+  CASE WHEN q.{u['o_totalprice']} THEN ((q.o_totalprice - t.o_totalprice) / s1) * ((q.o_totalprice - t.o_totalprice) / s1) ELSE 0.0::DOUBLE END
+      + CASE WHEN q.{u['c_acctbal']} THEN ((q.c_acctbal - t.c_acctbal) / s2) * ((q.c_acctbal - t.c_acctbal) / s2) ELSE 0.0::DOUBLE END
       + CASE WHEN q.{u['o_orderstatus']} THEN (CASE WHEN q.o_orderstatus IS NOT DISTINCT FROM t.o_orderstatus THEN 0.0::DOUBLE
                                                    WHEN q.k1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) ELSE 0.0::DOUBLE END
       + CASE WHEN q.{u['c_mktsegment']} THEN (CASE WHEN q.c_mktsegment IS NOT DISTINCT FROM t.c_mktsegment THEN 0.0::DOUBLE
-                                                  WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) ELSE 0.0::DOUBLE END, 9) AS d2
+                                                  WHEN q.k2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END) ELSE 0.0::DOUBLE END AS d2
   FROM qz q JOIN rz t ON q.tenant_id = t.tenant_id AND q.table_name = t.table_name AND q.fold_g = t.fold_g AND q.cand = t.cand),
 nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, fold_g, cand, q_id ORDER BY d2, t_id) AS rank
                       FROM pairs) WHERE rank <= 9),
@@ -94,7 +93,7 @@ sc AS (SELECT tenant_id, table_name, fold_g, cand, q_id, truth, k, t_label, 'uni
        UNION ALL
        SELECT tenant_id, table_name, fold_g, cand, q_id, truth, k, t_label, 'distance',
               round(sum(CASE WHEN mind2 = 0 THEN (CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-                             ELSE 1.0::DOUBLE / sqrt(d2) END), 9)
+                             ELSE sqrt(mind2 / d2) END), 9)
        FROM w GROUP BY tenant_id, table_name, fold_g, cand, q_id, truth, k, t_label),
 pred AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, fold_g, cand, q_id, k, weights
                                                    ORDER BY score DESC, t_label) AS rn FROM sc) WHERE rn = 1),
@@ -116,8 +115,8 @@ def _cands_df(groups, subsets):
 
 
 def _cv(spark, d, subsets):
-    s = materialize(sel.stratified_folds(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey"),
-                    "cv_sample")
+    s = sel.sample_min_per_class(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+    s = materialize(sel.stratified_folds(s, KEYS, "o_orderpriority", "o_orderkey"), "cv_sample")
     cands = _cands_df(s.select(*KEYS).distinct(), subsets)
     cv = sel.cv_evaluate(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
     return cv.join(cands.select(*KEYS, "cand", "n_features"), list(KEYS) + ["cand"])
@@ -195,6 +194,16 @@ def cv_scores(spark, d):
     return _cv(spark, d, FULL)
 
 
+@query("cv_folds", cv_sql(FULL) + " SELECT tenant_id, table_name, cand, k, weights, fold_g AS fold, round(acc, 9) AS fold_accuracy FROM facc")
+def cv_folds(spark, d):
+    """The accuracy of every fold behind ``cv_scores``."""
+    s = sel.sample_min_per_class(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+    s = materialize(sel.stratified_folds(s, KEYS, "o_orderpriority", "o_orderkey"), "cv_sample")
+    cands = _cands_df(s.select(*KEYS).distinct(), FULL)
+    f = sel.cv_fold_scores(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
+    return f.select(*KEYS, "cand", "k", "weights", "fold", F.round(F.col("n_correct") / F.col("n_rows"), 9).alias("fold_accuracy"))
+
+
 @query("cv_candidates", cv_sql(DROP_ONE) + " SELECT cv.*, cset.n_features FROM cv JOIN cset USING (cand)")
 def cv_candidates(spark, d):
     """C7 for the full set and every drop-one subset in one neighbour job."""

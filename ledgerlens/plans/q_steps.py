@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import knn, lookup, profile, scoring
 from ledgerlens.plans.catalog import query
 from ledgerlens.plans.q_knn import (CUST_BASE, CUSTOMER_SPEC, KEYS, ORDER_BASE, ORDER_SPEC, customers,
-                                    order_model, vote_sql)
+                                    order_model, vote_sql, reported)
 from ledgerlens.plans.sql_standins import ACC, AD, CLAIMS, EVAL, ILI, INV, RECEIPTS, RLI, with_
 from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources import line_tables as lt
@@ -123,29 +123,29 @@ def class_count_map(spark, d):
 
 
 @query("explanation_records", ORDER_BASE + """
-SELECT nb.tenant_id, nb.table_name, q_id, rank, t_id, t_label, d2, distance, b.o_orderstatus AS t_o_orderstatus,
+SELECT nb.tenant_id, nb.table_name, q_id, rank, t_id, t_label, round(d2, 6) AS d2, distance, b.o_orderstatus AS t_o_orderstatus,
        b.c_mktsegment AS t_c_mktsegment, b.o_totalprice AS t_o_totalprice
 FROM nb JOIN base b ON b.o_orderkey = nb.t_id""")
 def explanation_records(spark, d):
     """Each neighbour of a held-out line with its record."""
     model, queries = order_model(spark, d)
     nb = scoring.neighbors(model, queries)
-    return scoring.explanation_records(nb, model.ref, KEYS, "o_orderkey",
+    return scoring.explanation_records(reported(nb), model.ref, KEYS, "o_orderkey",
                                        ["o_orderstatus", "c_mktsegment", "o_totalprice"])
 
 
 @query("train_summary", ORDER_BASE.replace("is_q} AS is_q", "is_q} AS is_q") + """,
 pairs2 AS (SELECT q.tenant_id, q.table_name, q.o_orderkey AS q_id, q.cls AS truth, r.o_orderkey AS t_id, r.cls AS t_label,
-                  round((q.z - r.z) * (q.z - r.z)
+                  ((q.x - r.x) / q.s) * ((q.x - r.x) / q.s)
                     + CASE WHEN q.o_orderstatus IS NOT DISTINCT FROM r.o_orderstatus THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END
-                    + CASE WHEN q.c_mktsegment IS NOT DISTINCT FROM r.c_mktsegment THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END, 9) AS d2
+                    + CASE WHEN q.c_mktsegment IS NOT DISTINCT FROM r.c_mktsegment THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END AS d2
            FROM rz q JOIN rz r ON q.tenant_id = r.tenant_id AND q.table_name = r.table_name),
 nb2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY d2, t_id) AS rank
                        FROM pairs2) WHERE rank <= 7),
 pred2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY score DESC, t_label) AS rn
           FROM (SELECT tenant_id, table_name, q_id, truth, t_label,
                        round(sum(CASE WHEN mind2 = 0 THEN (CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
-                                      ELSE 1.0::DOUBLE / sqrt(d2) END), 9) AS score
+                                      ELSE sqrt(mind2 / d2) END), 9) AS score
                 FROM (SELECT *, min(d2) OVER (PARTITION BY tenant_id, table_name, q_id) AS mind2 FROM nb2)
                 GROUP BY tenant_id, table_name, q_id, truth, t_label)) WHERE rn = 1),
 acc AS (SELECT tenant_id, table_name, round(avg(CAST(t_label = truth AS DOUBLE)), 9) AS train_accuracy FROM pred2 GROUP BY ALL),
