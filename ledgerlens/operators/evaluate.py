@@ -52,9 +52,9 @@ def confusion_long(ev: DataFrame, keys) -> DataFrame:
                  .withColumn("n", F.coalesce(F.col("n"), F.lit(0).cast("long"))))
 
 
-def confusion_pivot(conf: DataFrame, keys) -> DataFrame:
-    """A15 wide form: one row per true label, one column per predicted label."""
-    return conf.groupBy(*keys, "y_true").pivot("y_pred").agg(F.sum("n"))
+def confusion_pivot(conf: DataFrame, keys, label_values) -> DataFrame:
+    """A15 wide form: one row per true label, one column for each of ``label_values`` (null: not a label of the group)."""
+    return conf.groupBy(*keys, "y_true").pivot("y_pred", list(label_values)).agg(F.sum("n"))
 
 
 def class_marginals(conf: DataFrame, keys) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import lookup
 from ledgerlens.plans.catalog import query
-from ledgerlens.plans.sql_standins import (ACC, AD, CLAIMS, EVAL, ILI, INV, OF, RECEIPTS, RLI,
+from ledgerlens.plans.sql_standins import (ACC, AD, BANK, BLI, CLAIMS, CLI, CREDIT, EVAL, ILI, INV, OF, RECEIPTS, RLI,
                                            with_)
 from ledgerlens.sources import line_tables as lt
 from ledgerlens.sources import standins as si
@@ -162,26 +162,24 @@ def page_q(spark, d):
     return tables.page(si.invoices(spark, d), ["id"], 2, 100)
 
 
-@query("lookup_ids", with_(INV, ILI, EVAL) + f"""
-SELECT * EXCLUDE (rn) FROM (
-  SELECT {_LINE_SQL_COLS}, i.type AS source_type, i.date AS journal_date,
-         row_number() OVER (PARTITION BY l.invoice_id ORDER BY l.line_no, l.part_no, l.supp_no) AS rn
-  FROM ili l JOIN inv i ON l.invoice_unique_id = i.id) f
-WHERE rn = 1 AND invoice_id IN (SELECT source_id FROM ev)""")
+@query("lookup_ids", with_(INV, ILI) + f""",
+f AS (SELECT {_LINE_SQL_COLS}, i.type AS source_type, i.date AS journal_date
+      FROM ili l JOIN inv i ON l.invoice_unique_id = i.id)
+SELECT * FROM f WHERE substr(md5(line_item_id), 1, 1) < '2'""")
 def lookup_ids_q(spark, d):
-    """First lines of the evaluation set's documents."""
+    """The evaluation set's lines among all lines, by line_item_id."""
     h, l, _ = _inv(spark, d)
-    lines = lt.build_lines(h, l, None, si.INVOICE_PLAN)
-    return lookup.lookup_ids(lines, si.eval_set(spark, d), "invoice_id", "source_id")
+    lines = lt.build_lines(h, l, None, si.INVOICE_PLAN, first_only=False)
+    return lookup.lookup_ids(lines, si.eval_lines(spark, d), "line_item_id")
 
 
 @query("missing_ids", with_(INV, ILI, EVAL) + """
 SELECT * FROM ev WHERE source_id NOT IN (
   SELECT l.invoice_id FROM ili l JOIN inv i ON l.invoice_unique_id = i.id)""")
 def missing_ids_q(spark, d):
-    """Evaluation ids without any line."""
+    """Evaluation ids without any line, searched among all lines."""
     h, l, _ = _inv(spark, d)
-    lines = lt.build_lines(h, l, None, si.INVOICE_PLAN)
+    lines = lt.build_lines(h, l, None, si.INVOICE_PLAN, first_only=False)
     return lookup.missing_ids(si.eval_set(spark, d), lines, "source_id", "invoice_id")
 
 
@@ -204,3 +202,37 @@ SELECT * FROM ev WHERE task_name = 'ACCOUNT_MAPPING_VALIDATION' AND tenant_id =
 def eval_slice_q(spark, d):
     """Evaluation rows of one (task, tenant, table)."""
     return lookup.eval_slice(si.eval_set(spark, d), "ACCOUNT_MAPPING_VALIDATION", "3", "accrec_accpay")
+
+
+_BANK_COLS = """'cashrec_cashpaid' AS table_name, h.tenant_id, l.bank_transaction_unique_id, l.line_item_id, l.description,
+  l.unit_amount, l.line_amount, l.tax_amount, l.account_code, h.bank_transaction_id, h.bank_account_code, h.bank_account_name,
+  h.contact_name, h.status, h.sub_total, h.total_tax, h.total, ad.account_name, ad.account_type,
+  CASE WHEN h.type LIKE '%SPEND%' THEN 'CASHPAID' WHEN h.type LIKE '%RECEIVE%' THEN 'CASHREC' ELSE h.type END AS source_type,
+  h.date AS journal_date"""
+
+
+@query("lines_bank", with_(BANK, BLI, ACC, AD) + f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT {_BANK_COLS}, row_number() OVER (PARTITION BY l.bank_transaction_id ORDER BY l.line_no, l.line_item_id) AS rn
+  FROM bli l JOIN bank h ON l.bank_transaction_unique_id = h.id
+  LEFT JOIN ad ON l.account_code = ad.code AND h.tenant_id = ad.tenant_id
+  WHERE h.updated_date_utc BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1997-12-31 00:00:00') WHERE rn = 1""")
+def lines_bank(spark, d):
+    """First lines of bank transactions updated in a range, accounts joined, type rule applied."""
+    return lt.build_lines(si.bank_transactions(spark, d), si.bank_transaction_line_items(spark, d), si.charted_accounts(spark, d), si.BANK_PLAN,
+                          start="1996-01-01 00:00:00", end="1997-12-31 00:00:00")
+
+
+_CREDIT_COLS = """'accreccredit_accpaycredit' AS table_name, h.tenant_id, l.credit_note_unique_id, l.line_item_id, l.description,
+  l.quantity, l.unit_amount, l.line_amount, l.tax_amount, l.account_code, h.credit_note_id, h.credit_note_number, h.contact_name,
+  h.status, h.reference, h.sub_total, h.total_tax, h.total, ad.account_name, ad.account_type, h.type AS source_type, h.date AS journal_date"""
+
+
+@query("lines_credit", with_(CREDIT, CLI, ACC, AD) + f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT {_CREDIT_COLS}, row_number() OVER (PARTITION BY l.credit_note_unique_id ORDER BY l.line_no, l.line_item_id) AS rn
+  FROM cli l JOIN credit h ON l.credit_note_unique_id = h.id
+  LEFT JOIN ad ON l.account_code = ad.code AND h.tenant_id = ad.tenant_id) WHERE rn = 1""")
+def lines_credit(spark, d):
+    """First lines of credit notes with accounts."""
+    return lt.build_lines(si.credit_notes(spark, d), si.credit_note_line_items(spark, d), si.charted_accounts(spark, d), si.CREDIT_PLAN)

@@ -3,8 +3,6 @@ group "registry" and R1)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import features as fe
@@ -12,7 +10,7 @@ from ledgerlens.operators import scoring
 from ledgerlens.plans.catalog import query
 from ledgerlens.plans.q_knn import KEYS, ORDER_BASE, ORDER_SPEC, order_model, vote_sql
 from ledgerlens.plans.q_select import FULL, _cv, cv_sql
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import scratch_path
 from ledgerlens.sources import registry as reg
 from ledgerlens.sources import requests as rq
 from ledgerlens.sources import standins as si
@@ -20,10 +18,6 @@ from ledgerlens.sources.tables import read_table
 from ledgerlens.streaming.score_stream import score_stream
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
-
-
 @query("latest_version", """
 WITH runs AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS run_ts FROM events)
 SELECT tenant_id, run_ts, strptime(run_ts, '%Y-%m-%d-%H-%M-%S') AS run_time FROM (
@@ -81,7 +75,7 @@ SELECT tenant_id, table_name, 'o_totalprice' AS feature, round(m, 6) AS mean, ro
 def registry_latest_stats(spark, d):
     """S11 + S17: write model stats for two runs, read back the latest run per tenant."""
     model, _ = order_model(spark, d)
-    path = _scratch(spark, "model_numeric_stats")
+    path = scratch_path(spark, "model_numeric_stats")
     st = fe.numeric_stats(model.ref, KEYS, ORDER_SPEC.numeric)
     older = st.withColumn("mean", F.col("mean") + F.lit(1.0))     # an earlier, different run
     reg.write_partitioned(older, path, "2024-01-31-23-59-59")
@@ -95,7 +89,7 @@ def registry_latest_stats(spark, d):
 def score_stream_q(spark, d):
     """The held-out lines arrive as a file stream; every micro-batch is scored with the model."""
     model, queries = order_model(spark, d)
-    src, sink, ckpt = _scratch(spark, "stream_in"), _scratch(spark, "stream_out"), _scratch(spark, "stream_ckpt")
+    src, sink, ckpt = scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
     schema = queries.schema
     # two arrivals (older and newer orders) appended to one directory the stream watches
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
@@ -112,7 +106,7 @@ def request_records(spark, d):
     """Held-out lines sent as JSON requests (one per tenant), read back with a
     declared schema, cleaned, and routed to tenants that have a model."""
     model, queries = order_model(spark, d)
-    path = _scratch(spark, "requests")
+    path = scratch_path(spark, "requests")
     # one request per tenant and block of 100 consecutive ids: requests stay small
     block = F.floor(F.col("o_orderkey") / 100).cast("long")
     req = (queries.groupBy("tenant_id", "table_name", block.alias("_blk"))

@@ -3,8 +3,6 @@ summary, explanation records, per-table anomaly union (S1, S7-S10, P12, A3, A31,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import knn, lookup, profile, scoring
@@ -12,20 +10,17 @@ from ledgerlens.plans.catalog import query
 from ledgerlens.plans.q_knn import (CUST_BASE, CUSTOMER_SPEC, KEYS, ORDER_BASE, ORDER_SPEC, customers,
                                     order_model, vote_sql, reported)
 from ledgerlens.plans.sql_standins import ACC, AD, CLAIMS, EVAL, ILI, INV, RECEIPTS, RLI, with_
-from ledgerlens.session import ensure_checkpoint_dir
+from ledgerlens.session import scratch_path
 from ledgerlens.sources import line_tables as lt
 from ledgerlens.sources import requests as rq
 from ledgerlens.sources import standins as si
+from ledgerlens.sources.registry import read_artefact
 from ledgerlens.sources.tables import catalog_columns, read_table
 
 GIVEN_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
                 "pages benchmark labels conversations").split()
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
-
-
 def all_line_tables(spark, d):
     """Every line table of every tenant in one frame (first lines, with accounts)."""
     h, l, a = si.invoices(spark, d), si.invoice_line_items(spark, d), si.charted_accounts(spark, d)
@@ -87,10 +82,9 @@ def raw_collection(spark, d):
     h, l, a = si.invoices(spark, d), si.invoice_line_items(spark, d), si.charted_accounts(spark, d)
     lines = lt.build_lines(h, l, a, si.INVOICE_PLAN)
     train = lookup.missing_ids(lines, si.eval_set(spark, d), "invoice_id", "source_id")
-    path = _scratch(spark, "raw_lines")
-    train.write.partitionBy("table_name", "tenant_id").parquet(path)
-    back = (spark.read.parquet(path).filter((F.col("table_name") == "accrec_accpay") & (F.col("tenant_id") == 7))
-                 .withColumn("tenant_id", F.col("tenant_id").cast("string")))
+    path = scratch_path(spark, "raw_lines")
+    train.repartition("table_name", "tenant_id").write.partitionBy("table_name", "tenant_id").parquet(path)
+    back = read_artefact(spark, path).filter((F.col("table_name") == "accrec_accpay") & (F.col("tenant_id") == "7"))
     bad = rq.validate_schema(back, table_name="accrec_accpay", columns=None,
                              categorical=("description", "account_name", "source_type"),
                              numeric=("line_amount", "tax_amount"), target="account_code", date_col="journal_date")
@@ -115,11 +109,14 @@ def validate_schema_q(spark, d):
                               date_col="o_orderdate")
 
 
-@query("class_count_map")
+@query("class_count_map", ORDER_BASE + """
+SELECT tenant_id, table_name, string_agg(cls || '=' || n, ',' ORDER BY cls) AS class_counts FROM cnt GROUP BY ALL""")
 def class_count_map(spark, d):
-    """A3 nested form: one map<class, count> per (tenant, table), stored with the model."""
+    """A3 nested form: one map<class, count> per (tenant, table), shown as sorted text."""
     model, _ = order_model(spark, d)
-    return profile.class_count_map(model.counts, KEYS)
+    maps = profile.class_count_map(model.counts, KEYS)
+    entries = F.array_sort(F.map_entries("class_counts"))
+    return maps.withColumn("class_counts", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 @query("explanation_records", ORDER_BASE + """

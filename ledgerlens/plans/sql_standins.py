@@ -65,5 +65,30 @@ OF = """of AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
+BANK = """bank AS (
+  SELECT o_orderkey AS id, 'BT-' || CAST(o_orderkey AS VARCHAR) AS bank_transaction_id, CAST(c_nationkey AS VARCHAR) AS tenant_id,
+         CAST(o_orderdate AS DATE) AS date, o_orderstatus AS status,
+         concat_ws('-', CASE o_orderstatus WHEN 'O' THEN 'SPEND' WHEN 'F' THEN 'RECEIVE' ELSE 'TRANSFER' END, o_orderpriority) AS type,
+         c_mktsegment AS bank_account_code, c_mktsegment AS bank_account_name, c_name AS contact_name, o_totalprice AS sub_total,
+         o_totalprice * 0 AS total_tax, o_totalprice AS total, o_orderdate AS updated_date_utc
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+_LINES = """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_item_id, l_linenumber AS line_no,
+         l_returnflag || l_linestatus AS description, l_quantity AS quantity, l_discount AS unit_amount, l_extendedprice AS line_amount,
+         l_tax AS tax_amount, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code
+  FROM lineitem)"""
+
+BLI = "bli AS (SELECT l_orderkey AS bank_transaction_unique_id, 'BT-' || CAST(l_orderkey AS VARCHAR) AS bank_transaction_id, " + _LINES
+
+CREDIT = """credit AS (
+  SELECT o_orderkey AS id, 'CN-' || CAST(o_orderkey AS VARCHAR) AS credit_note_id, CAST(c_nationkey AS VARCHAR) AS tenant_id,
+         'C' || CAST(o_orderkey AS VARCHAR) AS credit_note_number, c_name AS contact_name, CAST(o_orderdate AS DATE) AS date,
+         o_orderstatus AS status, o_orderpriority AS type, c_mktsegment AS reference, o_totalprice AS sub_total,
+         o_totalprice * 0 AS total_tax, o_totalprice AS total
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+CLI = "cli AS (SELECT l_orderkey AS credit_note_unique_id, " + _LINES
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

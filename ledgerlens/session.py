@@ -2,13 +2,14 @@
 
 On a cluster the session comes from the platform; ``get_spark`` only adds
 settings that are unset.  ``spark.checkpoint.dir`` is read from the session
-(shared storage named by the cluster); a local directory is created only when
-the setting is absent, as in tests.
+(shared storage named by the cluster); a local folder is created only in a
+single local process that names none, as in tests.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -36,6 +37,15 @@ _LOCAL_DIRS: dict[str, str] = {}
 def get_spark(app: str = "ledgerlens", master: str | None = None,
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
+    """The running session with the defaults it leaves unset, or a new one with all of them."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        own = running.sparkContext.getConf()
+        for k, v in _DEFAULTS.items():
+            if k.startswith("spark.sql.") and not own.contains(k):
+                running.conf.set(k, v)
+        ensure_checkpoint_dir(running)
+        return running
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -55,19 +65,34 @@ def get_spark(app: str = "ledgerlens", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a local one only if unset."""
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Without either, one local process (master ``local`` or ``local[n]``) gets a temporary
+    folder; on a cluster that is an error, since executors do not share local folders.
+    """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _LOCAL_DIRS.get(sc.applicationId)
     if not d:
-        d = _LOCAL_DIRS.get(sc.applicationId)
-        if d is None:
-            d = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-            _LOCAL_DIRS[sc.applicationId] = d
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for one written table, under the folder of this application."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/ledgerlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote through ``scratch_path``; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under ``spark.checkpoint.dir`` and read it back.
 
@@ -76,8 +101,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the cluster's shared checkpoint location, never a machine-local one.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/ledgerlens/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     t0 = time.time()
     df.write.mode("overwrite").parquet(path)
     if os.environ.get("LEDGERLENS_TRACE"):

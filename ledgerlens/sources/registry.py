@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.config import DEFAULT_K, DEFAULT_WEIGHTS
 
@@ -24,16 +26,9 @@ def write_partitioned(df: DataFrame, path: str, run_ts: str, mode: str = "overwr
     Dynamic partition overwrite replaces only the partitions this run writes,
     so re-running a failed job is idempotent.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        cols = [c for c in PARTITIONS if c in df.columns or c == "run_ts"]
-        (df.withColumn("run_ts", F.lit(run_ts))
-           .write.mode(mode).partitionBy(*cols).parquet(path))
-    finally:
-        if prev is not None:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    cols = [c for c in PARTITIONS if c in df.columns or c == "run_ts"]
+    (df.withColumn("run_ts", F.lit(run_ts)).repartition(*cols)  # one task, hence one file, per partition
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path))
 
 
 def run_time(col: str = "run_ts"):
@@ -53,19 +48,27 @@ def list_versions(artefact: DataFrame, keys=("tenant_id",)) -> DataFrame:
     return artefact.select(*keys, "run_ts").distinct()
 
 
+def read_artefact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All runs of an artefact; partition values as the text that was written ('007' stays '007').
+
+    A missing path gives an empty frame (of ``schema``, or of the partition columns).
+    """
+    try:
+        found = schema or spark.read.parquet(path).schema
+        found = T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found.fields])
+        return spark.read.schema(found).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], schema or T.StructType([T.StructField(c, T.StringType()) for c in PARTITIONS]))
+
+
 def read_latest(spark: SparkSession, path: str, keys=("tenant_id",), version: str | None = None) -> DataFrame:
     """An artefact restricted to the latest (or a given) run of each tenant.
 
     A missing artefact yields an empty result, not an error (S19).
     """
-    try:
-        art = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 -- absent path: no runs yet
-        return None
-    # partition values are text keys (partition discovery would infer numbers)
-    for c in PARTITIONS:
-        if c in art.columns:
-            art = art.withColumn(c, F.col(c).cast("string"))
+    art = read_artefact(spark, path)
     if version is not None:
         return art.filter(F.col("run_ts") == F.lit(version))
     latest = latest_version(list_versions(art, keys), keys).select(*keys, "run_ts")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.config import TASK_ACCOUNT
-from ledgerlens.sources.line_tables import LinePlan
+from ledgerlens.sources.line_tables import BANK_TYPE_RULES, LinePlan
 from ledgerlens.sources.tables import read_table
 
 # hold-out rule of the stand-in evaluation set: first md5 hex digit of the id
@@ -156,3 +156,66 @@ def order_features(spark: SparkSession, base: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
         "c_mktsegment", "o_orderdate", "c_acctbal",
     )
+
+
+def eval_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Stand-in evaluation rows by line: ``line_item_id`` of held-out lines, first or not."""
+    l = invoice_line_items(spark, base)
+    return l.filter(holdout_flag("line_item_id")).select("line_item_id")
+
+
+def _order_headers(spark: SparkSession, base: str) -> DataFrame:
+    o = read_table(spark, base, "orders")
+    c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey)
+
+
+def bank_transactions(spark: SparkSession, base: str) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "O", "SPEND").when(F.col("o_orderstatus") == "F", "RECEIVE").otherwise("TRANSFER")
+    return _order_headers(spark, base).select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("BT-"), F.col("o_orderkey").cast("string")).alias("bank_transaction_id"),
+        F.col("c_nationkey").cast("string").alias("tenant_id"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderstatus").alias("status"),
+        F.concat_ws("-", kind, "o_orderpriority").alias("type"), F.col("c_mktsegment").alias("bank_account_code"), F.col("c_mktsegment").alias("bank_account_name"),
+        F.col("c_name").alias("contact_name"), F.col("o_totalprice").alias("sub_total"), (F.col("o_totalprice") * 0).alias("total_tax"),
+        F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("updated_date_utc"))
+
+
+def _order_lines(spark: SparkSession, base: str, fk: str, header_id: str | None, prefix: str) -> DataFrame:
+    l = read_table(spark, base, "lineitem")
+    ids = [F.concat(F.lit(prefix), F.col("l_orderkey").cast("string")).alias(header_id)] if header_id else []
+    return l.select(
+        F.col("l_orderkey").alias(fk), *ids, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_item_id"),
+        F.col("l_linenumber").alias("line_no"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("description"), F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("unit_amount"), F.col("l_extendedprice").alias("line_amount"), F.col("l_tax").alias("tax_amount"),
+        F.col("l_quantity").cast("int").cast("string").alias("account_code"))
+
+
+def bank_transaction_line_items(spark: SparkSession, base: str) -> DataFrame:
+    return _order_lines(spark, base, "bank_transaction_unique_id", "bank_transaction_id", "BT-")
+
+
+BANK_PLAN = LinePlan(
+    table_name="cashrec_cashpaid", header_key="id", line_fk="bank_transaction_unique_id", header_id="bank_transaction_id",
+    line_order=("line_no", "line_item_id"), date_col="date", range_col="updated_date_utc", type_col="type", type_rules=BANK_TYPE_RULES,
+    header_cols=("bank_transaction_id", "bank_account_code", "bank_account_name", "contact_name", "status", "sub_total", "total_tax", "total"),
+    line_cols=("bank_transaction_unique_id", "line_item_id", "description", "unit_amount", "line_amount", "tax_amount", "account_code"))
+
+
+def credit_notes(spark: SparkSession, base: str) -> DataFrame:
+    return _order_headers(spark, base).select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("CN-"), F.col("o_orderkey").cast("string")).alias("credit_note_id"),
+        F.col("c_nationkey").cast("string").alias("tenant_id"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("credit_note_number"),
+        F.col("c_name").alias("contact_name"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("type"), F.col("c_mktsegment").alias("reference"), F.col("o_totalprice").alias("sub_total"),
+        (F.col("o_totalprice") * 0).alias("total_tax"), F.col("o_totalprice").alias("total"))
+
+
+def credit_note_line_items(spark: SparkSession, base: str) -> DataFrame:
+    return _order_lines(spark, base, "credit_note_unique_id", None, "CN-")
+
+
+CREDIT_PLAN = LinePlan(
+    table_name="accreccredit_accpaycredit", header_key="id", line_fk="credit_note_unique_id", header_id="credit_note_unique_id",
+    line_order=("line_no", "line_item_id"), date_col="date", type_col="type",
+    header_cols=("credit_note_id", "credit_note_number", "contact_name", "status", "reference", "sub_total", "total_tax", "total"),
+    line_cols=("credit_note_unique_id", "line_item_id", "description", "quantity", "unit_amount", "line_amount", "tax_amount", "account_code"))

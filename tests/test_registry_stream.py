@@ -25,7 +25,16 @@ def test_latest_version_and_rewrite(spark):
     reg.write_partitioned(df.withColumn("v", F.lit(5.0)), path, "2024-02-01-00-00-00")
     got = {r["tenant_id"]: r["v"] for r in reg.read_latest(spark, path).collect()}
     assert got == {"7": 99.0, "8": 5.0}
-    assert reg.read_latest(spark, path + "-missing") is None
+    assert reg.read_latest(spark, path + "-missing").count() == 0
+
+
+def test_text_tenant_ids_and_session_setting_survive(spark):
+    path = tempfile.mkdtemp(prefix="ll-reg-") + "/art"
+    df = spark.createDataFrame([("007", "t", 1.0), ("12e4", "t", 2.0)], "tenant_id string, table_name string, v double")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    reg.write_partitioned(df, path, "2024-01-01-00-00-00")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+    assert {r["tenant_id"]: r["v"] for r in reg.read_latest(spark, path).collect()} == {"007": 1.0, "12e4": 2.0}
 
 
 def test_resolve_config(spark):
