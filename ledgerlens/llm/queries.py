@@ -124,9 +124,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read the records back and assemble the captures."""
     records = keep(read_warc(write_warc(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")), with_payload=False), "warc-records")
-    captures = assemble(records).select(
+    captures = keep(assemble(records).select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type")), "warc-captures")
     responses = (captures.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
                  .groupBy("payload_digest").agg(F.max("page_id").alias("response_id")))
     revisits = captures.filter("record_type = 'revisit'").join(responses, "payload_digest", "left").withColumnRenamed("response_id", "refers_to")

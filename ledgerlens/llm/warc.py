@@ -234,8 +234,10 @@ def assemble(records: DataFrame) -> DataFrame:
     r = records.withColumn("capture_id", key)
 
     def of(kind: str, columns: list[str]) -> DataFrame:
-        one = F.struct(*columns)
-        return r.filter(F.col("type") == kind).groupBy("capture_id").agg(F.min_by(one, "record_id").alias(kind), F.count(F.lit(1)).alias(f"n_{kind}s" if kind == "request" else f"n_{kind}"))
+        # one row per capture already, but for archives that repeat a partner: then the least record id
+        named = r.filter(F.col("type") == kind).select("capture_id", F.struct(*columns).alias(kind))
+        count = f"n_{kind}s" if kind == "request" else f"n_{kind}"
+        return named.groupBy("capture_id").agg(F.min(kind).alias(kind), F.count(F.lit(1)).alias(count))
 
     main = r.filter(F.col("type").isin("response", "revisit")).select("capture_id", F.struct(*side).alias("response"))
     request = of("request", ["record_id", "target_uri", "date", "method"])
