@@ -84,14 +84,18 @@ def valid_text_features(df: DataFrame, keys, features) -> DataFrame:
     return st.withColumn("is_valid", F.col("n_distinct") >= 2)
 
 
-def trainable_groups(df: DataFrame, keys, target: str, k: int) -> DataFrame:
+def trainable_groups(df: DataFrame, keys, target: str, k: int, groups: DataFrame | None = None) -> DataFrame:
     """Group state FINISHED or SKIPPED with the first failing rule.
 
     Rules in order: empty, one class only (the intended rule, quirk Q1),
-    fewer than ``max(3, k)`` rows.
+    fewer than ``max(3, k)`` rows.  ``groups``: all groups to report, also those
+    of which the cleaning left no row.
     """
+    keys = list(keys)
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
                               F.count_distinct(F.col(target)).alias("n_classes"))
+    if groups is not None:
+        g = groups.select(*keys).join(g, keys, "left").fillna(0, ["n_rows", "n_classes"])
     min_rows = max(3, k)
     reason = (F.when(F.col("n_rows") == 0, F.lit("empty"))
                .when(F.col("n_classes") <= 1, F.lit("constant_target"))

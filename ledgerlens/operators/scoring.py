@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ModelSpec
@@ -19,6 +19,7 @@ from ledgerlens.operators import features as fe
 from ledgerlens.operators import knn
 from ledgerlens.operators import profile
 from ledgerlens.session import materialize
+from ledgerlens.sources import registry
 
 
 @dataclass
@@ -29,8 +30,9 @@ class Model:
     ref: DataFrame          # cleaned, rare classes removed
     counts: DataFrame       # (keys, class, n) before rare-class removal
     kept: DataFrame         # counts + kept flag
-    stats: DataFrame        # one row per group: _mean{i}, _std{i}
-    mask: DataFrame         # one row per group: use_<feature> booleans
+    stats: DataFrame        # one row per trained group: _mean{i}, _std{i}
+    mask: DataFrame         # one row per trained group: use_<feature> booleans
+    state: DataFrame        # one row per group of the input: n_rows, n_classes, reason, state (P15)
 
 
 def feature_mask(ref: DataFrame, keys, features) -> DataFrame:
@@ -62,13 +64,53 @@ def fit(train: DataFrame, spec: ModelSpec, filter_rare: bool = True) -> Model:
     else:
         kept = kept.withColumn("kept", F.lit(True))
         tr = prep
-    tr = materialize(tr, "model_ref")
+    # Groups that the skip rules name get no model; emptied groups stay in the list
+    state = profile.trainable_groups(tr, keys, spec.target, spec.k, groups=counts.select(*keys).distinct())
+    state = materialize(state, "model_state")
+    trained = state.filter("state = 'FINISHED'").select(*keys)
+    tr = materialize(tr.join(trained, keys, "left_semi"), "model_ref")
     mask = feature_mask(tr, keys, list(spec.numeric) + list(spec.categorical))
     stats = fe.numeric_stats_wide(tr, keys, spec.numeric)
     groups = materialize(stats.join(mask, keys), "model_groups")
+    return _model(spec, tr, counts, kept, groups, state)
+
+
+def _model(spec: ModelSpec, ref: DataFrame, counts: DataFrame, kept: DataFrame, groups: DataFrame, state: DataFrame) -> Model:
+    keys = list(spec.group_keys)
     mask = groups.select(*keys, *[c for c in groups.columns if c.startswith("use_")])
     stats = groups.select(*keys, *[c for c in groups.columns if c.startswith("_mean") or c.startswith("_std")])
-    return Model(spec=spec, ref=tr, counts=counts, kept=kept, stats=stats, mask=mask)
+    return Model(spec=spec, ref=ref, counts=counts, kept=kept, stats=stats, mask=mask, state=state)
+
+
+#: Artefacts of a saved model (S11): what each holds is what ``fit`` materialises.
+MODEL_TABLES = ("model_lines", "model_categories", "model_groups", "model_runs")
+
+
+def save_model(model: Model, base: str, run_ts: str) -> None:
+    """Writes one run of a model: reference lines, class counts, group statistics and masks, group states."""
+    keys = list(model.spec.group_keys)
+    frames = (model.ref, model.kept, model.stats.join(model.mask, keys), model.state)
+    for name, df in zip(MODEL_TABLES, frames, strict=True):
+        registry.write_partitioned(df, f"{base.rstrip('/')}/{name}", run_ts)
+
+
+def load_model(spark: SparkSession, base: str, spec: ModelSpec, version: str | None = None) -> Model:
+    """The latest (or a given) run of every tenant's model."""
+    ref, kept, groups, state = (registry.read_latest(spark, f"{base.rstrip('/')}/{name}", version=version).drop("run_ts") for name in MODEL_TABLES)
+    return _model(spec, ref, kept.drop("kept"), kept, groups, state)
+
+
+def rejected(model: Model, lines: DataFrame) -> DataFrame:
+    """Lines that ``predict`` cannot score: keys, q_id, reason.
+
+    Reason: the skip rule of the group's training, ``no_model`` for groups it never saw,
+    ``no_vector`` for a missing vector feature.
+    """
+    spec, keys = model.spec, list(model.spec.group_keys)
+    j = lines.join(model.state.select(*keys, F.col("reason").alias("_why"), F.lit(True).alias("_seen")), keys, "left")
+    missing = F.col(spec.vector).isNull() if spec.vector else F.lit(False)
+    reason = F.when(F.col("_seen").isNull(), F.lit("no_model")).when(F.col("_why").isNotNull(), F.col("_why")).when(missing, F.lit("no_vector"))
+    return j.select(*keys, F.col(spec.id_col).alias("q_id"), reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def neighbors(model: Model, queries: DataFrame, *, exclude_self: bool = False,
@@ -110,7 +152,7 @@ def class_frequency(model: Model, lines: DataFrame, booked_col: str,
 
 
 def predict(model: Model, queries: DataFrame, weights: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(neighbours, predictions) for every query line."""
+    """(neighbours, predictions) for every line of a trained group; ``rejected`` lists the others."""
     nb = neighbors(model, queries)
     return nb, knn.vote(nb, model.spec.group_keys, weights or model.spec.weights)
 
@@ -138,9 +180,8 @@ def train_summary(model: Model) -> DataFrame:
     Training accuracy scores the reference rows against themselves (each row
     is its own neighbour at distance 0), as the reference's self-score does.
     """
-    from ledgerlens.operators import profile as pf
     spec, keys = model.spec, list(model.spec.group_keys)
-    state = pf.trainable_groups(model.ref, keys, spec.target, spec.k)
+    state = model.state
     _, pred = predict(model, model.ref)
     truth = model.ref.select(*keys, F.col(spec.id_col).alias("q_id"), F.col(spec.target).alias("_y"))
     acc = (pred.join(truth, keys + ["q_id"]).groupBy(*keys)
@@ -151,6 +192,7 @@ def train_summary(model: Model) -> DataFrame:
 def explanation_records(neighbors: DataFrame, raw: DataFrame, keys, id_col: str, cols) -> DataFrame:
     """Attach the record of every neighbour (first raw row per id)."""
     keys = list(keys)
-    one = raw.dropDuplicates(keys + [id_col]).select(*keys, F.col(id_col).alias("t_id"),
-                                                     *[F.col(c).alias(f"t_{c}") for c in cols])
+    # several rows of an id: the first in the order of the columns asked for
+    row = F.min(F.struct(*[F.col(c).alias(f"t_{c}") for c in cols])).alias("_row")
+    one = raw.groupBy(*keys, F.col(id_col).alias("t_id")).agg(row).select(*keys, "t_id", "_row.*")
     return neighbors.join(one, keys + ["t_id"], "left")

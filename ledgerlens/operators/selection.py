@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ledgerlens.config import (BEST_MINIMAL_TOLERANCE, CV_FOLDS, CV_SEED, EARLY_STOP_ROUNDS,
                                ELIMINATION_TOLERANCE, SELECTION_K_OPTIONS, SELECTION_MIN_PER_CLASS,
                                SELECTION_SAMPLE_ROWS, SELECTION_WEIGHT_OPTIONS)
+from ledgerlens.operators.profile import selection_guards
 from ledgerlens.session import materialize
 
 ACC_DECIMALS = 9
@@ -245,6 +246,9 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
     feats = sorted(list(numeric) + list(categorical))
     min_feats = max(1, len(must_have))
     keep = F.array(*[F.lit(f) for f in must_have]) if must_have else F.array().cast("array<string>")
+    # Groups that fail a guard are not searched
+    guards = selection_guards(df, keys, target, folds=folds, k_max=max(SELECTION_K_OPTIONS), sample_rows=sample_rows, min_per_class=SELECTION_MIN_PER_CLASS)
+    df = df.join(guards.filter("state = 'READY'").select(*keys), keys, "left_semi")
     sample = sample_min_per_class(df, keys, target, id_col, num_samples=sample_rows, seed=seed)
     sample = materialize(stratified_folds(sample, keys, target, id_col, folds=folds, seed=seed), "cv_sample")
     mi = materialize(mutual_information(sample, keys, target, categorical, numeric), "cv_mi")

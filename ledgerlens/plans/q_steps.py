@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import knn, lookup, profile, scoring
 from ledgerlens.plans.catalog import query
-from ledgerlens.plans.q_knn import (CUST_BASE, CUSTOMER_SPEC, KEYS, ORDER_BASE, ORDER_SPEC, customers,
-                                    order_model, vote_sql, reported)
-from ledgerlens.plans.sql_standins import ACC, AD, CLAIMS, EVAL, ILI, INV, RECEIPTS, RLI, with_
+from ledgerlens.plans.q_knn import (CUST_BASE, CUSTOMER_SPEC, KEYS, NB_COLUMNS, ORDER_BASE, ORDER_SPEC, customers,
+                                    order_model, order_split, reported, vote_sql)
+from ledgerlens.plans.sql_standins import ACC, AD, CLAIMS, EVAL, HOLDOUT, ILI, INV, RECEIPTS, RLI, with_
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import line_tables as lt
 from ledgerlens.sources import requests as rq
@@ -146,7 +146,8 @@ pred2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, ta
                 FROM (SELECT *, min(d2) OVER (PARTITION BY tenant_id, table_name, q_id) AS mind2 FROM nb2)
                 GROUP BY tenant_id, table_name, q_id, truth, t_label)) WHERE rn = 1),
 acc AS (SELECT tenant_id, table_name, round(avg(CAST(t_label = truth AS DOUBLE)), 9) AS train_accuracy FROM pred2 GROUP BY ALL),
-grp AS (SELECT tenant_id, table_name, count(*) AS n_rows, count(DISTINCT cls) AS n_classes FROM ref GROUP BY ALL)
+grp AS (SELECT a.tenant_id, a.table_name, count(r.cls) AS n_rows, count(DISTINCT r.cls) AS n_classes
+        FROM (SELECT DISTINCT tenant_id, table_name FROM ref0) a LEFT JOIN ref r ON r.tenant_id = a.tenant_id AND r.table_name = a.table_name GROUP BY ALL)
 SELECT g.*, CASE WHEN n_rows = 0 THEN 'empty' WHEN n_classes <= 1 THEN 'constant_target'
                  WHEN n_rows < 7 THEN 'too_few_rows' END AS reason,
        CASE WHEN n_rows > 0 AND n_classes > 1 AND n_rows >= 7 THEN 'FINISHED' ELSE 'SKIPPED' END AS state,
@@ -180,3 +181,60 @@ def anomalies_union(spark, d):
     b2 = c.select(*KEYS, F.col("c_custkey").alias("q_id"), F.col("c_mktsegment").alias("booked"))
     a2 = scoring.anomalies(pred2.join(b2, list(KEYS) + ["q_id"]), "booked")
     return a1.unionByName(a2, allowMissingColumns=True)
+
+
+# --- lines with gaps, and groups without a model ------------------------------
+#: Every kind of gap in the order lines: missing and NaN amounts, missing and unseen segments.
+_DIRTY = {"o_totalprice": "CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN {nan} ELSE o_totalprice END",
+          "c_mktsegment": "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 13 = 0 AND {q} THEN 'UNSEEN' ELSE c_mktsegment END"}
+
+
+def dirty_lines(df, is_query: bool):
+    return (df.withColumn("o_totalprice", F.expr(_DIRTY["o_totalprice"].format(nan="double('NaN')")))
+              .withColumn("c_mktsegment", F.expr(_DIRTY["c_mktsegment"].format(q=str(is_query).lower()))))
+
+
+_DIRTY_BASE = ORDER_BASE.replace("o_totalprice,\n", _DIRTY["o_totalprice"].format(nan="'NaN'::DOUBLE") + " AS o_totalprice,\n", 1).replace(
+    "o_orderstatus, c_mktsegment, CASE", "o_orderstatus, " + _DIRTY["c_mktsegment"].format(q="(" + HOLDOUT.format(c="o_orderkey") + ")") + " AS c_mktsegment, CASE", 1).replace(
+    "coalesce(o_totalprice, 0)", "CASE WHEN o_totalprice IS NULL OR isnan(o_totalprice) THEN 0 ELSE o_totalprice END").replace(
+    "coalesce(q.o_totalprice, 0)", "CASE WHEN q.o_totalprice IS NULL OR isnan(q.o_totalprice) THEN 0 ELSE q.o_totalprice END")
+
+
+@query("knn_gaps", _DIRTY_BASE + f" SELECT {NB_COLUMNS} FROM nb")
+def knn_gaps(spark, d):
+    """neighbours of lines with missing and NaN amounts, missing and unseen categories."""
+    train, queries = order_split(spark, d)
+    model = scoring.fit(dirty_lines(train, False), ORDER_SPEC)
+    return reported(scoring.neighbors(model, dirty_lines(queries, True)))
+
+
+#: Tenants of the stand-in whose training fails a rule: one class only, a single row, never trained.
+_SKIP_SQL = ORDER_BASE.split("ref0 AS", 1)[0] + """
+tr AS (SELECT tenant_id, CASE WHEN tenant_id = '19' THEN 'X' ELSE cls END AS cls FROM base
+       WHERE NOT is_q AND tenant_id <> '24' AND (tenant_id <> '18' OR o_orderkey % 40 = 1)),
+c AS (SELECT tenant_id, cls, count(*) AS n FROM tr GROUP BY ALL),
+g AS (SELECT tenant_id, sum(CASE WHEN n >= 5 THEN n ELSE 0 END) AS n_rows, sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) AS n_classes FROM c GROUP BY ALL),
+r AS (SELECT tenant_id, CASE WHEN n_rows = 0 THEN 'empty' WHEN n_classes <= 1 THEN 'constant_target' WHEN n_rows < 7 THEN 'too_few_rows' END AS reason FROM g)
+SELECT b.tenant_id, b.table_name, b.o_orderkey AS q_id, CASE WHEN r.tenant_id IS NULL THEN 'no_model' ELSE reason END AS reason
+FROM base b LEFT JOIN r USING (tenant_id) WHERE is_q AND (r.tenant_id IS NULL OR reason IS NOT NULL)"""
+
+
+@query("rejected_lines", _SKIP_SQL)
+def rejected_lines(spark, d):
+    """Held-out lines of tenants whose training was skipped or never saw them, with the reason."""
+    train, queries = order_split(spark, d)
+    t = F.col("tenant_id")
+    train = train.filter((t != "24") & ((t != "18") | (F.col("o_orderkey") % 40 == 1))).withColumn(
+        "o_orderpriority", F.when(t == "19", F.lit("X")).otherwise(F.col("o_orderpriority")))
+    return scoring.rejected(scoring.fit(train, ORDER_SPEC), queries)
+
+
+@query("registry_roundtrip", ORDER_BASE + f" SELECT * FROM {vote_sql('nb', 'distance')}")
+def registry_roundtrip(spark, d):
+    """Save two runs of the model, load the latest one and score with it."""
+    model, queries = order_model(spark, d)
+    base = scratch_path(spark, "models")
+    scoring.save_model(model, base, "2024-01-31-23-59-59")
+    scoring.save_model(model, base, "2024-02-01-00-00-00")
+    _, pred = scoring.predict(scoring.load_model(spark, base, ORDER_SPEC), queries)
+    return pred
