@@ -20,6 +20,7 @@ from ledgerlens.operators import knn
 from ledgerlens.operators import profile
 from ledgerlens.session import materialize
 from ledgerlens.sources import registry
+from ledgerlens.sources.tables import date_range
 
 
 @dataclass
@@ -174,6 +175,16 @@ def audit(model: Model, lines: DataFrame, weights: str | None = None) -> DataFra
     return anomalies(j, "booked")
 
 
+def audit_range(tables: list[tuple[Model, DataFrame]], start=None, end=None) -> DataFrame:
+    """C18 over several line tables: ``audit`` of the lines dated ``start``..``end`` (inclusive, None: unbounded), appended."""
+    out = None
+    for model, lines in tables:  # one entry per line table, all tenants at once
+        found = audit(model, date_range(lines, model.spec.date_col, start, end))
+        found = found.withColumn("q_id", F.col("q_id").cast("string"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def train_summary(model: Model) -> DataFrame:
     """Per group the trainable state (P15) and the training accuracy.
 

@@ -26,6 +26,7 @@ from ledgerlens.operators.profile import selection_guards
 from ledgerlens.session import materialize
 
 ACC_DECIMALS = 9
+SALTS = 64         # parts in which a hot group is ranked for its sample
 SCORE_ROWS = 256   # rows scored at once in a task
 
 
@@ -39,18 +40,25 @@ def sample_min_per_class(df: DataFrame, keys, target: str, id_col: str, *,
                          seed: int = CV_SEED) -> DataFrame:
     """Per group, ``min(n_c, m)`` rows of every class, filled to ``num_samples``.
 
-    Groups with at most ``num_samples`` rows are kept whole.  Both windows
-    carry a constant limit, so Catalyst plans partial top-k (WindowGroupLimit)
-    before the shuffle: a hot group or class ships at most ``num_samples``
-    rows per map task.
+    Groups with at most ``num_samples`` rows are kept whole.  A hot group is
+    ranked in ``SALTS`` hashed parts first, each of which keeps ``num_samples``
+    rows, so no task sorts a whole group.  Class minima above ``num_samples``
+    are an error (T6).
     """
     keys = list(keys)
+    over = (df.groupBy(*keys, target).agg(F.least(F.count(F.lit(1)), F.lit(min_per_class)).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_m"))
+              .filter(F.col("_m") > num_samples).limit(1).collect())
+    if over:
+        raise ValueError(f"{over[0]['_m']} rows are needed for {min_per_class} of each class, the sample has {num_samples}")
     r = df.withColumn("_key", md5_order(id_col, seed))
     wc = Window.partitionBy(*keys, target).orderBy("_key", id_col)
     head = r.withColumn("_cr", F.row_number().over(wc)).filter(F.col("_cr") <= min_per_class).drop("_cr")
     rest = r.join(head.select(*keys, id_col), keys + [id_col], "left_anti")
+    salted = rest.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+    ws = Window.partitionBy(*keys, "_salt").orderBy("_key", id_col)
+    few = salted.withColumn("_sr", F.row_number().over(ws)).filter(F.col("_sr") <= num_samples).drop("_sr", "_salt")
     wt = Window.partitionBy(*keys).orderBy("_key", id_col)
-    tail = rest.withColumn("_tr", F.row_number().over(wt)).filter(F.col("_tr") <= num_samples)
+    tail = few.withColumn("_tr", F.row_number().over(wt)).filter(F.col("_tr") <= num_samples)
     nh = head.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nh"))
     tail = tail.join(nh, keys).filter(F.col("_tr") <= F.lit(num_samples) - F.col("_nh")).drop("_tr", "_nh")
     ng = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ng"))

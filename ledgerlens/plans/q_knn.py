@@ -14,7 +14,8 @@ from ledgerlens.config import ModelSpec
 from ledgerlens.operators import features as fe
 from ledgerlens.operators import knn, lookup, scoring
 from ledgerlens.plans.catalog import query
-from ledgerlens.plans.sql_standins import HOLDOUT, OF, with_
+from ledgerlens.plans.sql_standins import HOLDOUT, ILI, INV, OF, with_
+from ledgerlens.sources import line_tables as lt
 from ledgerlens.sources import standins as si
 from ledgerlens.sources.tables import read_table
 
@@ -281,3 +282,71 @@ def knn_vectors(spark, d):
     model = scoring.fit(e.filter(~is_q), VECTOR_SPEC)
     _, pred = scoring.predict(model, e.filter(is_q))
     return pred
+
+
+# --- invoice lines with the features of the account-mapping application -----------
+LINE_SPEC = ModelSpec(id_col="line_item_id", target="account_code", categorical=("description", "source_type", "contact_name", "item_code"),
+                      numeric=("line_amount",), date_col="journal_date")
+
+
+def line_split(spark, d):
+    """(train, queries): first lines of invoices, split by the evaluation set's line ids."""
+    lines = lt.build_lines(si.invoices(spark, d), si.invoice_line_items(spark, d), si.charted_accounts(spark, d), si.INVOICE_PLAN)
+    ev = si.eval_lines(spark, d)
+    return lookup.missing_ids(lines, ev, "line_item_id"), lookup.lookup_ids(lines, ev, "line_item_id")
+
+
+_CATS = LINE_SPEC.categorical
+LINE_BASE = with_(INV, ILI) + f""",
+base AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT 'accrec_accpay' AS table_name, i.tenant_id, l.line_item_id, l.account_code AS cls, l.description, i.type AS source_type, i.contact_name, l.item_code,
+         l.line_amount AS x, i.date AS journal_date, {HOLDOUT.format(c='l.line_item_id')} AS is_q,
+         row_number() OVER (PARTITION BY l.invoice_id ORDER BY l.line_no, l.part_no, l.supp_no) AS rn
+  FROM ili l JOIN inv i ON l.invoice_unique_id = i.id) WHERE rn = 1),
+ref0 AS (SELECT * FROM base WHERE NOT is_q),
+cnt AS (SELECT tenant_id, table_name, cls, count(*) AS n FROM ref0 GROUP BY ALL),
+ref1 AS (SELECT ref0.* FROM ref0 JOIN cnt USING (tenant_id, table_name, cls) WHERE cnt.n >= 5),
+st AS (SELECT tenant_id, table_name, CASE WHEN stddev_pop(x) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(x) END AS s,
+              {", ".join(f"count(DISTINCT {c}) > 1 AS u_{c}" for c in _CATS)}, count(DISTINCT x) > 1 AS u_x
+       FROM ref1 GROUP BY ALL HAVING count(DISTINCT cls) > 1 AND count(*) >= 7),
+ref AS (SELECT ref1.* FROM ref1 JOIN st USING (tenant_id, table_name)),
+qz AS (SELECT q.*, st.* EXCLUDE (tenant_id, table_name),
+              {", ".join(f"EXISTS (SELECT 1 FROM ref r WHERE r.tenant_id = q.tenant_id AND r.{c} = q.{c}) AS k_{c}" for c in _CATS)}
+       FROM base q JOIN st USING (tenant_id, table_name) WHERE is_q),
+pairs AS (SELECT q.tenant_id, q.table_name, q.line_item_id AS q_id, r.line_item_id AS t_id, r.cls AS t_label,
+                 CASE WHEN u_x THEN ((q.x - r.x) / s) * ((q.x - r.x) / s) ELSE 0.0::DOUBLE END
+                 + {" + ".join(f"CASE WHEN NOT u_{c} OR q.{c} = r.{c} THEN 0.0::DOUBLE WHEN k_{c} THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END" for c in _CATS)} AS d2
+          FROM qz q JOIN ref r ON q.tenant_id = r.tenant_id AND q.table_name = r.table_name),
+nb AS (SELECT *, round(sqrt(d2), 6) AS distance FROM (
+         SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY d2, t_id) AS rank FROM pairs) WHERE rank <= 7)"""
+
+
+@query("knn_invoice_lines", LINE_BASE + f" SELECT {NB_COLUMNS} FROM nb")
+def knn_invoice_lines(spark, d):
+    """J9 on invoice lines: four categorical features, among them contact and item, and the amount."""
+    train, queries = line_split(spark, d)
+    return reported(scoring.neighbors(scoring.fit(train, LINE_SPEC), queries))
+
+
+_RANGE = ("1995-01-01", "1997-12-31")
+
+
+def _found_sql(base: str, rows: str, id_col: str, date_col: str) -> str:
+    return f"""SELECT * FROM ({base},
+pred AS {vote_sql('nb', 'distance')},
+tot AS (SELECT tenant_id, table_name, sum(n) AS tot FROM cnt GROUP BY ALL)
+SELECT p.* REPLACE (CAST(p.q_id AS VARCHAR) AS q_id), b.cls AS booked,
+       round(coalesce(CASE WHEN c.n >= 5 THEN c.n / t.tot ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 9) AS class_frequency
+FROM pred p JOIN {rows} b ON b.{id_col} = p.q_id
+LEFT JOIN cnt c ON c.tenant_id = p.tenant_id AND c.table_name = p.table_name AND c.cls = b.cls
+LEFT JOIN tot t ON t.tenant_id = p.tenant_id AND t.table_name = p.table_name
+WHERE p.prediction IS DISTINCT FROM b.cls AND b.{date_col} BETWEEN DATE '{_RANGE[0]}' AND DATE '{_RANGE[1]}')"""
+
+
+@query("audit_range", _found_sql(ORDER_BASE.replace("o_totalprice,\n", "o_totalprice, o_orderdate,\n", 1), "base", "o_orderkey", "o_orderdate")
+       + " UNION ALL BY NAME " + _found_sql(LINE_BASE, "base", "line_item_id", "journal_date"))
+def audit_range(spark, d):
+    """Findings of two line tables in a date range, all tenants."""
+    train, queries = order_split(spark, d)
+    lines, line_queries = line_split(spark, d)
+    return scoring.audit_range([(scoring.fit(train, ORDER_SPEC), queries), (scoring.fit(lines, LINE_SPEC), line_queries)], *_RANGE)

@@ -162,6 +162,12 @@ def page_q(spark, d):
     return tables.page(si.invoices(spark, d), ["id"], 2, 100)
 
 
+@query("page_after", with_(INV) + "SELECT * FROM inv WHERE id > 1000 ORDER BY id LIMIT 100")
+def page_after_q(spark, d):
+    """W2 keyed: the 100 headers after a given id (paging is the feature)."""
+    return tables.page_after(si.invoices(spark, d), "id", 1000, 100)
+
+
 @query("lookup_ids", with_(INV, ILI) + f""",
 f AS (SELECT {_LINE_SQL_COLS}, i.type AS source_type, i.date AS journal_date
       FROM ili l JOIN inv i ON l.invoice_unique_id = i.id)

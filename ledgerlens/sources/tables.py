@@ -6,7 +6,7 @@ them into the parquet scan (``PushedFilters`` / ``ReadSchema``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,22 +41,30 @@ def scan_filter_limit(df: DataFrame, *, id_col: str = "id", tenant_col: str = "t
 
 
 def page(df: DataFrame, order_cols: list[str | Column], page_no: int, page_size: int) -> DataFrame:
-    """W2 as a user-facing operator: rows ``[page_no*size, (page_no+1)*size)`` in a total order."""
+    """W2 as a user-facing operator: rows ``[page_no*size, (page_no+1)*size)`` in a total order.
+
+    Spark keeps the rows up to the page's end on the driver, so this is for first pages;
+    ``page_after`` reads on from a key at any depth.
+    """
     return df.orderBy(*order_cols).offset(page_no * page_size).limit(page_size)
 
 
+def page_after(df: DataFrame, key: str, last, page_size: int) -> DataFrame:
+    """W2 keyed: the ``page_size`` rows after the key ``last`` (None: the first), in order of the unique ``key``.
+
+    The key predicate reaches the scan, and only a page of rows is kept, whatever the depth.
+    """
+    rows = df if last is None else df.filter(F.col(key) > F.lit(last))
+    return rows.orderBy(key).limit(page_size)
+
+
 def tenants(df: DataFrame, specific=None, tenant_col: str = "tenant_id") -> DataFrame:
     """Distinct tenants; the given tenant if it exists, otherwise all tenants."""
     t = df.select(F.col(tenant_col).alias("tenant_id")).distinct()
     if specific is None:
         return t
-    # the distinct tenant list is small (one row per tenant): a global flag
-    # "does the requested tenant exist" over it needs no driver round trip
-    is_hit = F.col("tenant_id") == F.lit(specific)
-    found = F.max(is_hit.cast("int")).over(Window.partitionBy())
-    return (t.withColumn("_found", found)
-             .filter(is_hit | (F.col("_found") == 0))
-             .drop("_found"))
+    one = t.filter(F.col("tenant_id") == F.lit(specific))
+    return t if one.isEmpty() else one
 
 
 def catalog_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
