@@ -47,11 +47,15 @@ def confusion_long(ev: DataFrame, keys) -> DataFrame:
     lab = labels(ev, keys)
     cells = (lab.withColumnRenamed("label", "y_true")
                 .join(lab.withColumnRenamed("label", "y_pred"), keys))
-    cnt = ev.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-    return (cells.join(cnt, keys + ["y_true", "y_pred"], "left")
+    return (cells.join(confusion_counts(ev, keys), keys + ["y_true", "y_pred"], "left")
                  .withColumn("n", F.coalesce(F.col("n"), F.lit(0).cast("long"))))
 
 
+def confusion_counts(ev: DataFrame, keys) -> DataFrame:
+    """A15 without the zeros: rows per (true, predicted) pair that occurs; enough for all metrics."""
+    return ev.groupBy(*keys, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_pivot(conf: DataFrame, keys, label_values) -> DataFrame:
     """A15 wide form: one row per true label, one column for each of ``label_values`` (null: not a label of the group)."""
     return conf.groupBy(*keys, "y_true").pivot("y_pred", list(label_values)).agg(F.sum("n"))

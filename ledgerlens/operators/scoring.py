@@ -175,6 +175,18 @@ def audit(model: Model, lines: DataFrame, weights: str | None = None) -> DataFra
     return anomalies(j, "booked")
 
 
+def result_rows(model: Model, lines: DataFrame, weights: str | None = None) -> DataFrame:
+    """One row per scored line: keys, q_id, prediction, score, booked class and its frequency, explanations.
+
+    ``explanations`` is the ranked list of neighbours (rank, t_id, t_label, distance).
+    """
+    spec, keys = model.spec, list(model.spec.group_keys)
+    nb, pred = predict(model, lines, weights)
+    why = nb.groupBy(*keys, "q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t_id", "t_label", "distance"))).alias("explanations"))  # k per line
+    booked = lines.select(*keys, F.col(spec.id_col).alias("q_id"), float_string_label(clean_target(spec.target)).alias("booked"))
+    return class_frequency(model, pred.join(booked, keys + ["q_id"]).join(why, keys + ["q_id"]), "booked")
+
+
 def audit_range(tables: list[tuple[Model, DataFrame]], start=None, end=None) -> DataFrame:
     """C18 over several line tables: ``audit`` of the lines dated ``start``..``end`` (inclusive, None: unbounded), appended."""
     out = None

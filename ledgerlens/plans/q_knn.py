@@ -350,3 +350,19 @@ def audit_range(spark, d):
     train, queries = order_split(spark, d)
     lines, line_queries = line_split(spark, d)
     return scoring.audit_range([(scoring.fit(train, ORDER_SPEC), queries), (scoring.fit(lines, LINE_SPEC), line_queries)], *_RANGE)
+
+
+@query("result_rows", ORDER_BASE + f""",
+pred AS {vote_sql('nb', 'distance')},
+why AS (SELECT q_id, string_agg(concat_ws(':', rank, t_id, t_label, CAST(round(distance * 1000000) AS BIGINT)), ' ' ORDER BY rank) AS explanations FROM nb GROUP BY q_id),
+tot AS (SELECT tenant_id, table_name, sum(n) AS tot FROM cnt GROUP BY ALL)
+SELECT p.*, b.cls AS booked, why.explanations,
+       round(coalesce(CASE WHEN c.n >= 5 THEN c.n / t.tot ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 9) AS class_frequency
+FROM pred p JOIN base b ON b.o_orderkey = p.q_id JOIN why ON why.q_id = p.q_id
+LEFT JOIN cnt c ON c.tenant_id = p.tenant_id AND c.table_name = p.table_name AND c.cls = b.cls
+LEFT JOIN tot t ON t.tenant_id = p.tenant_id AND t.table_name = p.table_name""")
+def result_rows(spark, d):
+    """The whole answer per held-out line; explanations shown as text, distances in millionths."""
+    model, queries = order_model(spark, d)
+    one = lambda e: F.concat_ws(":", e["rank"].cast("string"), e["t_id"].cast("string"), e["t_label"], F.round(e["distance"] * 1000000).cast("long").cast("string"))
+    return scoring.result_rows(model, queries).withColumn("explanations", F.array_join(F.transform("explanations", one), " "))

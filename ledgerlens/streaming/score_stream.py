@@ -18,9 +18,13 @@ from ledgerlens.operators import scoring
 def score_stream(spark: SparkSession, model: scoring.Model, source_dir: str, schema, sink_dir: str,
                  checkpoint_dir: str, *, weights: str | None = None, fmt: str = "parquet",
                  dedupe_col: str | None = None, event_time: str | None = None,
-                 watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
+                 watermark: str = "1 day", available_now: bool = True,
+                 max_files: int | None = None) -> StreamingQuery:
     """Start the stream; returns the running query (``awaitTermination`` for availableNow)."""
-    stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files:  # bounds a micro-batch
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    stream = reader.load(source_dir)
     if dedupe_col and event_time:
         stream = stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([dedupe_col])
 
