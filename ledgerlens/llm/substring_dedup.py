@@ -137,12 +137,19 @@ def _repeats(groups: int):
 
 
 def _groups(groups: int):
-    """Adds the final group of each document, as `_repeats` computes it."""
+    """Adds the final group of each document, as `_repeats` computes it, and packs the text for the shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("dk", pa.int64()), ("g", pa.int32()), ("size", pa.int64()), ("packed", pa.binary())])
+
     def run(batches):
-        for b in batches:
-            did, dk = b.column("k").to_numpy(), b.column("dk").to_numpy()
-            g = (C.mix(did.astype(np.uint64) ^ C.mix(dk.astype(np.uint64))) % np.uint64(groups)).astype(np.int32)
-            yield b.append_column("g", pa.array(g))
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for t in C.chunks(batch):
+                did, dk = t.column("k").to_numpy(), t.column("dk").to_numpy()
+                g = (C.mix(did.astype(np.uint64) ^ C.mix(dk.astype(np.uint64))) % np.uint64(groups)).astype(np.int32)
+                texts = C.texts(t.column("text"))
+                yield pa.RecordBatch.from_pydict({"doc_id": t.column("doc_id").combine_chunks(), "k": did, "dk": dk, "g": g, "size": [len(x) for x in texts],
+                                                  "packed": [codec.compress(x, asbytes=True) for x in texts]}, schema)
+
     return run
 
 
@@ -160,9 +167,9 @@ def _cut(size: int, keep_text: bool):
             did, dk, start = did[by], dk[by], start[by]
             at = np.flatnonzero(np.r_[True, (did[1:] != did[:-1]) | (dk[1:] != dk[:-1])])
             found = {(int(did[a]), int(dk[a])): start[a:b] for a, b in zip(at, np.r_[at[1:], len(did)], strict=True)}
-        out = {name: [] for name in schema.names}
-        for i, k, dk, text in zip(docs.column("doc_id").to_pylist(), docs.column("k").to_pylist(), docs.column("dk").to_pylist(), C.texts(docs.column("text")), strict=True):
-            have, s = text.split(), found.get((k, dk))
+        out, codec = {name: [] for name in schema.names}, pa.Codec("zstd", 1)
+        for i, k, dk, size_of, packed in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "k", "dk", "size", "packed")), strict=True):
+            have, s = codec.decompress(packed, size_of, asbytes=True).split(), found.get((k, dk))
             kept, removed, cuts = have, 0, []
             if s is not None:
                 new = np.flatnonzero(np.r_[True, s[1:] > s[:-1] + size])  # touching windows merge
@@ -198,6 +205,6 @@ def substring_dedup(docs: DataFrame, size: int = 50, keep_text: bool = True) ->
     groups = C.parts_for(spark, total, GROUP_BYTES)
     places = d.select("k", "dk", "text").mapInArrow(_places(size, buckets), _PACKED)
     repeats = places.groupBy("bucket").applyInArrow(_repeats(groups), _REPEATS)
-    whole = d.mapInArrow(_groups(groups), "doc_id long, text string, k long, dk long, g int")
+    whole = d.mapInArrow(_groups(groups), "doc_id long, k long, dk long, g int, size long, packed binary")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>" + ", kept_text string" * keep_text
     return whole.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(_cut(size, keep_text), out)
