@@ -123,7 +123,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC, read the records back and assemble the captures."""
-    records = keep(read_warc(write_warc(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")), with_payload=False), "warc-records")
+    records = read_warc(write_warc(table(spark, sf_dir, "pages"), shared_folder(spark, "warc")), with_payload=False)
     captures = keep(assemble(records).select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type")), "warc-captures")

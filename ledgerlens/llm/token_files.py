@@ -301,7 +301,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     parts = C.parts_for(docs.sparkSession, C.text_bytes(docs), FILE_BYTES)
     d = docs.select(C.id_key().alias("k"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"))
     d = d.repartitionByRange(parts, "k", "dk").sortWithinPartitions("k", "dk").select("k", "text")
-    manifest = C.keep(d.mapInArrow(_write(folder, tokenizer, end_id), "part int, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = d.mapInArrow(_write(folder, tokenizer, end_id), "part int, path string, n_docs long, n_ids long")
+    manifest = C.keep(manifest.repartition(1), "token-manifest")  # a row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

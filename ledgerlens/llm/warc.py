@@ -114,7 +114,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     verdicts = (p.select("k", "digest", "bytes").distinct().filter(F.col("bytes") >= REVISIT_BYTES).join(shared, "digest")
                 .filter("k <> response_k").select("k", "digest", "refers_url", F.lit(True).alias("is_revisit")))
     rows = p.join(verdicts, ["k", "digest"], "left").select("page_id", "url", "html", "digest", F.coalesce("is_revisit", F.lit(False)).alias("revisit"), "refers_url")
-    return C.keep(rows.mapInArrow(_write(folder), "part int, path string, n_captures long"), "warc-manifest")
+    return C.keep(rows.mapInArrow(_write(folder), "part int, path string, n_captures long").repartition(1), "warc-manifest")  # a row per file
 
 
 # --- reading -----------------------------------------------------------------
@@ -226,21 +226,23 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata, n_requests, n_metadata.
 
-    Records of the table are joined on the response's record id, which requests
-    and metadata records give in concurrent_to (their own id if it is absent).
+    The three kinds of records are joined (full outer) on the response's record id, which
+    requests and metadata records give in concurrent_to (their own id if it is absent).
+    The join is one grouped pass over the records: each side keeps its least record id
+    before the shuffle, so the archive is read once and an id that thousands of records
+    name moves a row per task.
     """
+    kind = F.col("type")
+    main = kind.isin("response", "revisit")
     side = [c for c in records.columns if c not in ("part", "concurrent_to")]
-    key = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
-    r = records.withColumn("capture_id", key)
-
-    def of(kind: str, columns: list[str]) -> DataFrame:
-        # one row per capture already, but for archives that repeat a partner: then the least record id
-        named = r.filter(F.col("type") == kind).select("capture_id", F.struct(*columns).alias(kind))
-        count = f"n_{kind}s" if kind == "request" else f"n_{kind}"
-        return named.groupBy("capture_id").agg(F.min(kind).alias(kind), F.count(F.lit(1)).alias(count))
-
-    main = r.filter(F.col("type").isin("response", "revisit")).select("capture_id", F.struct(*side).alias("response"))
-    request = of("request", ["record_id", "target_uri", "date", "method"])
-    metadata = of("metadata", ["record_id", "target_uri", "date", "content_type", "page_id"])
-    return (main.join(request, "capture_id", "full").join(metadata, "capture_id", "full")
-            .select("capture_id", "response", "request", "metadata", F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata")))
+    key = F.when(main, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+
+    def of(which, columns: list[str]):
+        return F.min(F.when(which, F.struct(*columns)))  # record_id comes first
+
+    r = records.filter(main | kind.isin("request", "metadata")).withColumn("capture_id", key)
+    return r.groupBy("capture_id").agg(
+        of(main, ["record_id", *(c for c in side if c != "record_id")]).alias("response"),
+        of(kind == "request", ["record_id", "target_uri", "date", "method"]).alias("request"),
+        of(kind == "metadata", ["record_id", "target_uri", "date", "content_type", "page_id"]).alias("metadata"),
+        F.count_if(kind == "request").alias("n_requests"), F.count_if(kind == "metadata").alias("n_metadata"))
