@@ -97,8 +97,12 @@ def judge(docs: DataFrame, host: str = "source", host_limit: int = HOST_LIMIT) -
 def passing(docs: DataFrame, host: str = "source", host_limit: int = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns (rules of a text are computed once).
 
-    A row's verdict follows from its text and host, so verdicts join back on these.
+    Only suspect documents depend on their host, so only they are joined with the bad hosts;
+    all others are kept or dropped where they stand.
     """
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(host).alias("host"))
     rows = C.keep(with_rules(marked).select("_row", "host", "base_failed", "suspect"), "quality-passing")
-    return _verdict(rows, host_limit).filter("kept").select("_row.*")
+    bad = host_verdicts(rows.select("host", "base_failed"), host_limit).filter("bad").select(F.col("host").alias("_host"))
+    passed = rows.filter(~F.col("base_failed"))
+    doubtful = passed.filter("suspect").join(bad, F.col("host").eqNullSafe(F.col("_host")), "left_anti")
+    return passed.filter(~F.col("suspect")).unionByName(doubtful).select("_row.*")
