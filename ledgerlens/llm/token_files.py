@@ -170,7 +170,9 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
-_STOPS = b".,;:!?"
+_STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _UPPER = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff]")
 
 
@@ -214,19 +216,11 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> None:
         cache, merge, rest = self.cache, self._merge, [] if self.direct else words
         for w in words if self.direct else ():
-            s = w.rstrip(_STOPS)
-            plain = self._plain(s)
+            plain = self._plain(w)
             if plain is None:
                 rest.append(w)
-                continue
-            ids = cache.get(s)
-            if ids is None:
-                ids = cache[s] = merge(plain)
-            if len(s) != len(w):
-                stops = w[len(s):]
-                if stops not in cache:
-                    cache[stops] = array("I", self.tok.encode(stops.decode(), add_special_tokens=False).ids).tobytes()
-                cache[w] = ids + cache[stops]
+            else:
+                cache[w] = merge(plain)
         for a in range(0, len(rest), 500):
             some = rest[a:a + 500]
             joined = [w.decode() for w in some]
@@ -252,8 +246,15 @@ class WordTokenizer:
         start, end, doc = C.words(low, off)
         size = end - start
         packed = low[~C.SEPARATOR[low]]  # all words in a row
-        offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
+        first = np.cumsum(size) - size
+        if self.direct:  # stops behind a letter or digit begin a word of their own
+            new = np.zeros(len(packed), bool)
+            new[1:] = _STOP[packed[1:]] & _ALNUM[packed[:-1]]
+            new[first] = True
+            whole, first = first, np.flatnonzero(new)
+            doc = doc[np.searchsorted(whole, first, "right") - 1]
+        offsets = np.r_[first, len(packed)].astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         cache = self.cache
         if len(cache) > WORDS_KEPT:  # go on with the words of this chunk
