@@ -232,7 +232,7 @@ def test_decontamination(spark):
 
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
-    items = [(n, f"item number {n} has these words and a tail {n * 7919}") for n in range(4)]
+    items = [(n, " ".join(f"w{n}{j}{n * j}" for j in range(9))) for n in range(4)]
     rows = [(9, f"see {items[1][1]} and {items[3][1]}", "s"), (10, "nothing here at all, really nothing", "s")]
     got = {r.doc_id: r.items for r in decontaminate.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {9: [1, 3], 10: []}
