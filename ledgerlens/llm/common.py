@@ -16,6 +16,8 @@ from ledgerlens.session import ensure_checkpoint_dir, materialize
 
 #: Text handled at once inside a task (a single longer document is handled alone).
 CHUNK_BYTES = 4 << 20
+#: Bytes hashed at once.
+HASH_BYTES = 1 << 20
 #: Stands for a null id wherever ids are ordered or joined; null ids sort first.
 NULL_ID = -(1 << 63)
 
@@ -124,14 +126,22 @@ class SpanHash:
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         size = ends - starts
+        out = np.zeros(len(size), np.uint64)
         if not len(size):
-            return np.zeros(0, np.uint64)
-        first = np.cumsum(size) - size
-        rel = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
-        at = rel + np.repeat(starts, size)
-        if (most := int(size.max())) > len(self.powers):
+            return out
+        if (most := int(size.max())) >= len(self.powers):
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(2 * most, self.base, np.uint64)], dtype=np.uint64)
-        return mix(np.add.reduceat(self.table[raw[at]] * self.powers[rel], first))
+        part = (np.cumsum(size) - size) // HASH_BYTES  # a slice of spans at a time
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            n = size[a:b]
+            first = np.cumsum(n) - n
+            rel = np.arange(int(first[-1] + n[-1])) - np.repeat(first, n)
+            values = self.powers[rel]
+            rel += np.repeat(starts[a:b], n)
+            values *= self.table[raw[rel]]
+            out[a:b] = np.add.reduceat(values, first)
+        return mix(out)
 
 
 def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
