@@ -82,26 +82,25 @@ def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric
     """MI(feature; target) per group, ranked ascending (least informative first).
 
     Categorical: null is a category.  Numeric: null -> group median (A10), then
-    ``bins`` equal-width bins over the group's [min, max] (declared divergence
+    ``bins`` quantile bins by rank, equal values in one bin (declared divergence
     D3: the reference's nearest-neighbour estimator is unseeded; only the
-    elimination order depends on MI).  Returns ``(keys, feature, mi, mi_rank)``.
+    elimination order depends on MI).  Medians and ranks take a group at a time,
+    so this runs on the selection sample.  Returns ``(keys, feature, mi, mi_rank)``.
     """
     keys = list(keys)
     d = df
     if numeric:
-        st = d.groupBy(*keys).agg(*[F.median(c).alias(f"_med{i}") for i, c in enumerate(numeric)],
-                                  *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(numeric)],
-                                  *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(numeric)])
+        st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.median(c).alias(f"_med{i}") for i, c in enumerate(numeric)])
         d = d.join(st, keys)
+        for i, c in enumerate(numeric):
+            d = d.withColumn(f"_x{i}", F.coalesce(F.col(c).cast("double"), F.col(f"_med{i}")))
+            rank = F.rank().over(Window.partitionBy(*keys).orderBy(f"_x{i}"))
+            d = d.withColumn(f"_b{i}", F.floor((rank - 1) * F.lit(float(bins)) / F.col("_rows")).cast("string"))
     vals = []
     for c in categorical:
         vals.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")))
     for i, c in enumerate(numeric):
-        x = F.coalesce(F.col(c).cast("double"), F.col(f"_med{i}"))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-        b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - lo) / span * bins))).cast("string")
-        vals.append(F.struct(F.lit(c).alias("feature"), b.alias("x")))
+        vals.append(F.struct(F.lit(c).alias("feature"), F.col(f"_b{i}").alias("x")))
     long = d.select(*keys, F.col(target).cast("string").alias("y"), F.explode(F.array(*vals)).alias("_v")) \
             .select(*keys, "y", "_v.feature", "_v.x")
     nxy = long.groupBy(*keys, "feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))

@@ -32,8 +32,13 @@ def selection_input(spark, d):
     return model.ref
 
 
+def selection_sample(spark, d):
+    """At most 10 000 rows per nation, with at least 5 of each class."""
+    return sel.sample_min_per_class(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+
+
 def with_folds(spark, d):
-    return sel.stratified_folds(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+    return sel.stratified_folds(selection_sample(spark, d), KEYS, "o_orderpriority", "o_orderkey")
 
 
 _NA = "CASE WHEN o_orderpriority IS NULL OR o_orderpriority IN ('None', 'nan', 'NaN') THEN 'NOT_APPLICABLE' ELSE o_orderpriority END"
@@ -115,7 +120,7 @@ def _cands_df(groups, subsets):
 
 
 def _cv(spark, d, subsets):
-    s = sel.sample_min_per_class(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+    s = selection_sample(spark, d)
     s = materialize(sel.stratified_folds(s, KEYS, "o_orderpriority", "o_orderkey"), "cv_sample")
     cands = _cands_df(s.select(*KEYS).distinct(), subsets)
     cv = sel.cv_evaluate(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
@@ -159,11 +164,9 @@ def _mi_sql(kind: str) -> str:
     else:
         vals = "\n UNION ALL ".join(
             f"""SELECT tenant_id, table_name, cls AS y, '{c}' AS feature,
-                CAST(CAST(least(9, greatest(0, floor((coalesce({c}, md_{c}) - lo_{c}) /
-                     CASE WHEN hi_{c} > lo_{c} THEN hi_{c} - lo_{c} ELSE 1.0::DOUBLE END * 10))) AS BIGINT) AS VARCHAR) AS x
+                CAST(CAST(floor((rank() OVER (PARTITION BY tenant_id, table_name ORDER BY coalesce({c}, md_{c})) - 1) * 10.0::DOUBLE / n_rows) AS BIGINT) AS VARCHAR) AS x
                 FROM s0 JOIN nst USING (tenant_id, table_name)""" for c in NUM)
-    nst = ",\nnst AS (SELECT tenant_id, table_name, " + ", ".join(
-        f"median({c}) AS md_{c}, min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM) + " FROM s0 GROUP BY ALL)"
+    nst = ",\nnst AS (SELECT tenant_id, table_name, count(*) AS n_rows, " + ", ".join(f"median({c}) AS md_{c}" for c in NUM) + " FROM s0 GROUP BY ALL)"
     return SEL_BASE + nst + f""",
 lg AS ({vals}),
 nxy AS (SELECT tenant_id, table_name, feature, x, y, count(*) AS nxy FROM lg GROUP BY ALL),
@@ -179,13 +182,13 @@ SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi
 @query("mi_discrete", _mi_sql("discrete"))
 def mi_discrete(spark, d):
     """Mutual information of the categorical features with the class, per nation."""
-    return sel.mutual_information(selection_input(spark, d), KEYS, "o_orderpriority", categorical=CAT)
+    return sel.mutual_information(selection_sample(spark, d), KEYS, "o_orderpriority", categorical=CAT)
 
 
 @query("mi_numeric", _mi_sql("numeric"))
 def mi_numeric(spark, d):
     """Mutual information of the binned numeric features with the class, per nation."""
-    return sel.mutual_information(selection_input(spark, d), KEYS, "o_orderpriority", numeric=NUM)
+    return sel.mutual_information(selection_sample(spark, d), KEYS, "o_orderpriority", numeric=NUM)
 
 
 @query("cv_scores", cv_sql(FULL) + " SELECT cv.*, cset.n_features FROM cv JOIN cset USING (cand)")
@@ -197,7 +200,7 @@ def cv_scores(spark, d):
 @query("cv_folds", cv_sql(FULL) + " SELECT tenant_id, table_name, cand, k, weights, fold_g AS fold, round(acc, 9) AS fold_accuracy FROM facc")
 def cv_folds(spark, d):
     """The accuracy of every fold behind ``cv_scores``."""
-    s = sel.sample_min_per_class(selection_input(spark, d), KEYS, "o_orderpriority", "o_orderkey")
+    s = selection_sample(spark, d)
     s = materialize(sel.stratified_folds(s, KEYS, "o_orderpriority", "o_orderkey"), "cv_sample")
     cands = _cands_df(s.select(*KEYS).distinct(), FULL)
     f = sel.cv_fold_scores(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
