@@ -204,7 +204,9 @@ def substring_dedup(docs: DataFrame, size: int = 50, keep_text: bool = True) ->
     buckets = max(1, -(-total // 6 // BUCKET_WINDOWS))
     groups = C.parts_for(spark, total, GROUP_BYTES)
     places = d.select("k", "dk", "text").mapInArrow(_places(size, buckets), _PACKED)
-    repeats = places.groupBy("bucket").applyInArrow(_repeats(groups), _REPEATS)
+    # partitions by the data's size, whatever the session's default
+    repeats = places.repartition(max(buckets, spark.sparkContext.defaultParallelism), "bucket").groupBy("bucket").applyInArrow(_repeats(groups), _REPEATS)
     whole = d.mapInArrow(_groups(groups), "doc_id long, k long, dk long, g int, size long, packed binary")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>" + ", kept_text string" * keep_text
+    whole, repeats = (x.repartition(groups, "g") for x in (whole, repeats))
     return whole.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(_cut(size, keep_text), out)
