@@ -7,9 +7,10 @@ the same document at an earlier word); windows are judged on the input.
 Plan
 1. Map: numpy hashes of all words and windows (two independent 64-bit hashes).
    Within a chunk of text only the first place of a window is sent on; the
-   others are known to be repeats.  So a passage of a third of all documents
-   sends a row entry per chunk, not per document.  Entries travel packed, one
-   row for each (bucket, chunk); the bucket comes from the second hash.
+   others are known to be repeats and travel in a bucket of their document's
+   final group.  So a passage of a third of all documents sends its bucket an
+   entry per chunk, not per document.  Entries travel packed, one row for each
+   (bucket, chunk); the bucket of the others comes from the second hash.
 2. Count: a bucket meets all places of its windows, sorts the hashes, and
    everything but the first place of a hash is a repeat.  The number of buckets
    grows with the text, so a bucket's size does not.
@@ -61,11 +62,16 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.frombuffer(row["did"], np.int64), counts), np.repeat(np.frombuffer(row["dk"], np.int64), counts), start
 
 
-def _places(size: int, buckets: int):
+def _group(did: np.ndarray, dk: np.ndarray, groups: int) -> np.ndarray:
+    """Final group of documents, spread by id and text."""
+    return (C.mix(did.astype(np.uint64) ^ C.mix(dk.astype(np.uint64))) % np.uint64(groups)).astype(np.int32)
+
+
+def _places(size: int, buckets: int, groups: int):
     one, two = C.SpanHash(11), C.SpanHash(12)
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("did", "dk", "counts", "starts", "hashes"))])
 
-    def rows(t: pa.Table, nth: int) -> Iterator[dict]:
+    def rows(t: pa.Table) -> Iterator[dict]:
         did, dk = (t.column(c).to_numpy() for c in ("k", "dk"))
         order = np.lexsort((dk, did))
         did, dk = did[order], dk[order]
@@ -84,8 +90,13 @@ def _places(size: int, buckets: int):
         by = np.argsort(h1, kind="stable")
         same = np.zeros(len(by), bool)
         same[by[1:]] = (h1[by[1:]] == h1[by[:-1]]) & (h2[by[1:]] == h2[by[:-1]])
-        if same.any():
-            yield {"bucket": buckets + nth % buckets, "hashes": b"", **_pack(doc_at[same], start[same], did, dk)}
+        again, first = doc_at[same], start[same]
+        g = _group(did, dk, groups)[again]
+        by = np.argsort(g, kind="stable")
+        cut = np.flatnonzero(np.diff(g[by], prepend=-1, append=groups))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            x = by[a:b]
+            yield {"bucket": buckets + int(g[x[0]]), "hashes": b"", **_pack(again[x], first[x], did, dk)}
         h1, doc_at, start, bucket = h1[~same], doc_at[~same], start[~same], (h2[~same] % np.uint64(buckets)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -94,12 +105,10 @@ def _places(size: int, buckets: int):
             yield {"bucket": int(b), "hashes": h1[x].tobytes(), **_pack(doc_at[x], start[x], did, dk)}
 
     def run(batches):
-        nth = 0
         for batch in batches:
             for t in C.chunks(batch):
-                if out := list(rows(t, nth)):
+                if out := list(rows(t)):
                     yield pa.RecordBatch.from_pylist(out, schema)
-                nth += 1
 
     return run
 
@@ -123,7 +132,7 @@ def _repeats(groups: int):
             did, dk, start = did[by], dk[by], start[by]
         if not len(did):
             return schema.empty_table()
-        g = (C.mix(did.astype(np.uint64) ^ C.mix(dk.astype(np.uint64))) % np.uint64(groups)).astype(np.int32)
+        g = _group(did, dk, groups)
         by = np.lexsort((start, dk, did, g))
         did, dk, start, g = did[by], dk[by], start[by], g[by]
         new = np.r_[True, (did[1:] != did[:-1]) | (dk[1:] != dk[:-1]) | (g[1:] != g[:-1])]
@@ -145,7 +154,7 @@ def _groups(groups: int):
         for batch in batches:
             for t in C.chunks(batch):
                 did, dk = t.column("k").to_numpy(), t.column("dk").to_numpy()
-                g = (C.mix(did.astype(np.uint64) ^ C.mix(dk.astype(np.uint64))) % np.uint64(groups)).astype(np.int32)
+                g = _group(did, dk, groups)
                 texts = C.texts(t.column("text"))
                 yield pa.RecordBatch.from_pydict({"doc_id": t.column("doc_id").combine_chunks(), "k": did, "dk": dk, "g": g, "size": [len(x) for x in texts],
                                                   "packed": [codec.compress(x, asbytes=True) for x in texts]}, schema)
@@ -203,7 +212,7 @@ def substring_dedup(docs: DataFrame, size: int = 50, keep_text: bool = True) ->
     total = C.text_bytes(docs)
     buckets = max(1, -(-total // 6 // BUCKET_WINDOWS))
     groups = C.parts_for(spark, total, GROUP_BYTES)
-    places = d.select("k", "dk", "text").mapInArrow(_places(size, buckets), _PACKED)
+    places = d.select("k", "dk", "text").mapInArrow(_places(size, buckets, groups), _PACKED)
     # partitions by the data's size, whatever the session's default
     repeats = places.repartition(max(buckets, spark.sparkContext.defaultParallelism), "bucket").groupBy("bucket").applyInArrow(_repeats(groups), _REPEATS)
     whole = d.mapInArrow(_groups(groups), "doc_id long, k long, dk long, g int, size long, packed binary")
