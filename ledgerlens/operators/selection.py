@@ -8,7 +8,9 @@ Cross-validation of every configuration of a round is one job with one neighbour
 pass per (group, fold): the distance is a sum of per-feature terms, a candidate
 feature subset only adds up fewer of them, and k in {3,5,7,9} are prefixes of one
 top-9 list.  It runs on the selection sample, at most ``SELECTION_SAMPLE_ROWS``
-(10 000) labelled rows of a group, so a task's input is bounded.
+(10 000) labelled rows of a group, so a task's input is bounded.  Mutual
+information and folds take all rows they are given; ranks in a group are counted
+over range partitions.
 """
 
 from __future__ import annotations
@@ -71,11 +73,51 @@ def stratified_folds(df: DataFrame, keys, target: str, id_col: str, *, folds: in
                      seed: int = CV_SEED) -> DataFrame:
     """fold = (rank of the row in its class by md5 order - 1) mod folds.
 
-    Class sizes per fold differ by at most one.  Runs on the selection sample
-    (bounded per group), so the per-class window is bounded too.
+    Class sizes per fold differ by at most one.
     """
-    w = Window.partitionBy(*keys, target).orderBy(md5_order(id_col, seed), id_col)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+    rows = df.withColumn("_key", md5_order(id_col, seed)).withColumn("_n", F.lit(1))
+    placed = _running(rows, [*keys, target], ["_key", id_col], "cv_folds")
+    return placed.select(*df.columns, ((F.col("_to") - 1) % folds).cast("int").alias("fold"))
+
+
+def _running(df: DataFrame, group, order, name: str) -> DataFrame:
+    """Adds ``_to``: the sum of ``_n`` over the rows of the group up to this one's ``order`` (equals included).
+
+    Counted over range partitions, so no task takes a whole group.
+    """
+    group = list(group)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), name)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    before = (ranged.groupBy(*group, "_part").agg(F.sum("_n").alias("_s"))
+                    .select(F.struct(*group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy("_part", *group).orderBy(*order)  # rows of equal order included
+    return (ranged.withColumn("_in", F.sum("_n").over(inside))
+                  .join(before, F.struct(*group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+                  .withColumn("_to", F.col("_before") + F.col("_in")).drop("_g", "_p", "_part", "_in", "_before"))
+
+
+def _binned(df: DataFrame, keys, target: str, numeric, bins: int) -> DataFrame:
+    """(keys, feature, x: the bin, y, nxy) of numeric features, from counts of their distinct values."""
+    vals = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric])
+    counts = materialize(df.select(*keys, F.col(target).cast("string").alias("y"), F.explode(vals).alias("_v"))
+                           .groupBy(*keys, "_v.feature", "_v.v", "y").agg(F.count(F.lit(1)).alias("_n")), "mi_counts")
+    by = [*keys, "feature"]
+    some = F.col("v").isNotNull()
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_rows"), F.sum(F.when(some, F.col("_n")).otherwise(0)).alias("_some"))
+    placed = _running(counts.filter(some), by, ["v"], "mi_ranges")
+    placed = materialize(placed.withColumn("_below", F.col("_to") - F.sum("_n").over(Window.partitionBy(*by, "v"))), "mi_positions")
+    at = lambda pos: F.min(F.when((F.col("_below") <= pos) & (pos < F.col("_to")), F.col("v")))
+    low, high = F.floor((F.col("_some") - 1) / 2), F.floor(F.col("_some") / 2)
+    med = placed.join(sizes, by).groupBy(*by).agg((at(low) * 0.5 + at(high) * 0.5).alias("_med"))
+    med = materialize(sizes.join(med, by, "left"), "mi_medians")
+    below_med = placed.join(med, by).filter(F.col("v") < F.col("_med")).groupBy(*by).agg(F.sum("_n").alias("_below"))
+    nulls = F.col("_rows") - F.col("_some")
+    given = placed.join(med, by).withColumn("_rank", F.col("_below") + F.when(F.col("_med") < F.col("v"), nulls).otherwise(0))
+    missing = (counts.filter(~some).join(med, by).join(below_med, by, "left").withColumn("_rank", F.coalesce("_below", F.lit(0))))
+    x = F.floor(F.col("_rank") * F.lit(float(bins)) / F.col("_rows")).cast("string").alias("x")
+    cols = [*by, x, "y", "_n"]
+    return given.select(*cols).unionByName(missing.select(*cols)).groupBy(*by, "x", "y").agg(F.sum("_n").alias("nxy"))
 
 
 def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric=(), bins: int = 10) -> DataFrame:
@@ -84,26 +126,18 @@ def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric
     Categorical: null is a category.  Numeric: null -> group median (A10), then
     ``bins`` quantile bins by rank, equal values in one bin (declared divergence
     D3: the reference's nearest-neighbour estimator is unseeded; only the
-    elimination order depends on MI).  Medians and ranks take a group at a time,
-    so this runs on the selection sample.  Returns ``(keys, feature, mi, mi_rank)``.
+    elimination order depends on MI).  Counts all rows of ``df``, as the reference
+    does before it samples.  Returns ``(keys, feature, mi, mi_rank)``.
     """
     keys = list(keys)
-    d = df
+    tables = []
+    if categorical:
+        vals = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")) for c in categorical])
+        long = df.select(*keys, F.col(target).cast("string").alias("y"), F.explode(vals).alias("_v")).select(*keys, "y", "_v.feature", "_v.x")
+        tables.append(long.groupBy(*keys, "feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy")))
     if numeric:
-        st = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.median(c).alias(f"_med{i}") for i, c in enumerate(numeric)])
-        d = d.join(st, keys)
-        for i, c in enumerate(numeric):
-            d = d.withColumn(f"_x{i}", F.coalesce(F.col(c).cast("double"), F.col(f"_med{i}")))
-            rank = F.rank().over(Window.partitionBy(*keys).orderBy(f"_x{i}"))
-            d = d.withColumn(f"_b{i}", F.floor((rank - 1) * F.lit(float(bins)) / F.col("_rows")).cast("string"))
-    vals = []
-    for c in categorical:
-        vals.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")))
-    for i, c in enumerate(numeric):
-        vals.append(F.struct(F.lit(c).alias("feature"), F.col(f"_b{i}").alias("x")))
-    long = d.select(*keys, F.col(target).cast("string").alias("y"), F.explode(F.array(*vals)).alias("_v")) \
-            .select(*keys, "y", "_v.feature", "_v.x")
-    nxy = long.groupBy(*keys, "feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
+        tables.append(_binned(df, keys, target, numeric, bins))
+    nxy = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
     nx = nxy.groupBy(*keys, "feature", "x").agg(F.sum("nxy").alias("nx"))
     ny = nxy.groupBy(*keys, "feature", "y").agg(F.sum("nxy").alias("ny"))
     n = nxy.groupBy(*keys, "feature").agg(F.sum("nxy").alias("n"))
@@ -258,7 +292,7 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
     df = df.join(guards.filter("state = 'READY'").select(*keys), keys, "left_semi")
     sample = sample_min_per_class(df, keys, target, id_col, num_samples=sample_rows, seed=seed)
     sample = materialize(stratified_folds(sample, keys, target, id_col, folds=folds, seed=seed), "cv_sample")
-    mi = materialize(mutual_information(sample, keys, target, categorical, numeric), "cv_mi")
+    mi = materialize(mutual_information(df, keys, target, categorical, numeric), "cv_mi")
 
     def evaluate(cands: DataFrame) -> DataFrame:
         c = _candidate_masks(cands, feats)
