@@ -60,7 +60,7 @@ MIN_LITERAL, MIN_SCORE = 8, 0.45
 _NAME = rb"[A-Za-z_][A-Za-z0-9_]*+(?:[.-][A-Za-z0-9_]++)*+"
 _FRONT = rb"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_][.-])"
 _PAIR = re.compile(
-    rb"""<(?P<tag>""" + _NAME + rb""")>(?P<body>[^<>\n]{1,4096})</(?P=tag)>
+    rb"""<(?P<tag>""" + _NAME + rb""")>(?P<body>[^<>\n]++)</(?P=tag)>
     |""" + _FRONT + rb"""(?P<name>""" + _NAME + rb""")["']?\]?\x20*(?::\x20*[A-Za-z_][A-Za-z0-9_.]*+\x20*+(?==[^=>]))?(?:=>|:=|=(?!=)|:(?!:))[\x20\t]*
      (?:(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*+)(?P=quote)
        |\$?\{{1,2}\x20*(?P<ref>""" + _NAME + rb""")\x20*\}{1,2}
