@@ -17,7 +17,8 @@ smallest doc_id.
    the threshold falls below ``MISS``.  Survivors are verified on their full sets.
 5. Rest: buckets whose members are in different components by now meet again:
    members outside the bucket's largest component against all others, in hashed
-   blocks of about ``BLOCK`` by ``BLOCK`` rows with their signatures and texts.
+   blocks of about ``BLOCK`` by ``BLOCK`` rows (or ``BLOCK_BYTES`` of text a side)
+   with their signatures and texts.
    A task prunes and verifies a block's pairs as before and returns only links
    that join components, so neither pairs nor links multiply.  No link between
    classes is lost to the choice of centres.  Buckets that stars have joined are
@@ -52,6 +53,8 @@ MISS = 1e-8
 #: Min-hashes compared at once, and members of a block.
 BATCH = 20
 BLOCK = 1000
+#: Bytes of text on a side of a block, about (a single longer document has a block alone).
+BLOCK_BYTES = 16 << 20
 _SLICE = 1 << 16
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -297,7 +300,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD)
     of_comp = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_keys = (of_comp.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
                  .filter("comps > 1").select("key", "n", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("n_out")))
-    rest = labelled.join(open_keys, "key").withColumns({"r_blocks": F.ceil(F.col("n_out") / BLOCK), "d_blocks": F.ceil(F.col("n") / BLOCK), "h": F.xxhash64("id")})
+    lengths = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    rest = labelled.join(open_keys, "key").join(lengths, "id")
+    weight = rest.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("bytes"))).alias("bytes_out"))
+    most = lambda n, b: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(b) / BLOCK_BYTES))
+    rest = rest.drop("bytes").join(weight, "key").withColumns({"r_blocks": most("n_out", "bytes_out"), "d_blocks": most("n", "bytes"), "h": F.xxhash64("id")})
     here = lambda c: F.pmod("h", F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     probes = rest.filter("comp <> main").select("key", "band", "id", "comp", F.lit(True).alias("probe"), here("r_blocks").alias("r"), every("d_blocks").alias("d"))
