@@ -85,4 +85,4 @@ def test_queries_are_registered():
     entry = load("__spark_entry__")
     names = set(entry.queries())
     assert {*QUERIES, "pipeline"} <= names and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
