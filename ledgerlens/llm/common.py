@@ -56,6 +56,23 @@ def parts_for(spark: SparkSession, total: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / each))
 
 
+#: Keys that may each hold more than this share of all rows are fewer than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keys`` (distinct ``on``, their number of rows ``n``, others), hot keys apart.
+
+    A key with more than ``HOT_SHARE`` of the ``total`` rows is hot: there are fewer than
+    1 / HOT_SHARE of them, so they are broadcast and their rows are not shuffled; what is
+    left joins by a shuffle in which no key is large.
+    """
+    is_hot = F.col("n") > total * HOT_SHARE
+    hot = F.broadcast(keys.filter(is_hot).drop("n"))
+    rest = rows.join(F.broadcast(keys.filter(is_hot).select(*on)), on, "left_anti").join(keys.filter(~is_hot).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def chunks(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Slices of ``batch`` whose texts hold about ``limit`` bytes (never less than a row)."""
     t = batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])

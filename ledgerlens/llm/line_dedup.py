@@ -1,28 +1,24 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are compared without white space at their ends; lines without a word are
-left out of the comparison and stay.  A window is the shortest run of whole
-lines, from any line on, that holds at least ``min_words`` words; so every run
-of that many words contains a window, and a long line is one by itself.  A line
-goes if a window covers it whose lines also occur at an earlier place (smaller
-doc_id, or same document, earlier line).  Lines after the last window of a
-repeated run, with fewer than ``min_words`` words from there on, stay.
-
-With ``extend`` the shortest runs that end at a line are windows too.  The last
-start of which a run has ``min_words`` words left begins such a window, so the
-windows of both kinds cover a repeated run whole: exactly the later copies of
-maximal equal runs of at least ``min_words`` words are deleted.
+left out of the comparison and stay.  Later copies of equal runs of lines that
+hold at least ``min_words`` words go, as far as the runs are equal: a line goes
+if it lies in such a run that also occurs at an earlier place (smaller doc_id, or
+same document, earlier line).
 
 Plan
-1. Winnow: each window selects its line of smallest hash (the last of equals).
-   Two equal windows select the same line, so a repeated run of ``min_words``
-   words is guaranteed a shared fingerprint.
+1. Winnow: a window is a shortest run of whole lines with ``min_words`` words,
+   from any line on or up to any line; a long line is one by itself.  Each selects
+   its line of smallest hash (the last of equals).  Two equal windows select the
+   same line, so a repeated run of ``min_words`` words has a shared fingerprint.
 2. Join: places of fingerprints meet; only those that occur at two places go on
    (min and max of the place, so a hot line costs a row per map task).
 3. Extend: around a repeated fingerprint the run is compared to both sides, in
    the form of the windows that selected it, whose hashes cover the lines left
-   and right of it.  Overlapping windows that recur make up the maximal run.
-   All windows of a hash meet their earliest place; no pairs are made.
+   and right of it.  The windows from each line of a maximal equal run that end in
+   it, and those up to each line that begin in it, cover it whole.  All windows of a
+   hash meet their earliest place; no pairs are made.  Fingerprints and windows with
+   a large share of all rows are joined apart, by broadcast.
 4. Cut: windows at later places go back to their documents.
 
 Defined results: null and empty texts have no lines and stay as they are; null
@@ -98,7 +94,7 @@ def _selected(first: np.ndarray, stop: np.ndarray, h: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _winnow(min_words: int, extend: bool):
+def _winnow(min_words: int):
     names = ("k", "dk", "fp", "at", "h1", "h2", "start", "n")
     one, two = C.SpanHash(21), C.SpanHash(22)
 
@@ -108,9 +104,7 @@ def _winnow(min_words: int, extend: bool):
                 raw, off = C.text_buffer(t.column("text"))
                 start, end, words, doc = line_spans(raw, off)
                 h = one(raw, start, end)
-                first, stop, chosen = windows(words, doc, h, min_words)
-                if extend:
-                    first, stop, chosen = (np.r_[a, b] for a, b in zip((first, stop, chosen), windows_to(words, doc, h, min_words), strict=True))
+                first, stop, chosen = (np.r_[a, b] for a, b in zip(windows(words, doc, h, min_words), windows_to(words, doc, h, min_words), strict=True))
                 if not len(first):
                     continue
                 up, down = _powers(_BASE, len(h)), _powers(_INVERSE, len(h))
@@ -125,19 +119,20 @@ def _winnow(min_words: int, extend: bool):
     return run
 
 
-def later_runs(docs: DataFrame, min_words: int, extend: bool = False) -> DataFrame:
+def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """k, dk, runs (start, n: lines with a word, counted in the document) of documents with later copies.
 
     ``docs`` has k, dk and text.
     """
-    w = C.keep(docs.select("k", "dk", "text").mapInArrow(_winnow(min_words, extend), _WINDOWS), "line-windows")
-    place = F.struct("k", "dk", "at")
-    repeated = w.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
-    near = w.join(repeated, "fp", "left_semi")
+    w = C.keep(docs.select("k", "dk", "text").mapInArrow(_winnow(min_words), _WINDOWS), "line-windows")
+    total = w.count()
+    place, count = F.struct("k", "dk", "at"), F.count(F.lit(1)).alias("n")
+    repeated = C.keep(w.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b"), count).filter("a <> b").select("fp", "n"), "line-fingerprints")
+    near = C.keep(C.meet(w.withColumnRenamed("n", "lines"), repeated, ["fp"], total).select("k", "dk", "h1", "h2", "start", "lines"), "line-near")
     where = F.struct("k", "dk", "start")
-    firsts = near.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("h1", "h2", "first")
-    later = near.join(firsts, ["h1", "h2"]).filter(where > F.col("first"))
-    return later.groupBy("k", "dk").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # of one document
+    firsts = C.keep(near.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last"), count).filter("first <> last").drop("last"), "line-firsts")
+    later = C.meet(near, firsts, ["h1", "h2"], total).filter(where > F.col("first"))
+    return later.groupBy("k", "dk").agg(F.collect_list(F.struct("start", F.col("lines").alias("n"))).alias("runs"))  # of one document
 
 
 def cut_text(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
@@ -154,12 +149,12 @@ def cut_text(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
     return b"\n".join([x for i, x in enumerate(lines) if i not in drop]), len(solid), len(drop)
 
 
-def _joined(docs: DataFrame, columns: list, min_words: int, extend: bool) -> DataFrame:
+def _joined(docs: DataFrame, columns: list, min_words: int) -> DataFrame:
     d = docs.select(*columns, F.col("text").cast("string").alias("text"), C.id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"))
-    return d.join(later_runs(d, min_words, extend), ["k", "dk"], "left")
+    return d.join(later_runs(d, min_words), ["k", "dk"], "left")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_text: bool = True, extend: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, kept_sha256, kept_text."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * keep_text)
 
@@ -170,16 +165,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, keep_text: bool = Tr
                 out = {"doc_id": t.column("doc_id").combine_chunks(), "n_lines": [c[1] for c in cut], "n_removed": [c[2] for c in cut], "kept_sha256": [hashlib.sha256(c[0]).hexdigest() for c in cut]}
                 yield pa.RecordBatch.from_pydict(out | ({"kept_text": [c[0].decode() for c in cut]} if keep_text else {}), schema)
 
-    rows = _joined(docs, [F.col("doc_id").cast("long").alias("doc_id")], min_words, extend).select("doc_id", "text", "runs")
+    rows = _joined(docs, [F.col("doc_id").cast("long").alias("doc_id")], min_words).select("doc_id", "text", "runs")
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs cut from text (and n_chars, where it is a column, counted anew).
 
     Documents of which nothing with a word is left go: all they held stands earlier.
     """
-    rows = _joined(docs, [F.struct(*docs.columns).alias("_row")], min_words, extend).select("_row", "text", "runs")
+    rows = _joined(docs, [F.struct(*docs.columns).alias("_row")], min_words).select("_row", "text", "runs")
     schema = T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType())])
 
     def run(batches):

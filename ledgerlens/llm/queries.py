@@ -157,7 +157,10 @@ FROM p LEFT JOIN last ON p.h = last.h
 
 @_query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later copies of runs of lines with 50 words or more, over all documents."""
+    """Later copies of maximal equal runs of lines with 50 words or more, over all documents.
+
+    The SQL takes every run of 50 words or more that occurs earlier; together they are the maximal ones.
+    """
     return line_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
@@ -173,9 +176,9 @@ line AS (SELECT doc_id, i, regexp_replace(l, '^[ 	-
 ]')),
 d AS (SELECT doc_id, list(t ORDER BY p) AS t, list(w ORDER BY p) AS w FROM line GROUP BY doc_id),
 s AS (SELECT doc_id, t, w, unnest(range(1, len(t) + 1)) AS a FROM d),
-e AS (SELECT doc_id, t, a, w, unnest(range(a, least(a + 49, len(t)) + 1)) AS b FROM s),
-win AS (SELECT doc_id, a, min(b) AS b, any_value(t) AS t FROM e WHERE list_sum(w[a:b]) >= 50 GROUP BY doc_id, a),
-later AS (SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(t[a:b], chr(10)) ORDER BY doc_id, a) AS r FROM win) WHERE r > 1),
+e AS (SELECT doc_id, t, a, w, unnest(range(a, len(t) + 1)) AS b FROM s),
+run AS (SELECT doc_id, a, b, md5(array_to_string(t[a:b], chr(10))) AS run FROM e WHERE list_sum(w[a:b]) >= 50),
+later AS (SELECT doc_id, a, b FROM (SELECT doc_id, a, b, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS r FROM run) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS p FROM later),
 gone_line AS (SELECT doc_id, i FROM line JOIN gone USING (doc_id, p)),
 kept AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS t FROM raw ANTI JOIN gone_line USING (doc_id, i) GROUP BY doc_id),

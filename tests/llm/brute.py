@@ -28,19 +28,21 @@ def substring_dedup(rows, size):
 
 
 def line_dedup(rows, min_words):
-    """{doc_id: (n_lines, n_removed, kept text)} of (doc_id, text)."""
-    first, out = {}, {}
+    """{doc_id: (n_lines, n_removed, kept text)} of (doc_id, text): every run with the words, of any length, that occurs earlier."""
+    first, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         lines = (t or "").encode().split(b"\n")
-        solid = [(p, b" ".join([x.strip()]), len(WORD.findall(x))) for p, x in enumerate(lines) if x.strip()]
+        solid = [(p, x.strip(), len(WORD.findall(x))) for p, x in enumerate(lines) if x.strip()]
         gone = set()
         for a in range(len(solid)):
-            n, b = 0, a
-            while b < len(solid) and n < min_words:
+            n = 0
+            for b in range(a, len(solid)):
                 n += solid[b][2]
-                b += 1
-            if n >= min_words and first.setdefault(tuple(s[1] for s in solid[a:b]), (i, a)) != (i, a):
-                gone.update(s[0] for s in solid[a:b])
+                if n >= min_words:
+                    run = tuple(s[1] for s in solid[a:b + 1])
+                    if run in first:
+                        gone.update(s[0] for s in solid[a:b + 1])
+                    first.add(run)
         out[i] = (len(solid), len(gone), b"\n".join(x for p, x in enumerate(lines) if p not in gone).decode())
     return out
 
