@@ -7,6 +7,9 @@ position) at most k apart.  So shared q-grams are counted per segment and band
 of diagonals, bands overlap by k, bands that reach the bound are aligned with
 the segment inside the band, and regions within k edits are reported.
 
+Items of fewer than ``MIN_ITEM`` bytes allow no edit and share too few q-grams:
+they are looked up whole, from each word on, and must end with a word.
+
 Text and items are compared without case (ASCII and Latin-1 letters) and with
 every run of other ASCII characters than letters and digits as one space.
 
@@ -15,10 +18,11 @@ to the tasks one after the other (one block, mostly).  Documents are never
 shuffled; each is read whole where it is.  Work inside a task is numpy over
 chunks of text: q-gram hashes, a bit table, a lookup of the few that pass.
 
-Defined results: null and empty texts have no regions; items without
-id or with fewer than ``MIN_ITEM`` normalised characters are ignored; equal items are each reported; rows are independent,
-so ties and repeated rows need no rule; an empty benchmark marks nothing; the
-document's columns travel as one struct, so no name clashes.
+Defined results: null and empty texts have no regions; items without id, or
+without a letter, digit or other word character, are ignored; equal items are each
+reported; rows are independent, so ties and repeated rows need no rule; an empty
+benchmark marks nothing; the document's columns travel as one struct, so no name
+clashes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ Q = 12
 SEGMENT = 100
 #: Edits allowed per character of a segment.
 EDIT_RATE = 0.06
-#: Normalised characters of the shortest item that is looked for.
+#: Normalised bytes from which on an item is cut in segments; shorter ones are looked up whole.
 MIN_ITEM = 20
 BLOCK_BYTES = 2 << 20
 _BAND = 16
@@ -92,16 +96,26 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item: list[int] = []
         segments: list[np.ndarray] = []
+        short: list[tuple[bytes, int]] = []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             b = normalise(raw, np.array([0, len(raw)]))[0][:-1]
             b = b[:-1] if len(b) and b[-1] == 0x20 else b
+            b = b[1:] if len(b) and b[0] == 0x20 else b
             if len(b) < MIN_ITEM:
+                if len(b):
+                    short.append((b.tobytes(), item))
                 continue
             n = max(1, -(-2 * (len(b) - SEGMENT) // SEGMENT) + 1) if len(b) > SEGMENT else 1
             for a in sorted({round(i * (len(b) - SEGMENT) / max(1, n - 1)) for i in range(n)}) if n > 1 else [0]:
                 segments.append(b[a:a + SEGMENT])
                 self.item.append(item)
+        self.short: dict[int, tuple[np.ndarray, list[list[int]]]] = {}  # by length: texts in order, their items
+        for n in sorted({len(s) for s, _ in short}):
+            of_text: dict[bytes, list[int]] = {}
+            for s, item in sorted(x for x in short if len(x[0]) == n):
+                of_text.setdefault(s, []).append(item)
+            self.short[n] = np.array(list(of_text), f"S{n}"), list(of_text.values())
         self.size = np.array([len(s) for s in segments], np.int64)
         self.edits = np.minimum((self.size * EDIT_RATE).astype(np.int64), (self.size - Q) // Q)  # the bound stays above 0
         self.bound = self.size + 1 - Q * (self.edits + 1)
@@ -167,6 +181,19 @@ class Benchmark:
         at = score.argmin(axis=1)
         return score[np.arange(len(segment)), at], lead + size + at
 
+    def whole(self, b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, 0) of the short items that stand as whole words in normalised text."""
+        gap = (b == 0x20) | (b == 0)
+        start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        for n, (texts, items) in self.short.items():
+            at = start[start + n < len(b)]
+            at = at[gap[at + n]]  # a shorter word may have ended before, and a document: then the bytes differ
+            some = np.ascontiguousarray(b[at[:, None] + np.arange(n)]).view(f"S{n}").ravel()
+            i = np.minimum(np.searchsorted(texts, some), len(texts) - 1)
+            for k in np.flatnonzero(texts[i] == some).tolist():
+                for item in items[i[k]]:
+                    yield item, int(at[k]), int(at[k]) + n, 0
+
     def regions(self, b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(item, start, end, edits) in normalised text, the best one of each segment and place."""
         segment, diagonal = self.bands(b) if len(self.size) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -176,6 +203,7 @@ class Benchmark:
             good = edits <= self.edits[s]
             for seg, e, k in zip(s[good].tolist(), end[good].tolist(), edits[good].tolist(), strict=True):
                 yield self.item[seg], max(0, e - int(self.size[seg])), e, k
+        yield from self.whole(b)
 
 
 def _mark(items):

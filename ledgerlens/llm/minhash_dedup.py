@@ -24,8 +24,10 @@ smallest doc_id.
    classes is lost to the choice of centres.  Buckets that stars have joined are
    done, which keeps this part small.
 
-Each row of a repeated doc_id belongs to that one document: it is linked to
-whatever any of its rows is linked to.
+In ``near_duplicates`` each row of a repeated doc_id belongs to that one document:
+it is linked to whatever any of its rows is linked to.  ``representatives`` takes
+rows that share a doc_id but differ in text as different documents, ordered by
+their text's hash, so that some row of every class stays.
 
 Defined results: null and empty texts, and texts without words, have no shingle
 and no link; texts with fewer words than a shingle have one, the whole sequence;
@@ -40,7 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import common as C
@@ -260,9 +262,17 @@ def _meet(size: int, threshold: int):
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """k, dk, n_shingles, component (smallest ``id_key`` reachable) of every row of doc_id and text."""
-    spark = docs.sparkSession
+    return _classes(docs.select(C.id_key().alias("k"), *_text_and_hash()), shingle, threshold)
+
+
+def _text_and_hash() -> list[Column]:
+    return [F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"), F.col("text").cast("string").alias("text")]
+
+
+def _classes(d: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """As ``classes``, of documents k (rows k, dk, text)."""
+    spark = d.sparkSession
     hashes = band_count(threshold) * ROWS
-    d = docs.select(C.id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"), F.col("text").cast("string").alias("text"))
     base = C.keep(d.mapInArrow(_sets(shingle, hashes), "k long, dk long, n_shingles long, s1 long, s2 long, sig binary, bands array<long>"), "minhash-sets")
     some = base.filter("n_shingles > 0")
     of_set = ["s1", "s2", "n_shingles"]
@@ -325,7 +335,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose document is its class's smallest, with their columns."""
-    gone = classes(docs, shingle, threshold).filter("k <> component").select("k", "dk").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), C.id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"))
-    return rows.join(gone, ["k", "dk"], "left_anti").select("_row.*")
+    """The rows of ``docs`` whose document is its class's smallest, with their columns.
+
+    Documents are (doc_id, text): where a doc_id has several texts, the pairs are numbered
+    in their order and the numbers are classed.  Rows equal in both all stay or go.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), C.id_key().alias("k"), *_text_and_hash())
+    pairs = C.keep(rows.select("k", "dk").distinct(), "minhash-pairs")
+    if pairs.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        gone = _classes(rows.select("k", "dk", "text"), shingle, threshold).filter("k <> component").select("k", "dk")
+    else:
+        parts = C.parts_for(docs.sparkSession, pairs.count(), 1_000_000)
+        numbers = pairs.repartitionByRange(parts, "k", "dk").sortWithinPartitions("k", "dk").withColumn("number", F.monotonically_increasing_id())
+        numbers = C.keep(numbers, "minhash-numbers")
+        numbered = rows.join(numbers, ["k", "dk"]).select(F.col("number").alias("k"), "dk", "text")
+        later = _classes(numbered, shingle, threshold).filter("k <> component").select(F.col("k").alias("number"))
+        gone = numbers.join(later.distinct(), "number").select("k", "dk")
+    return rows.join(gone.distinct(), ["k", "dk"], "left_anti").select("_row.*")
