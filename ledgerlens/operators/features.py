@@ -86,6 +86,17 @@ def known_flags(df: DataFrame, ref: DataFrame, keys, categorical, prefix: str =
     return out
 
 
+def known_values(df: DataFrame, values: DataFrame, keys, categorical, prefix: str = "known_") -> DataFrame:
+    """``known_flags`` from the fitted category values ``(keys, feature, value)`` (see ``category_values``)."""
+    out, keys = df, list(keys)
+    for c in categorical:
+        own = values.filter(F.col("feature") == c).select(*[F.col(k).alias(f"_kv{j}") for j, k in enumerate(keys)], F.col("value").alias("_kval"), F.lit(True).alias(f"{prefix}{c}"))
+        cond = [F.col(k) == F.col(f"_kv{j}") for j, k in enumerate(keys)] + [F.col(c).cast("string").eqNullSafe(F.col("_kval"))]
+        out = (out.join(own, cond, "left").drop(*[f"_kv{j}" for j in range(len(keys))], "_kval")
+                  .withColumn(f"{prefix}{c}", F.coalesce(F.col(f"{prefix}{c}"), F.lit(False))))
+    return out
+
+
 def categorical_penalty(q: str, t: str, known: Column) -> Column:
     """F9/F10 for one categorical feature: 0 equal (null = null), 2 differ-known, 1 unknown."""
     return (F.when(F.col(q).eqNullSafe(F.col(t)), F.lit(0.0))

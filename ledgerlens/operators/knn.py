@@ -16,14 +16,16 @@ Plan (no pair set of a group is ever produced):
    neighbour that agrees with the query on exactly S is among the k numerically
    nearest rows of the query's cell of S: any nearer row of that cell is at
    least as near in total.
-2. Ordinals.  References and queries are range-partitioned by (cell, value); a
-   running count, with the counts of earlier partitions added, gives every row
-   its position in its cell, so a hot cell (a whole tenant) is counted by many
-   tasks.
-3. Candidates.  A query joins the positions around its own on
-   ``(cell, position block)``: at most ``3 k`` rows for each subset, whatever
-   the group's size or its distribution.  A pair counts in the cell of its exact
-   agreement only, hence once.
+2. Index.  References are range-partitioned by (cell, value); a running count,
+   with the counts of earlier partitions added, gives every row its position in
+   its cell, so a hot cell (a whole tenant) is counted by many tasks.  Rows are
+   written in blocks of positions, and the value of every ``MARK``-th position
+   apart from them.  The index belongs to the references: it is built once and
+   kept in a model; queries only sort themselves among the marks.
+3. Candidates.  The last mark before a query tells its position up to ``MARK`` - 1
+   rows; the query joins the blocks around it on ``(cell, block)``: a number of rows
+   for each subset that depends on k only, whatever the group's size or its
+   distribution.  A pair counts in the cell of its exact agreement only, hence once.
 4. With more than one numeric feature the candidates only bound the k-th
    distance; the rows that can be nearer lie, for each subset whose penalty is
    within the bound, in a range of the first numeric feature, and are joined by
@@ -41,6 +43,7 @@ partition holds more than one query's candidates per map task.
 from __future__ import annotations
 
 import operator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -53,7 +56,8 @@ from ledgerlens.operators.features import categorical_penalty
 from ledgerlens.session import materialize
 
 SCORE_DECIMALS = 9   # vote scores are shares of the group's votes, so this is relative
-BAND_BLOCK = 64      # positions per block of the range join (several numerics)
+BLOCK = 16           # positions of a cell per block of the index
+MARK = 8             # every so many positions a value is marked
 TILE_ROWS = 1024     # rows of a block of vectors
 
 
@@ -77,94 +81,120 @@ def pair_d2(a: str, b: str, n_num: int, n_cat: int, known: str | None, scale: st
 
 
 def _cells(df: DataFrame, keys, prefix: str, n_cat: int) -> DataFrame:
-    """One row per subset of categorical features: ``subset`` (bits) and the cell as two 64-bit hashes."""
+    """One row per subset of categorical features: ``subset`` (bits) and the cell as two 64-bit hashes.
+
+    ``_all`` has the bits of features that the group does not use: all its rows agree on them.
+    """
     tokens = [F.when(F.col(f"{prefix}c{i}").isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.col(f"{prefix}c{i}"))) for i in range(n_cat)]
     cells = []
     for s in range(1 << n_cat):
         parts = [F.col(k) for k in keys] + [F.lit(s)] + [t for i, t in enumerate(tokens) if s >> i & 1]
-        cells.append(F.struct(F.lit(s).alias("subset"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2")))
-    return df.select("*", F.explode(F.array(*cells)).alias("_c")).select(*df.columns, "_c.subset", "_c.h1", "_c.h2")
+        cell = F.struct(F.lit(s).alias("subset"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit("second"), *parts).alias("h2"))
+        cells.append(F.when(F.lit(s).bitwiseAND(F.col("_all")) == F.col("_all"), cell))
+    out = [c for c in df.columns if c != "_all"]
+    return df.select("*", F.explode(F.array_compact(F.array(*cells))).alias("_c")).select(*out, "_c.subset", "_c.h1", "_c.h2")
+
+
+def _masked(df: DataFrame, side: str, keys, masks: DataFrame | None, num_mask, cat_mask, n_num: int, n_cat: int) -> DataFrame:
+    """Features that a row's group does not use made equal in all its rows; their bits in ``_all``."""
+    if masks is None:
+        return df.withColumn("_all", F.lit(0))
+    m = masks.select(*keys, *[F.col(c).alias(f"_mn{i}") for i, c in enumerate(num_mask)], *[F.col(c).alias(f"_mc{i}") for i, c in enumerate(cat_mask)])
+    out = df.join(m, list(keys), "left")
+    use = lambda c: F.coalesce(F.col(c), F.lit(True))
+    for i in range(n_num):
+        out = out.withColumn(f"{side}n{i}", F.when(use(f"_mn{i}"), F.col(f"{side}n{i}")).otherwise(F.lit(0.0)))
+    for i in range(n_cat):
+        out = out.withColumn(f"{side}c{i}", F.when(use(f"_mc{i}"), F.col(f"{side}c{i}")))
+    bits = [F.when(use(f"_mc{i}"), F.lit(0)).otherwise(F.lit(1 << i)) for i in range(n_cat)]
+    return out.withColumn("_all", reduce(operator.add, bits) if bits else F.lit(0)).select(*df.columns, "_all")
 
 
-def _positions(refs: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds ``pos``: to references their rank in the cell by (x, t_id), to probes the references before them.
+@dataclass
+class Index:
+    """References of all groups by cell and position, built once for any number of queries."""
 
-    Both have h1, h2, x; probes also ``side`` (-1: before equal values, 1: after them).
-    """
+    rows: DataFrame   # keys, h1, h2, block, pos, t_id, t_label, tn<i>, tc<i>
+    marks: DataFrame  # keys, h1, h2, x, pos of every MARK-th position
+    keep: int         # equal rows of a cell that are kept: serves k up to this, less one for excluded self
+
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        return self.rows, self.marks
+
+
+def build_index(refs: DataFrame, *, keys, t_id: str, t_label: str, num=(), cat=(), masks: DataFrame | None = None,
+                num_mask=(), cat_mask=(), keep: int) -> Index:
+    """The index of ``refs`` (see ``knn_join`` for the columns) for up to ``keep`` neighbours."""
+    keys = list(keys)
+    n_num, n_cat = len(num), len(cat)
+    t = refs.select(*keys, F.col(t_id).alias("t_id"), F.col(t_label).alias("t_label"),
+                    *[F.col(c).cast("double").alias(f"tn{i}") for i, c in enumerate(num)],
+                    *[F.col(c).cast("string").alias(f"tc{i}") for i, c in enumerate(cat)])
+    t = _masked(t, "t", keys, masks, num_mask, cat_mask, n_num, n_cat)
+    cells = _cells(t, keys, "t", n_cat).withColumn("x", F.col("tn0") if n_num else F.lit(0.0)).drop("subset")
+    # of equal rows of a cell only the smallest ids can be neighbours
+    equal = Window.partitionBy("h1", "h2", *[f"tn{i}" for i in range(n_num)]).orderBy("t_id")
+    cells = cells.withColumn("_r", F.row_number().over(equal)).filter(F.col("_r") <= keep).drop("_r")
     parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h1", "h2", "x", "side", "t_id"]
-    both = refs.withColumn("side", F.lit(0)).unionByName(probes, allowMissingColumns=True)
-    ranged = materialize(both.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "knn_ranges")
-    is_ref = (F.col("side") == 0).cast("long")
+    order = ["h1", "h2", "x", "t_id"]
+    ranged = materialize(cells.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "knn_ranges")
     earlier = Window.partitionBy("h1", "h2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = (ranged.groupBy("h1", "h2", "_part").agg(F.sum(is_ref).alias("_n"))
+    offsets = (ranged.groupBy("h1", "h2", "_part").agg(F.count(F.lit(1)).alias("_n"))
                      .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy("_part", "h1", "h2").orderBy("x", "side", "t_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("_in", F.sum(is_ref).over(inside)).join(offsets, ["h1", "h2", "_part"])
-    placed = materialize(placed.withColumn("pos", F.col("_before") + F.col("_in")).drop("_in", "_before", "_part"), "knn_positions")
-    return (placed.filter("side = 0").select(*refs.columns, "pos"), placed.filter("side <> 0").select(*probes.columns, "pos"))
+    inside = Window.partitionBy("_part", "h1", "h2").orderBy("x", "t_id")
+    placed = ranged.withColumn("_in", F.row_number().over(inside)).join(offsets, ["h1", "h2", "_part"])
+    placed = placed.withColumn("pos", F.col("_before") + F.col("_in")).withColumn("block", F.floor((F.col("pos") - 1) / BLOCK)).drop("_in", "_before", "_part")
+    placed = materialize(placed, "knn_index")
+    return Index(placed.drop("x"), placed.filter((F.col("pos") - 1) % MARK == 0).select(*keys, "h1", "h2", "x", "pos"), keep)
+
+
+def _located(marks: DataFrame, probes: DataFrame) -> DataFrame:
+    """Adds ``pos`` to probes (h1, h2, x, ``side`` -1: before equal values, 1: after them).
+
+    It is the last marked position before the probe: of the references before it at least
+    ``pos``, at most ``pos`` + MARK - 1 stand in the cell.
+    """
+    parts = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = marks.select("h1", "h2", "x", "pos").withColumn("side", F.lit(0)).unionByName(probes, allowMissingColumns=True)
+    ranged = materialize(both.repartitionByRange(parts, "h1", "h2", "x", "side").withColumn("_part", F.spark_partition_id()), "knn_probes")
+    earlier = Window.partitionBy("h1", "h2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = ranged.groupBy("h1", "h2", "_part").agg(F.max("pos").alias("_n")).withColumn("_before", F.max("_n").over(earlier)).drop("_n")
+    inside = Window.partitionBy("_part", "h1", "h2").orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_in", F.max("pos").over(inside)).filter("side <> 0").join(offsets, ["h1", "h2", "_part"])
+    return placed.withColumn("pos", F.coalesce(F.greatest("_in", "_before"), F.lit(0).cast("long"))).select(*probes.columns, "pos")
 
 
-def _blocks(first: Column, last: Column, size: int) -> Column:
+def _blocks(first: Column, last: Column) -> Column:
     """Blocks of positions ``first..last`` (counted from 0), empty if there are none."""
     lo = F.greatest(first, F.lit(0).cast("long"))
-    return F.when(last >= lo, F.sequence(F.floor(lo / size), F.floor(last / size))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= lo, F.sequence(F.floor(lo / BLOCK), F.floor(last / BLOCK))).otherwise(F.array().cast("array<bigint>"))
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str,
-             num=(), scale=(), cat=(), known=(), masks: DataFrame | None = None,
-             num_mask=(), cat_mask=(), k: int = 7, exclude_self: bool = False) -> DataFrame:
-    """Exact k nearest reference rows per query row, within equal ``keys``.
-
-    ``num``: numeric columns; ``scale``: query-side divisors, one per ``num`` (empty = 1);
-    ``cat``: categorical columns; ``known``: query-side boolean columns, one per ``cat``
-    (empty = every value known).  Optional ``masks``: one row per group with boolean columns
-    ``num_mask``/``cat_mask`` (feature used in that group).
+def knn_probe(index: Index, queries: DataFrame, *, keys, q_id: str, num=(), scale=(), cat=(), known=(), masks: DataFrame | None = None,
+              num_mask=(), cat_mask=(), k: int = 7, k_col: str | None = None, exclude_self: bool = False) -> DataFrame:
+    """The k nearest rows of an index per query row, see ``knn_join``; the index is not sorted again.
 
-    Returns ``(keys..., q_id, rank, t_id, t_label, d2, distance)``, ``rank`` 1..k ordered by
-    ``(d2, t_id)``; ``distance = round(sqrt(d2), 6)``.
+    ``k_col``: a query-side column with the row's own number of neighbours, at most ``k``.
     """
     keys = list(keys)
     n_num, n_cat = len(num), len(cat)
     keep = k + (1 if exclude_self else 0)
-    q = queries.select(*keys, F.col(q_id).alias("q_id"),
+    if keep > index.keep:
+        raise ValueError(f"the index serves {index.keep} neighbours, not {keep}")
+    q = queries.select(*keys, F.col(q_id).alias("q_id"), (F.col(k_col).cast("int") if k_col else F.lit(k)).alias("q_k"),
                        *[F.col(c).cast("double").alias(f"qn{i}") for i, c in enumerate(num)],
                        *[(F.col(scale[i]).cast("double") if scale else F.lit(1.0)).alias(f"qs{i}") for i in range(n_num)],
                        *[F.col(c).cast("string").alias(f"qc{i}") for i, c in enumerate(cat)],
                        *[(F.col(known[i]) if known else F.lit(True)).alias(f"qk{i}") for i in range(n_cat)])
-    t = refs.select(*keys, F.col(t_id).alias("t_id"), F.col(t_label).alias("t_label"),
-                    *[F.col(c).cast("double").alias(f"tn{i}") for i, c in enumerate(num)],
-                    *[F.col(c).cast("string").alias(f"tc{i}") for i, c in enumerate(cat)])
-    if masks is not None:  # unused features are equal in all rows of the group
-        m = masks.select(*keys, *[F.col(c).alias(f"_mn{i}") for i, c in enumerate(num_mask)], *[F.col(c).alias(f"_mc{i}") for i, c in enumerate(cat_mask)])
-
-        def blank(df: DataFrame, side: str) -> DataFrame:
-            out = df.join(m, keys, "left")
-            use = lambda c: F.coalesce(F.col(c), F.lit(True))
-            for i in range(n_num):
-                out = out.withColumn(f"{side}n{i}", F.when(use(f"_mn{i}"), F.col(f"{side}n{i}")).otherwise(F.lit(0.0)))
-            for i in range(n_cat):
-                out = out.withColumn(f"{side}c{i}", F.when(use(f"_mc{i}"), F.col(f"{side}c{i}")))
-            return out.select(*df.columns)
-
-        q, t = blank(q, "q"), blank(t, "t")
-
-    # 1. cells; of equal rows of a cell only the smallest ids can be neighbours
-    nums = [f"tn{i}" for i in range(n_num)]
-    tc = _cells(t, keys, "t", n_cat).drop(*keys).withColumn("x", F.col("tn0") if n_num else F.lit(0.0))
-    wp = Window.partitionBy("h1", "h2", *nums).orderBy("t_id")
-    tc = tc.withColumn("_r", F.row_number().over(wp)).filter(F.col("_r") <= keep).drop("_r", "subset")
+    q = _masked(q, "q", keys, masks, num_mask, cat_mask, n_num, n_cat)
     # without numerics the smallest ids are nearest: the query stands before them
     qc = _cells(q, keys, "q", n_cat).withColumn("x", F.col("qn0") if n_num else F.lit(-1.0)).withColumn("side", F.lit(1))
+    rows = index.rows.drop(*keys)
 
-    # 2. positions
-    rp, qp = _positions(tc, qc)
-
-    def matched(probes: DataFrame, size: int) -> DataFrame:
+    def matched(probes: DataFrame) -> DataFrame:
         """Pairs of probes (with from, to: positions from 0) and references, each in the cell of its agreement."""
-        r = rp.drop("x").withColumn("block", F.floor((F.col("pos") - 1) / size))
-        p = probes.select("*", F.explode(_blocks(F.col("from"), F.col("to"), size)).alias("block")).drop("x", "side", "pos")
-        pairs = p.join(r, ["h1", "h2", "block"]).filter((F.col("pos") - 1).between(F.col("from"), F.col("to")))
+        p = probes.select("*", F.explode(_blocks(F.col("from"), F.col("to"))).alias("block")).drop("x", "side", "pos")
+        pairs = p.join(rows, ["h1", "h2", "block"]).filter((F.col("pos") - 1).between(F.col("from"), F.col("to")))
         bits = [F.col(f"qc{i}").eqNullSafe(F.col(f"tc{i}")).cast("int") * (1 << i) for i in range(n_cat)]
         pairs = pairs.filter(F.col("subset") == (reduce(operator.add, bits) if bits else F.lit(0)))
         if exclude_self:
@@ -173,31 +203,49 @@ def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str,
 
     def top(pairs: DataFrame) -> DataFrame:
         w = Window.partitionBy(*keys, "q_id").orderBy("d2", "t_id")
-        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        best = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return best.filter(F.col("rank") <= F.col("q_k")) if k_col else best
 
-    # 3. the nearest positions: equal values stand in order of ids, at most `keep` of them,
-    #    so 2 keep - 1 rows below and at the query's value hold the `keep` nearest of that side
+    # the nearest positions: equal values stand in order of ids, at most `keep` of them,
+    # so 2 keep - 1 rows below and at the query's value hold the `keep` nearest of that side
     pos = F.col("pos")
-    best = top(matched(qp.withColumn("from", pos - (2 * keep - 1)).withColumn("to", pos + (keep - 1)), 2 * keep))
+    best = top(matched(_located(index.marks, qc).withColumn("from", pos - (2 * keep - 1)).withColumn("to", pos + (MARK - 1) + (keep - 1))))
 
-    # 4. several numerics: all rows of the range that the k-th distance leaves open
+    # several numerics: all rows of the range that the k-th distance leaves open
     if n_num > 1:
-        best = materialize(best.select(*keys, "q_id", "rank", "d2"), "knn_bound")
-        bound = best.groupBy(*keys, "q_id").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("_n"))
-        bound = bound.select(*keys, "q_id", F.when(F.col("_n") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
+        best = materialize(best.select(*keys, "q_id", "rank", "d2", "q_k"), "knn_bound")
+        bound = best.groupBy(*keys, "q_id").agg(F.max("d2").alias("bound"), F.count(F.lit(1)).alias("_n"), F.max("q_k").alias("_k"))
+        bound = bound.select(*keys, "q_id", F.when(F.col("_n") >= F.col("_k"), F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
         penalty = reduce(operator.add, [F.when(F.col("subset").bitwiseAND(1 << i) > 0, F.lit(0.0)).when(F.col(f"qk{i}"), F.lit(2.0)).otherwise(F.lit(1.0))
                                         for i in range(n_cat)], F.lit(0.0))
         wide = qc.drop("x", "side").join(bound, [*keys, "q_id"]).withColumn("_left", F.col("bound") - penalty).filter(F.col("_left") >= 0)
         reach = F.sqrt("_left") * F.col("qs0") * (1 + 1e-9)
         ends = wide.select("*", F.explode(F.array(F.struct(F.lit(-1).alias("side"), (F.col("qn0") - reach).alias("x")),
                                                   F.struct(F.lit(1).alias("side"), (F.col("qn0") + reach).alias("x")))).alias("_e")).select(*wide.columns, "_e.*")
-        rp, ep = _positions(tc, ends)
         by = [c for c in qc.columns if c not in ("x", "side")] + ["bound"]
-        span = ep.groupBy(*by).agg(F.min("pos").alias("from"), (F.max("pos") - 1).alias("to"))
-        best = top(matched(span, BAND_BLOCK).filter(F.col("d2") <= F.col("bound")))
+        span = _located(index.marks, ends).groupBy(*by).agg(F.min("pos").alias("from"), (F.max("pos") + (MARK - 2)).alias("to"))
+        best = top(matched(span).filter(F.col("d2") <= F.col("bound")))
     return best.select(*keys, "q_id", "rank", "t_id", "t_label", "d2", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
+def knn_join(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str,
+             num=(), scale=(), cat=(), known=(), masks: DataFrame | None = None,
+             num_mask=(), cat_mask=(), k: int = 7, exclude_self: bool = False) -> DataFrame:
+    """Exact k nearest reference rows per query row, within equal ``keys``.
+
+    ``num``: numeric columns; ``scale``: query-side divisors, one per ``num`` (empty = 1);
+    ``cat``: categorical columns; ``known``: query-side boolean columns, one per ``cat``
+    (empty = every value known).  Optional ``masks``: one row per group with boolean columns
+    ``num_mask``/``cat_mask`` (feature used in that group).
+
+    Returns ``(keys..., q_id, rank, t_id, t_label, d2, distance)``, ``rank`` 1..k ordered by
+    ``(d2, t_id)``; ``distance = round(sqrt(d2), 6)``.
+    """
+    how = {"keys": keys, "num": num, "cat": cat, "masks": masks, "num_mask": num_mask, "cat_mask": cat_mask}
+    index = build_index(refs, t_id=t_id, t_label=t_label, keep=k + (1 if exclude_self else 0), **how)
+    return knn_probe(index, queries, q_id=q_id, scale=scale, known=known, k=k, exclude_self=exclude_self, **how)
+
+
 def knn_vectors(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: str, t_label: str, vec: str,
                 k: int = 7, exclude_self: bool = False) -> DataFrame:
     """``knn_join`` over a dense vector: exact squared Euclidean distance, in tiles.
@@ -248,21 +296,27 @@ def knn_vectors(queries: DataFrame, refs: DataFrame, *, keys, q_id: str, t_id: s
                  .select(*keys, "q_id", "rank", "t_id", "t_label", "d2", F.round(F.sqrt("d2"), 6).alias("distance")))
 
 
-def vote(neighbors: DataFrame, keys, weights: str = "distance") -> DataFrame:
+def vote(neighbors: DataFrame, keys, weights: str | DataFrame = "distance") -> DataFrame:
     """Class vote over the k neighbours of each query.
 
     uniform: weight 1.  distance: weight ``1/d``; if any neighbour is at
     distance 0, only those vote (weight 1).  ``score`` is the class's share of
-    all weights; winner by (score desc, label asc).
+    all weights; winner by (score desc, label asc).  ``weights`` may be a table
+    ``(keys, weights)`` with the weighting of each group.
     Returns ``(keys..., q_id, prediction, score)``.
     """
     keys = list(keys)
     wq = Window.partitionBy(*keys, "q_id")
     near = F.min("d2").over(wq)
-    if weights == "uniform":
+    # relative to the nearest, so the scale of the features does not matter
+    by_distance = F.when(near == 0, F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.sqrt(near / F.col("d2")))
+    if isinstance(weights, DataFrame):
+        neighbors = neighbors.join(weights.select(*keys, F.col("weights").alias("_how")), keys)
+        w = F.when(F.col("_how") == "uniform", F.lit(1.0)).when(F.col("_how") == "distance", by_distance).otherwise(F.raise_error(F.concat(F.lit("unknown weights "), F.coalesce("_how", F.lit("null")))).cast("double"))
+    elif weights == "uniform":
         w = F.lit(1.0)
-    elif weights == "distance":  # relative to the nearest, so the scale of the features does not matter
-        w = F.when(near == 0, F.when(F.col("d2") == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(F.sqrt(near / F.col("d2")))
+    elif weights == "distance":
+        w = by_distance
     else:
         raise ValueError(f"unknown weights {weights!r}")
     s = (neighbors.withColumn("_w", w).withColumn("_w", F.col("_w") / F.sum("_w").over(wq))

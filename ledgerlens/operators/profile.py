@@ -87,21 +87,25 @@ def valid_text_features(df: DataFrame, keys, features) -> DataFrame:
 def trainable_groups(df: DataFrame, keys, target: str, k: int, groups: DataFrame | None = None) -> DataFrame:
     """Group state FINISHED or SKIPPED with the first failing rule.
 
-    Rules in order: empty, one class only (the intended rule, quirk Q1),
-    fewer than ``max(3, k)`` rows.  ``groups``: all groups to report, also those
-    of which the cleaning left no row.
+    Rules in order: empty, no feature that varies (where ``groups`` has a column
+    ``has_features``), one class only (the intended rule, quirk Q1), fewer than
+    ``max(3, k)`` rows.  ``groups``: all groups to report, also those of which the
+    cleaning left no row; its column ``k`` is the group's own.
     """
     keys = list(keys)
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
                               F.count_distinct(F.col(target)).alias("n_classes"))
+    extra = [] if groups is None else [c for c in ("k", "has_features") if c in groups.columns]
     if groups is not None:
-        g = groups.select(*keys).join(g, keys, "left").fillna(0, ["n_rows", "n_classes"])
-    min_rows = max(3, k)
+        g = groups.select(*keys, *extra).join(g, keys, "left").fillna(0, ["n_rows", "n_classes"])
+    min_rows = F.greatest(F.lit(3), F.coalesce("k", F.lit(k))) if "k" in extra else F.lit(max(3, k))
+    featureless = ~F.coalesce("has_features", F.lit(False)) if "has_features" in extra else F.lit(False)
     reason = (F.when(F.col("n_rows") == 0, F.lit("empty"))
+               .when(featureless, F.lit("no_features"))
                .when(F.col("n_classes") <= 1, F.lit("constant_target"))
-               .when(F.col("n_rows") < F.lit(min_rows), F.lit("too_few_rows"))
+               .when(F.col("n_rows") < min_rows, F.lit("too_few_rows"))
                .otherwise(F.lit(None).cast("string")))
-    return (g.withColumn("reason", reason)
+    return (g.drop(*extra).withColumn("reason", reason)
              .withColumn("state", F.when(F.col("reason").isNull(), F.lit("FINISHED"))
                          .otherwise(F.lit("SKIPPED"))))
 

@@ -8,10 +8,13 @@ computed once and both the vote and the explanations derive from them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import operator
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.config import ModelSpec
 from ledgerlens.functions.labels import clean_target, float_string_label
@@ -34,6 +37,25 @@ class Model:
     stats: DataFrame        # one row per trained group: _mean{i}, _std{i}
     mask: DataFrame         # one row per trained group: use_<feature> booleans
     state: DataFrame        # one row per group of the input: n_rows, n_classes, reason, state (P15)
+    values: DataFrame       # (keys, feature, value) of the categorical features of trained groups
+    choice: DataFrame       # one row per trained group: features, k, weights, source (S20, or the spec's own)
+    most_k: int             # largest k of all groups
+    index: knn.Index | None = field(default=None, repr=False)
+
+    def neighbor_index(self, k: int = 0) -> knn.Index:
+        """The references by cell and position; built at the first use, or loaded (again for a larger ``k``)."""
+        keep = max(k, self.most_k) + 1
+        if self.index is None or self.index.keep < keep:
+            spec, keys = self.spec, list(self.spec.group_keys)
+            rows = fe.with_scale(self.ref, self.stats, keys, spec.numeric)
+            self.index = knn.build_index(rows, t_id=spec.id_col, t_label=spec.target, keep=keep, **self.columns())
+        return self.index
+
+    def columns(self) -> dict:
+        """Feature columns for the kNN join."""
+        spec = self.spec
+        return {"keys": list(spec.group_keys), "num": [f"x_{c}" for c in spec.numeric], "cat": list(spec.categorical), "masks": self.mask,
+                "num_mask": [f"use_{c}" for c in spec.numeric], "cat_mask": [f"use_{c}" for c in spec.categorical]}
 
 
 def feature_mask(ref: DataFrame, keys, features) -> DataFrame:
@@ -49,14 +71,20 @@ def prepare_target(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn(target, float_string_label(clean_target(target)))
 
 
-def fit(train: DataFrame, spec: ModelSpec, filter_rare: bool = True) -> Model:
+def fit(train: DataFrame, spec: ModelSpec, filter_rare: bool = True, config: DataFrame | None = None) -> Model:
     """Clean target, class counts, rare-class filter, masks, stats.
 
     Training materialises the model tables (reference rows, class counts,
     per-group stats and masks) under ``spark.checkpoint.dir``, as the
     reference's training step writes its artefacts; scoring reads them.
+
+    ``config`` (S20, from ``registry.resolve_config``): per group its features, k and
+    weights, and optionally ``source``; all groups are still trained and scored in one job,
+    as a feature that a group does not use is masked there.  Features that are none of the
+    spec's are left out; groups without a row take the spec's features, k and weights.
     """
     keys = list(spec.group_keys)
+    features = list(spec.numeric) + list(spec.categorical)
     prep = prepare_target(train, spec.target)
     counts = materialize(profile.class_counts(prep, keys, spec.target), "model_class_counts")
     kept = profile.rare_classes(counts, keys)
@@ -66,39 +94,73 @@ def fit(train: DataFrame, spec: ModelSpec, filter_rare: bool = True) -> Model:
         kept = kept.withColumn("kept", F.lit(True))
         tr = prep
     # Groups that the skip rules name get no model; emptied groups stay in the list
-    state = profile.trainable_groups(tr, keys, spec.target, spec.k, groups=counts.select(*keys).distinct())
-    state = materialize(state, "model_state")
+    groups = counts.select(*keys).distinct()
+    choice = groups.select(*keys, F.array(*[F.lit(c) for c in features]).cast("array<string>").alias("features"), F.lit(spec.k).alias("k"), F.lit(spec.weights).alias("weights"), F.lit("spec").alias("source"))
+    if config is not None:
+        source = F.coalesce("source", F.lit("config")) if "source" in config.columns else F.lit("config")
+        own = config.select(*keys, F.array_intersect(F.array(*[F.lit(c) for c in features]), F.col("features")).alias("_f"), F.col("k").cast("int").alias("_k"), F.col("weights").alias("_w"), source.alias("_s"))
+        choice = choice.join(own, keys, "left").select(*keys, *[F.coalesce(o, n).alias(n) for o, n in (("_f", "features"), ("_k", "k"), ("_w", "weights"), ("_s", "source"))])
+    mask = feature_mask(tr, keys, features)
+    if config is None:  # a spec without a varying feature still ranks by id
+        state_groups = groups
+    else:
+        mask = mask.join(choice, keys).select(*keys, *[(F.col(f"use_{c}") & F.array_contains("features", c)).alias(f"use_{c}") for c in features])
+        used = [F.col(f"use_{c}").cast("int") for c in features] or [F.lit(0)]
+        state_groups = choice.join(mask.select(*keys, (reduce(operator.add, used) > 0).alias("has_features")), keys, "left").select(*keys, "k", "has_features")
+    state = materialize(profile.trainable_groups(tr, keys, spec.target, spec.k, groups=state_groups), "model_state")
     trained = state.filter("state = 'FINISHED'").select(*keys)
     tr = materialize(tr.join(trained, keys, "left_semi"), "model_ref")
-    mask = feature_mask(tr, keys, list(spec.numeric) + list(spec.categorical))
     stats = fe.numeric_stats_wide(tr, keys, spec.numeric)
-    groups = materialize(stats.join(mask, keys), "model_groups")
-    return _model(spec, tr, counts, kept, groups, state)
+    groups = materialize(stats.join(mask, keys).join(choice, keys), "model_groups")
+    values = materialize(fe.category_values(tr, keys, spec.categorical), "model_values") if spec.categorical else tr.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("string").alias("value")).limit(0)
+    most_k = spec.k if config is None else max(spec.k, groups.agg(F.max("k")).first()[0] or 0)
+    return _model(spec, tr, counts, kept, groups, state, values, most_k)
 
 
-def _model(spec: ModelSpec, ref: DataFrame, counts: DataFrame, kept: DataFrame, groups: DataFrame, state: DataFrame) -> Model:
+def _model(spec: ModelSpec, ref: DataFrame, counts: DataFrame, kept: DataFrame, groups: DataFrame, state: DataFrame, values: DataFrame, most_k: int, index: knn.Index | None = None) -> Model:
     keys = list(spec.group_keys)
     mask = groups.select(*keys, *[c for c in groups.columns if c.startswith("use_")])
     stats = groups.select(*keys, *[c for c in groups.columns if c.startswith("_mean") or c.startswith("_std")])
-    return Model(spec=spec, ref=ref, counts=counts, kept=kept, stats=stats, mask=mask, state=state)
+    return Model(spec=spec, ref=ref, counts=counts, kept=kept, stats=stats, mask=mask, state=state, values=values, choice=groups.select(*keys, "features", "k", "weights", "source"), most_k=most_k, index=index)
 
 
 #: Artefacts of a saved model (S11): what each holds is what ``fit`` materialises.
-MODEL_TABLES = ("model_lines", "model_categories", "model_groups", "model_runs")
+MODEL_TABLES = ("model_lines", "model_categories", "model_groups", "model_runs", "model_values")
+INDEX_TABLES = ("model_index", "model_marks")
 
 
 def save_model(model: Model, base: str, run_ts: str) -> None:
-    """Writes one run of a model: reference lines, class counts, group statistics and masks, group states."""
+    """Writes one run of a model: reference lines, class counts, group statistics, masks and configs, group states,
+    category values and the neighbour index; the manifest last."""
     keys = list(model.spec.group_keys)
-    frames = (model.ref, model.kept, model.stats.join(model.mask, keys), model.state)
-    for name, df in zip(MODEL_TABLES, frames, strict=True):
-        registry.write_partitioned(df, f"{base.rstrip('/')}/{name}", run_ts)
+    frames = dict(zip(MODEL_TABLES, (model.ref, model.kept, model.stats.join(model.mask, keys).join(model.choice, keys), model.state, model.values), strict=True))
+    if not model.spec.vector:
+        frames |= dict(zip(INDEX_TABLES, model.neighbor_index().tables(), strict=True))
+    registry.save_run(frames, model.state, base, run_ts)
+
+
+def _schemas(spec: ModelSpec) -> dict[str, T.StructType]:
+    """Columns of the artefacts where none was ever written."""
+    cols = {
+        "model_lines": [(c, "string") for c in (*spec.group_keys, spec.id_col, spec.target, *spec.categorical)] + [(c, "double") for c in spec.numeric] + [(spec.vector, "array<double>")] * bool(spec.vector),
+        "model_categories": [*((c, "string") for c in (*spec.group_keys, "class")), ("n", "long"), ("kept", "boolean")],
+        "model_groups": [*((c, "string") for c in spec.group_keys), *((f"{s}{i}", "double") for i in range(len(spec.numeric)) for s in ("_mean", "_std")), *((f"use_{c}", "boolean") for c in spec.features),
+                         ("features", "array<string>"), ("k", "int"), ("weights", "string"), ("source", "string")],
+        "model_runs": [*((c, "string") for c in spec.group_keys), ("n_rows", "long"), ("n_classes", "long"), ("reason", "string"), ("state", "string")],
+        "model_values": [(c, "string") for c in (*spec.group_keys, "feature", "value")],
+        "model_index": [*((c, "string") for c in spec.group_keys), *((c, "long") for c in ("h1", "h2", "block", "pos")), ("t_id", "string"), ("t_label", "string"), *((f"tn{i}", "double") for i in range(len(spec.numeric))), *((f"tc{i}", "string") for i in range(len(spec.categorical)))],
+        "model_marks": [*((c, "string") for c in spec.group_keys), ("h1", "long"), ("h2", "long"), ("x", "double"), ("pos", "long")],
+    }
+    return {name: T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in of)) for name, of in cols.items() if not spec.vector or name not in INDEX_TABLES}
 
 
 def load_model(spark: SparkSession, base: str, spec: ModelSpec, version: str | None = None) -> Model:
-    """The latest (or a given) run of every tenant's model."""
-    ref, kept, groups, state = (registry.read_latest(spark, f"{base.rstrip('/')}/{name}", version=version).drop("run_ts") for name in MODEL_TABLES)
-    return _model(spec, ref, kept.drop("kept"), kept, groups, state)
+    """Every tenant's model of its latest (or a given) run; without any run, a model of no group."""
+    _, art = registry.read_run(spark, base, _schemas(spec), version)
+    ref, kept, groups, state, values = (art[name] for name in MODEL_TABLES)
+    most_k = max(spec.k, groups.agg(F.max("k")).first()[0] or 0)
+    index = None if spec.vector else knn.Index(art["model_index"], art["model_marks"], most_k + 1)
+    return _model(spec, ref, kept.drop("kept"), kept, groups, state, values, most_k, index)
 
 
 def rejected(model: Model, lines: DataFrame) -> DataFrame:
@@ -123,15 +185,12 @@ def neighbors(model: Model, queries: DataFrame, *, exclude_self: bool = False,
             raise ValueError("a vector feature stands alone")
         return knn.knn_vectors(queries.join(model.stats.select(*keys), keys, "left_semi"), model.ref, keys=keys, q_id=spec.id_col, t_id=spec.id_col,
                                t_label=spec.target, vec=spec.vector, k=k or spec.k, exclude_self=exclude_self)
-    qz = fe.known_flags(fe.with_scale(queries, model.stats, keys, spec.numeric), model.ref, keys, spec.categorical)
-    rz = fe.with_scale(model.ref, model.stats, keys, spec.numeric)
-    return knn.knn_join(
-        qz, rz, keys=keys, q_id=spec.id_col, t_id=spec.id_col, t_label=spec.target,
-        num=[f"x_{c}" for c in spec.numeric], scale=[f"s_{c}" for c in spec.numeric], cat=list(spec.categorical),
-        known=[f"known_{c}" for c in spec.categorical],
-        masks=model.mask, num_mask=[f"use_{c}" for c in spec.numeric],
-        cat_mask=[f"use_{c}" for c in spec.categorical],
-        k=k or spec.k, exclude_self=exclude_self)
+    qz = fe.known_values(fe.with_scale(queries, model.stats, keys, spec.numeric), model.values, keys, spec.categorical)
+    own_k = {}
+    if k is None:
+        qz, own_k = qz.join(model.choice.select(*keys, F.col("k").alias("_own_k")), keys), {"k_col": "_own_k"}
+    return knn.knn_probe(model.neighbor_index(k or 0), qz, q_id=spec.id_col, scale=[f"s_{c}" for c in spec.numeric],
+                         known=[f"known_{c}" for c in spec.categorical], k=k or model.most_k, exclude_self=exclude_self, **own_k, **model.columns())
 
 
 def class_frequency(model: Model, lines: DataFrame, booked_col: str,
@@ -153,9 +212,12 @@ def class_frequency(model: Model, lines: DataFrame, booked_col: str,
 
 
 def predict(model: Model, queries: DataFrame, weights: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(neighbours, predictions) for every line of a trained group; ``rejected`` lists the others."""
+    """(neighbours, predictions) for every line of a trained group; ``rejected`` lists the others.
+
+    Each group votes with its own k and weighting (``Model.choice``); ``weights`` overrides the latter.
+    """
     nb = neighbors(model, queries)
-    return nb, knn.vote(nb, model.spec.group_keys, weights or model.spec.weights)
+    return nb, knn.vote(nb, model.spec.group_keys, weights or model.choice)
 
 
 def anomalies(predictions: DataFrame, booked_col: str = "booked") -> DataFrame:

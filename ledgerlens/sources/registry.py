@@ -3,10 +3,19 @@
 Artefacts of a run live under ``<base>/<artefact>/run_ts=<ts>/table_name=../tenant_id=..``.
 "Latest version" is the maximum run timestamp per tenant; listing versions
 is partition discovery (``select distinct``), not a storage listing loop.
+
+What several artefacts make up (a model, a text context) is saved by ``save_run``:
+every attempt at a run writes below ``attempt=<id>`` of its own, and last the run's
+manifest, a row per (tenant, table) with the attempt that counts.  So a run that
+broke off is no version, a repeated one replaces the former as a whole, and
+``read_run`` picks each tenant's version once, from the manifest, for all artefacts.
+A version of a tenant is a run in which at least one of its tables was finished;
+tables that the run skipped have no model then.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,22 +24,87 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.config import DEFAULT_K, DEFAULT_WEIGHTS
+from ledgerlens.session import materialize
 
 RUN_TS_FORMAT = "yyyy-MM-dd-HH-mm-ss"
-PARTITIONS = ("run_ts", "table_name", "tenant_id")
+PARTITIONS = ("run_ts", "attempt", "table_name", "tenant_id")
+MANIFEST = "manifest"
+MANIFEST_SCHEMA = "table_name string, tenant_id string, state string, reason string, artefacts array<string>, attempt string, run_ts string"
 
 
-def write_partitioned(df: DataFrame, path: str, run_ts: str, mode: str = "overwrite") -> None:
-    """Write an artefact for one run, partitioned by run, table, tenant.
+def write_partitioned(df: DataFrame, path: str, run_ts: str, mode: str = "overwrite", attempt: str | None = None) -> None:
+    """Write an artefact for one run, partitioned by run, (attempt,) table, tenant.
 
     Dynamic partition overwrite replaces only the partitions this run writes,
-    so re-running a failed job is idempotent.
+    so re-running a failed job is idempotent.  Rows are dealt by partition, few files
+    each; a large tenant is split over tasks.
     """
-    cols = [c for c in PARTITIONS if c in df.columns or c == "run_ts"]
-    (df.withColumn("run_ts", F.lit(run_ts)).repartition(*cols)  # one task, hence one file, per partition
+    df = df.withColumn("run_ts", F.lit(run_ts))
+    if attempt is not None:
+        df = df.withColumn("attempt", F.lit(attempt))
+    cols = [c for c in PARTITIONS if c in df.columns]
+    (df.hint("rebalance", *[F.col(c) for c in cols])
        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path))
 
 
+def save_run(frames: dict[str, DataFrame], groups: DataFrame, base: str, run_ts: str) -> str:
+    """Writes the artefacts of one run, then its manifest; returns the attempt.
+
+    ``groups``: table_name, tenant_id and, if tables can be skipped, state and reason.
+    """
+    attempt, base = uuid.uuid4().hex, base.rstrip("/")
+    for name, df in frames.items():
+        write_partitioned(df, f"{base}/{name}", run_ts, attempt=attempt)
+    state = F.col("state") if "state" in groups.columns else F.lit("FINISHED")
+    reason = F.col("reason") if "reason" in groups.columns else F.lit(None)
+    rows = groups.select("table_name", "tenant_id", state.alias("state"), reason.cast("string").alias("reason")).distinct()
+    rows = rows.withColumn("artefacts", F.array(*[F.lit(n) for n in frames])).withColumn("attempt", F.lit(attempt))
+    rows.write.mode("overwrite").parquet(f"{base}/{MANIFEST}/run_ts={run_ts}")
+    return attempt
+
+
+def manifest(spark: SparkSession, base: str) -> DataFrame:
+    """A row per committed (run, tenant, table); empty where nothing was saved."""
+    schema = spark.createDataFrame([], MANIFEST_SCHEMA).schema
+    return read_artefact(spark, f"{base.rstrip('/')}/{MANIFEST}", schema)
+
+
+def chosen_runs(runs: DataFrame, version: str | None = None) -> DataFrame:
+    """tenant_id, run_ts, attempt: each tenant's latest (or the given) version, by its manifest rows."""
+    done = runs.filter("state = 'FINISHED'")
+    if version is not None:
+        done = done.filter(F.col("run_ts") == F.lit(version))
+    last = F.max(F.struct(run_time().alias("at"), "run_ts", "attempt")).alias("_v")
+    return done.groupBy("tenant_id").agg(last).select("tenant_id", "_v.run_ts", "_v.attempt")
+
+
+def missing_version(runs: DataFrame, version: str) -> DataFrame:
+    """Tenants that have versions but not this one, with their latest."""
+    return chosen_runs(runs).join(chosen_runs(runs, version).select("tenant_id"), "tenant_id", "left_anti").select("tenant_id", F.col("run_ts").alias("latest"))
+
+
+def group_versions(runs: DataFrame, version: str | None = None) -> DataFrame:
+    """C20: what a tenant's table is served with: tenant_id, table_name, run_ts, state, reason of the chosen runs."""
+    return runs.join(chosen_runs(runs, version), ["tenant_id", "run_ts", "attempt"]).select("tenant_id", "table_name", "run_ts", "state", "reason")
+
+
+def read_run(spark: SparkSession, base: str, schemas: dict[str, T.StructType | None], version: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(chosen runs, artefacts by name), all artefacts of a tenant from one run.
+
+    The choice is written down once, so a run committed meanwhile does not mix in.  An artefact
+    that was never written is empty, with the columns of its schema.
+    """
+    chosen = materialize(chosen_runs(manifest(spark, base), version), "chosen_runs")
+    out = {}
+    for name, schema in schemas.items():
+        art = read_artefact(spark, f"{base.rstrip('/')}/{name}", schema)
+        for c in ("run_ts", "attempt", "tenant_id"):
+            if c not in art.columns:
+                art = art.withColumn(c, F.lit(None).cast("string"))
+        out[name] = art.join(chosen, ["tenant_id", "run_ts", "attempt"], "left_semi").drop("run_ts", "attempt")
+    return chosen, out
+
+
 def run_time(col: str = "run_ts"):
     """Parse a run timestamp text ``yyyy-MM-dd-HH-mm-ss``."""
     return F.to_timestamp(F.col(col), RUN_TS_FORMAT)
@@ -51,14 +125,15 @@ def list_versions(artefact: DataFrame, keys=("tenant_id",)) -> DataFrame:
 def read_artefact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All runs of an artefact; partition values as the text that was written ('007' stays '007').
 
-    A missing path gives an empty frame (of ``schema``, or of the partition columns).
+    A missing path gives an empty frame (of ``schema``, or of the partition columns); else
+    the files' own columns count.
     """
     try:
-        found = schema or spark.read.parquet(path).schema
+        found = spark.read.parquet(path).schema
         found = T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found.fields])
         return spark.read.schema(found).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing there, or a folder without files
             raise
     return spark.createDataFrame([], schema or T.StructType([T.StructField(c, T.StringType()) for c in PARTITIONS]))
 
@@ -81,12 +156,25 @@ class DefaultConfig:
     features: tuple[str, ...]
     k: int = DEFAULT_K
     weights: str = DEFAULT_WEIGHTS
+    minimal: bool = False  # of a selection run, take the config of fewest features near the best
 
 
 def defaults_frame(spark: SparkSession, defaults: list[DefaultConfig]) -> DataFrame:
     return spark.createDataFrame(
-        [(d.table_name, list(d.features), d.k, d.weights) for d in defaults],
-        "table_name string, default_features array<string>, default_k int, default_weights string")
+        [(d.table_name, list(d.features), d.k, d.weights, d.minimal) for d in defaults],
+        "table_name string, default_features array<string>, default_k int, default_weights string, load_minimal boolean")
+
+
+def selected_config(best: DataFrame, minimal: DataFrame, defaults: DataFrame, keys=("tenant_id", "table_name")) -> DataFrame:
+    """The config of a selection run that a table asks for: the best, or the best-minimal one (``minimal`` flag).
+
+    ``best``, ``minimal``: one row per group with cand, k, weights (``rank_one``, ``selection.best_minimal``).
+    """
+    flag = defaults.select("table_name", F.coalesce("load_minimal", F.lit(False)).alias("_minimal"))
+    cols = [*keys, F.split("cand", ",").alias("features"), "k", "weights"]
+    one = best.join(flag, "table_name", "left").filter(~F.coalesce("_minimal", F.lit(False)))
+    few = minimal.join(flag, "table_name").filter("_minimal")
+    return one.select(*cols).unionByName(few.select(*cols))
 
 
 def resolve_config(groups: DataFrame, defaults: DataFrame, selected: DataFrame | None,
