@@ -105,7 +105,7 @@ def trainable_groups(df: DataFrame, keys, target: str, k: int, groups: DataFrame
                .when(F.col("n_classes") <= 1, F.lit("constant_target"))
                .when(F.col("n_rows") < min_rows, F.lit("too_few_rows"))
                .otherwise(F.lit(None).cast("string")))
-    return (g.drop(*extra).withColumn("reason", reason)
+    return (g.withColumn("reason", reason).drop(*extra)
              .withColumn("state", F.when(F.col("reason").isNull(), F.lit("FINISHED"))
                          .otherwise(F.lit("SKIPPED"))))
 

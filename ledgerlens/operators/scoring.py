@@ -41,6 +41,7 @@ class Model:
     choice: DataFrame       # one row per trained group: features, k, weights, source (S20, or the spec's own)
     most_k: int             # largest k of all groups
     index: knn.Index | None = field(default=None, repr=False)
+    runs: DataFrame | None = None  # of a loaded model: tenant_id, run_ts, attempt that it was read from
 
     def neighbor_index(self, k: int = 0) -> knn.Index:
         """The references by cell and position; built at the first use, or loaded (again for a larger ``k``)."""
@@ -156,11 +157,13 @@ def _schemas(spec: ModelSpec) -> dict[str, T.StructType]:
 
 def load_model(spark: SparkSession, base: str, spec: ModelSpec, version: str | None = None) -> Model:
     """Every tenant's model of its latest (or a given) run; without any run, a model of no group."""
-    _, art = registry.read_run(spark, base, _schemas(spec), version)
+    runs, art = registry.read_run(spark, base, _schemas(spec), version)
     ref, kept, groups, state, values = (art[name] for name in MODEL_TABLES)
     most_k = max(spec.k, groups.agg(F.max("k")).first()[0] or 0)
     index = None if spec.vector else knn.Index(art["model_index"], art["model_marks"], most_k + 1)
-    return _model(spec, ref, kept.drop("kept"), kept, groups, state, values, most_k, index)
+    model = _model(spec, ref, kept.drop("kept"), kept, groups, state, values, most_k, index)
+    model.runs = runs
+    return model
 
 
 def rejected(model: Model, lines: DataFrame) -> DataFrame:

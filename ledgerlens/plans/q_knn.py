@@ -86,9 +86,9 @@ def reported(nb):
 
 
 def vote_sql(nb: str, weights: str) -> str:
-    w = ("1.0::DOUBLE" if weights == "uniform" else
-         "CASE WHEN mind2 = 0 THEN (CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) "
-         "ELSE sqrt(mind2 / d2) END")
+    """``weights``: uniform, distance, or column (the rows of ``nb`` have theirs in ``weights``)."""
+    by_distance = "CASE WHEN mind2 = 0 THEN (CASE WHEN d2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ELSE sqrt(mind2 / d2) END"
+    w = {"uniform": "1.0::DOUBLE", "distance": by_distance, "column": f"CASE WHEN weights = 'uniform' THEN 1.0::DOUBLE ELSE {by_distance} END"}[weights]
     return f"""(SELECT tenant_id, table_name, q_id, t_label AS prediction, score FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, q_id ORDER BY score DESC, t_label) AS rn
   FROM (SELECT tenant_id, table_name, q_id, t_label, round(sum(w / tw), 9) AS score

@@ -93,10 +93,9 @@ def score_stream_q(spark, d):
     schema = queries.schema
     # two arrivals (older and newer orders) appended to one directory the stream watches
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
-    queries.filter(early).coalesce(1).write.mode("append").parquet(src)
-    queries.filter(~early).coalesce(1).write.mode("append").parquet(src)
-    q = score_stream(spark, model, src, schema, sink, ckpt, max_files=1)  # a micro-batch for each arrival
-    q.awaitTermination()
+    for arrived in (early, ~early):  # a micro-batch for each arrival
+        queries.filter(arrived).write.mode("append").parquet(src)
+        score_stream(spark, model, src, schema, sink, ckpt).awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
 
 
