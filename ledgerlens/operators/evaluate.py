@@ -17,19 +17,29 @@ METRIC_DECIMALS = 4
 
 def eval_join(predictions: DataFrame, truth: DataFrame, keys, *, pred_id: str = "q_id",
               truth_id: str = "id", truth_col: str = "correct_target_variable",
-              pred_col: str = "prediction") -> DataFrame:
+              pred_col: str = "prediction", strict: bool = True) -> DataFrame:
     """Predictions JOIN truth on (keys, line id); labels F1/F2-normalised.
 
-    Returns ``(keys..., q_id, y_true, y_pred, <other prediction columns>)``.
-    Uniqueness of truth per id is checked by :func:`duplicate_truth`.
+    Returns ``(keys..., q_id, y_true, y_pred, <other prediction columns>)``.  An id must
+    have one truth row: otherwise the job fails (``strict``), or the id is left out and
+    :func:`duplicate_truth` lists it.
     """
     keys = list(keys)
-    t = truth.select(*keys, F.col(truth_id).alias(pred_id),
-                     float_string_label(clean_target(truth_col)).alias("y_true"))
+    t = one_truth(truth, keys, truth_id=truth_id, truth_col=truth_col, strict=strict).withColumnRenamed(truth_id, pred_id)
     p = predictions.withColumn("y_pred", float_string_label(F.col(pred_col)))
     return p.join(t, keys + [pred_id], "inner")
 
 
+def one_truth(truth: DataFrame, keys, *, truth_id: str = "id", truth_col: str = "correct_target_variable", strict: bool = True) -> DataFrame:
+    """``(keys, truth_id, y_true)``: the truth of ids with one row, checked in the plan (one aggregate, no second pass)."""
+    keys = list(keys)
+    one = truth.groupBy(*keys, truth_id).agg(F.count(F.lit(1)).alias("_n"), F.min(float_string_label(clean_target(truth_col))).alias("y_true"))
+    if strict:
+        message = F.concat(F.lit("several truth rows of id "), F.coalesce(F.col(truth_id).cast("string"), F.lit("null")))
+        return one.select(*keys, truth_id, F.when(F.col("_n") == 1, F.col("y_true")).otherwise(F.raise_error(message).cast("string")).alias("y_true"))
+    return one.filter("_n = 1").select(*keys, truth_id, "y_true")
+
+
 def duplicate_truth(truth: DataFrame, keys, truth_id: str = "id") -> DataFrame:
     """Ids with more than one truth row (must be empty for a valid evaluation)."""
     return truth.groupBy(*keys, truth_id).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -263,6 +263,30 @@ def _candidate_masks(df: DataFrame, feats) -> DataFrame:
     return out
 
 
+def check_must_have(must_have, features) -> None:
+    """Features that must stay have to be features of the table."""
+    if unknown := [f for f in must_have if f not in features]:
+        raise ValueError(f"must-have features not found: {unknown}")
+
+
+def must_have_violations(df: DataFrame, keys, must_have, features) -> DataFrame:
+    """P16 as rows ``(keys, feature, problem)``: ``not_a_feature``, ``no_column``, ``no_value`` (none in the group), ``constant`` there."""
+    keys = list(keys)
+    there = [f for f in must_have if f in df.columns]
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[x for i, f in enumerate(there) for x in (F.count(f).alias(f"_n{i}"), (F.min(f) == F.max(f)).alias(f"_c{i}"))])
+    found = []
+    for f in must_have:
+        if f not in features:
+            problem = F.lit("not_a_feature")
+        elif f not in there:
+            problem = F.lit("no_column")
+        else:
+            i = there.index(f)
+            problem = F.when(F.col(f"_n{i}") == 0, F.lit("no_value")).when(F.col(f"_c{i}") & (F.col(f"_n{i}") == F.col("_rows")), F.lit("constant"))
+        found.append(F.struct(F.lit(f).alias("feature"), problem.alias("problem")))
+    return stats.select(*keys, F.explode(F.array(*found)).alias("_p")).select(*keys, "_p.*").filter(F.col("problem").isNotNull())
+
+
 def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numeric=(), categorical=(),
                          must_have=(), tol: float = ELIMINATION_TOLERANCE,
                          early_stop: int = EARLY_STOP_ROUNDS, sample_rows: int = SELECTION_SAMPLE_ROWS,
@@ -285,6 +309,7 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
     """
     keys = list(keys)
     feats = sorted(list(numeric) + list(categorical))
+    check_must_have(must_have, feats)
     min_feats = max(1, len(must_have))
     keep = F.array(*[F.lit(f) for f in must_have]) if must_have else F.array().cast("array<string>")
     # Groups that fail a guard are not searched

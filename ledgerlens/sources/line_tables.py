@@ -108,7 +108,7 @@ def build_lines(headers: DataFrame, lines: DataFrame, accounts: DataFrame | None
     if accounts is not None:
         j = with_accounts(j, accounts, plan.code_col)
     if first_only:
-        j = first_per(j, [plan.header_id], [F.col(c) for c in plan.line_order])
+        j = first_per(j, ["tenant_id", plan.header_id], [F.col(c) for c in plan.line_order])  # ids are a tenant's own
     out = [F.lit(plan.table_name).alias("table_name"), F.col("tenant_id")]
     out += [F.col(c) for c in plan.line_cols]
     out += [F.col(f"_h_{c}").alias(c) for c in plan.header_cols]
@@ -142,7 +142,7 @@ def build_chain(claims: DataFrame, receipts: DataFrame, receipt_lines: DataFrame
     if accounts is not None:
         j = with_accounts(j, accounts)
     if first_only and receipt_id:
-        j = first_per(j, [receipt_id], [F.col(x) for x in line_order])
+        j = first_per(j, ["tenant_id", receipt_id], [F.col(x) for x in line_order])
     out = [F.lit(table_name).alias("table_name"), F.col("tenant_id")]
     out += [F.col(x) for x in line_cols]
     out += [F.col(f"receipt_{x}") for x in receipt_cols]
