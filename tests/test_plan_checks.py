@@ -45,7 +45,7 @@ def test_requests_of_mixed_kinds(spark):
         rq.read_checked_requests(spark, folder, "x string, y string", kinds)[0].collect()
 
 
-def test_temporal_on_timestamps(spark, monkeypatch):
+def test_temporal_on_timestamps(spark):
     rng, zero = random.Random(2), dt.datetime(2024, 1, 1)
     hot = [("h", i, zero + dt.timedelta(days=3, seconds=rng.randrange(86400))) for i in rng.sample(range(10_000), 700)]  # one day holds most rows
     some = [(g, 20_000 + i, zero + dt.timedelta(seconds=rng.choice([0, 43200, 86400, 86399, rng.randrange(900_000)]))) for g in "hx" for i in range(60)]
@@ -55,10 +55,10 @@ def test_temporal_on_timestamps(spark, monkeypatch):
     for k in (1, 7):
         got = {}
         for r in temporal.temporal_topk_ts(spark.createDataFrame(queries, "g string, id long, ts timestamp"), df, ["g"], q_id="id", t_id="id", q_time="ts", t_time="ts", k=k).collect():
-            got.setdefault(r.q_id, []).append((r["rank"], r.days, r.t_id))
+            got.setdefault((r.g, r.q_id), []).append((r["rank"], r.days, r.t_id))
         for g, i, at in queries:
             want = sorted((abs((t - at).days), j) for h, j, t in rows if h == g and t is not None)[:k]
-            assert sorted(got[i]) == [(n + 1, *w) for n, w in enumerate(want)], (g, i)
+            assert sorted(got[g, i]) == [(n + 1, *w) for n, w in enumerate(want)], (g, i)
     assert temporal.temporal_topk_ts(df.limit(0), df, ["g"], q_id="id", t_id="id", q_time="ts", t_time="ts").count() == 0
 
 
