@@ -14,20 +14,21 @@ from ledgerlens.llm import common as C
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Links of each node's neighbours (large: greater ones, of all; else not greater) to its least neighbour.
+    """Links of each node's neighbours (large: greater ones, of all; else not greater) to its least neighbour, written.
 
-    The least neighbour of a node counts the node itself.
+    The least neighbour of a node counts the node itself.  Nodes with a large share of all
+    links join apart (``common.meet``).
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = C.keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m")), "link-least")
+    joined = C.meet(both, least, ["u"], links.count() * (2 if large else 1))
     if large:  # neighbours above u go to the least
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:  # links point down here: the node and all its neighbours go to the least
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return C.keep(out.filter("a <> b").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
 
     before = print_of(cur)
     while before[0]:
-        cur = C.keep(_star(_star(cur, True), False), "links")
+        cur = _star(_star(cur, True), False)
         now = print_of(cur)
         if now == before:
             break

@@ -11,7 +11,8 @@ smallest doc_id.
    without a shared band with probability ``MISS`` at most.
 3. Stars: each bucket has a centre, the member that shares most buckets with
    others (the unedited copy of a group, mostly); members pair with centres, so
-   a bucket costs a row per member whatever its size.
+   a bucket costs a row per member whatever its size.  A centre meets its members
+   in blocks: its signature, or text, travels once a block.
 4. Verification: signatures are compared batch by batch; a pair is dropped as
    soon as the posterior probability (uniform prior) that its similarity reaches
    the threshold falls below ``MISS``.  Survivors are verified on their full sets.
@@ -167,38 +168,62 @@ def plausible(x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarra
     return live
 
 
+def _groups(batches, names: list[str]):
+    """Tables of the rows that are equal in ``names``, of batches sorted by them."""
+    held, at = [], None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        where = [t.column(c).to_numpy() for c in names]
+        new = np.flatnonzero(np.r_[True, np.any([w[1:] != w[:-1] for w in where], axis=0)]) if b.num_rows else []
+        for x, y in zip(new, [*new[1:], b.num_rows], strict=True):
+            here = tuple(int(w[x]) for w in where)
+            if here != at and held:
+                yield pa.concat_tables(held)
+                held = []
+            at = here
+            held.append(t.slice(x, y - x))
+    if held:
+        yield pa.concat_tables(held)
+
+
+_PAIR = pa.schema([("centre", pa.int64()), ("id", pa.int64())])
+
+
 def _prune(threshold: int, hashes: int):
+    """Members of a block that keep a chance with their centre, by the signatures."""
     def run(batches):
         least = least_matches(threshold, hashes)
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in ("sig_a", "sig_b"))
-                yield b.select(["a", "b"]).take(pa.array(plausible(x, y, least)))
+        for t in _groups(batches, ["centre", "blk"]):
+            is_centre = t.column("is_centre").to_numpy(zero_copy_only=False)
+            sig = np.frombuffer(b"".join(t.column("payload").to_pylist()), np.uint32).reshape(-1, hashes)
+            members = np.flatnonzero(~is_centre)
+            live = np.zeros(len(members), bool)
+            for c in np.flatnonzero(is_centre).tolist():  # one, but for a doc_id of several texts
+                live[plausible(np.broadcast_to(sig[c], (len(members), hashes)), sig[members], least)] = True
+            yield from t.select(["centre", "id"]).cast(_PAIR).take(pa.array(members[live])).to_batches()
 
     return run
 
 
 def _verify(size: int, threshold: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
+    """Members of a block that are linked to their centre, on full sets."""
     def run(batches):
         hasher = C.SpanHash(30)
-        for batch in batches:
-            for t in C.chunks(batch, "text_a"):
-                for part in C.chunks(t, "text_b"):
-                    sets = []
-                    for side in ("a", "b"):
-                        text = part.column(f"text_{side}").combine_chunks().dictionary_encode()  # a centre comes many times
-                        code = text.indices.to_numpy()
-                        d, g = shingles(*C.text_buffer(text.dictionary), size, hasher)
-                        sets.append((code, d, g, np.searchsorted(d, np.arange(len(text.dictionary) + 1))))
-                    keep = []
-                    for i, (x, y) in enumerate(zip(sets[0][0].tolist(), sets[1][0].tolist(), strict=True)):
-                        u, v = (s[2][s[3][c]:s[3][c + 1]] for s, c in zip(sets, (x, y), strict=True))
-                        both = len(np.intersect1d(u, v, assume_unique=True))
-                        if both and 100 * both >= threshold * (len(u) + len(v) - both):
-                            keep.append(i)
-                    yield from part.select(["a", "b"]).cast(schema).take(pa.array(keep, pa.int64())).to_batches()
+        for t in _groups(batches, ["centre", "blk"]):
+            is_centre = t.column("is_centre").to_numpy(zero_copy_only=False)
+            centres = t.filter(pa.array(is_centre))
+            d, g = shingles(*C.text_buffer(centres.column("payload")), size, hasher)
+            sets = np.split(g, np.searchsorted(d, np.arange(1, centres.num_rows)))
+            for part in C.chunks(t.filter(pa.array(~is_centre)), "payload"):
+                d, g = shingles(*C.text_buffer(part.column("payload")), size, hasher)
+                count = np.bincount(d, minlength=part.num_rows)
+                linked = np.zeros(part.num_rows, bool)
+                for own in sets:
+                    place = np.minimum(np.searchsorted(own, g), max(len(own) - 1, 0))
+                    shared = own[place] == g if len(own) else np.zeros(len(g), bool)
+                    both = np.bincount(d[shared], minlength=part.num_rows)
+                    linked |= (both > 0) & (100 * both >= threshold * (len(own) + count - both))
+                yield from part.select(["centre", "id"]).cast(_PAIR).take(pa.array(np.flatnonzero(linked))).to_batches()
 
     return run
 
@@ -242,24 +267,28 @@ def _meet(size: int, threshold: int):
 
     def run(batches):
         hasher = C.SpanHash(30)
-        names, held, at = ["key", "r", "d"], [], None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            where = [t.column(c).to_numpy() for c in names]
-            new = np.flatnonzero(np.r_[True, np.any([w[1:] != w[:-1] for w in where], axis=0)]) if b.num_rows else []
-            for x, y in zip(new, [*new[1:], b.num_rows], strict=True):
-                here = tuple(int(w[x]) for w in where)
-                if here != at and held:
-                    yield pa.RecordBatch.from_pylist(block_links(pa.concat_tables(held), size, threshold, hasher), schema)
-                    held = []
-                at = here
-                held.append(t.slice(x, y - x))
-        if held:
-            yield pa.RecordBatch.from_pylist(block_links(pa.concat_tables(held), size, threshold, hasher), schema)
+        for t in _groups(batches, ["key", "r", "d"]):
+            yield pa.RecordBatch.from_pylist(block_links(t, size, threshold, hasher), schema)
 
     return run
 
 
+def _by_centre(pairs: DataFrame, payload: DataFrame, fn) -> DataFrame:
+    """``fn`` over blocks of a centre's members; ``pairs``: centre, id (written); ``payload``: id, payload, bytes (written).
+
+    A block has about ``BLOCK`` members or ``BLOCK_BYTES`` of payload, and its centre's once.
+    """
+    members = C.keep(pairs.join(payload.groupBy("id").agg(F.sum("bytes").alias("bytes")), "id"), "minhash-pairs")
+    total = members.count()
+    blocks = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+    blocks = C.keep(blocks, "minhash-blocks")
+    rows = C.meet(members.drop("bytes"), blocks, ["centre"], total).select("centre", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("blk"), "id", F.lit(False).alias("is_centre"))
+    rows = rows.unionByName(blocks.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("blk"), F.col("centre").alias("id"), F.lit(True).alias("is_centre")))
+    parts = C.parts_for(pairs.sparkSession, total, 20 * BLOCK)
+    rows = rows.join(payload.drop("bytes"), "id").repartition(parts, "centre", "blk").sortWithinPartitions("centre", "blk", "is_centre")
+    return rows.mapInArrow(fn, "centre long, id long")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """k, dk, n_shingles, component (smallest ``id_key`` reachable) of every row of doc_id and text."""
     return _classes(docs.select(C.id_key().alias("k"), *_text_and_hash()), shingle, threshold)
@@ -289,19 +318,15 @@ def _classes(d: DataFrame, shingle: int, threshold: int) -> DataFrame:
     popular = members.groupBy("id").agg(F.sum("n").alias("popular"))
     centre = members.join(popular, "id").groupBy("key").agg(F.max_by("id", F.struct("popular", -F.col("id"))).alias("centre"))
     members = members.select("key", "band", "id")
-    stars = members.join(centre, "key").filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    stars = C.keep(members.join(centre, "key").filter("id <> centre").select("centre", "id").distinct(), "minhash-stars")
 
     candidates = members.select("id").distinct()
     texts = C.keep(d.join(candidates, d.k == candidates.id, "left_semi").select(F.col("k").alias("id"), "text"), "minhash-texts")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        of = lambda df, c, side: df.select(F.col("id").alias(side), F.col(c).alias(f"{c}_{side}"))
-        return (pairs.join(of(texts, "text", "a"), "a").join(of(texts, "text", "b"), "b").select("a", "b", "text_a", "text_b")
-                .mapInArrow(_verify(shingle, threshold), "a long, b long").distinct())
-
     sig = ids.select("id", "sig")
-    with_sig = stars.join(sig.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
-    star_links = C.keep(linked(C.keep(with_sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold, hashes), "a long, b long"), "minhash-stars")), "minhash-star-links")
+    close = _by_centre(stars, sig.select("id", F.col("sig").alias("payload"), F.lit(4 * hashes).alias("bytes")), _prune(threshold, hashes))
+    close = C.keep(close.distinct(), "minhash-close")
+    linked = _by_centre(close, texts.select("id", F.col("text").alias("payload"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), _verify(shingle, threshold))
+    star_links = C.keep(linked.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "minhash-star-links")
     labels = components(star_links.unionByName(equal)).withColumnsRenamed({"node": "id", "component": "comp"})
 
     # buckets that hold more than one component
@@ -320,7 +345,7 @@ def _classes(d: DataFrame, shingle: int, threshold: int) -> DataFrame:
     probes = rest.filter("comp <> main").select("key", "band", "id", "comp", F.lit(True).alias("probe"), here("r_blocks").alias("r"), every("d_blocks").alias("d"))
     others = rest.select("key", "band", "id", "comp", F.lit(False).alias("probe"), every("r_blocks").alias("r"), here("d_blocks").alias("d"))
     blocks = probes.unionByName(others).join(sig, "id").join(texts, "id")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = C.parts_for(spark, base.count(), 20 * BLOCK)
     near = blocks.repartition(parts, "key", "r", "d").sortWithinPartitions("key", "r", "d").mapInArrow(_meet(shingle, threshold), "a long, b long")
     rest_links = C.keep(near.distinct(), "minhash-rest-links")
     found = C.keep(components(star_links.unionByName(rest_links).unionByName(equal)), "minhash-classes")

@@ -22,9 +22,6 @@ from ledgerlens.llm.token_counts import token_counts
 from ledgerlens.llm.token_files import read_token_files, write_token_files
 from ledgerlens.llm.warc import REVISIT_BYTES, assemble, read_warc, write_warc
 
-#: Digest rows of a written intermediate's file.
-ROWS_PER_FILE = 500_000
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -136,8 +133,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = assemble(read_warc(manifest, with_payload=False)).select(
         F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"))
-    total = manifest.agg(F.sum("n_captures")).first()[0] or 0
-    captures = keep(captures.coalesce(-(-total // ROWS_PER_FILE) or 1), "warc-captures")  # digests: few files
+    captures = keep(captures, "warc-captures")
     responses = (captures.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
                  .groupBy("payload_digest").agg(F.max("page_id").alias("response_id")))
     revisits = captures.filter("record_type = 'revisit'").join(responses, "payload_digest", "left").withColumnRenamed("response_id", "refers_to")
