@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import ensure_checkpoint_dir, materialize
+from ledgerlens.session import materialize, scratch_path
 
 #: Text handled at once inside a task (a single longer document is handled alone).
 CHUNK_BYTES = 4 << 20
@@ -36,8 +35,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlens/llm-{name}-{uuid.uuid4().hex}"
+    """A new folder of this application under the cluster's shared checkpoint folder (``session.clean_scratch`` deletes it)."""
+    return scratch_path(spark, f"llm-{name}")
 
 
 def id_key(column: str = "doc_id") -> Column:

@@ -2,7 +2,8 @@
 
 A task opens its own file (the name carries the attempt), and the manifest, one
 row per finished task, is what counts: files of lost or repeated attempts are in
-no manifest.  ``pyarrow.fs`` resolves the folder's URI (file, hdfs, s3, gs).
+no manifest.  The driver names the folder by its whole URI first, as Spark
+itself resolves a path without scheme; ``pyarrow.fs`` opens it (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI; without a scheme it lies in Spark's default file system, not on each executor's disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def _open(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path)
 
 
 def writer(folder: str, suffix: str):

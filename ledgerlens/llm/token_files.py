@@ -20,11 +20,11 @@ an empty table gives no file and no row; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -176,13 +176,21 @@ _ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _UPPER = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff]")
 
 
+# The declarations under which words encode by themselves.
+_NORMALISED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordTokenizer:
     """Ids of white-space separated words, each encoded once by the tokenizers library.
 
-    Right for tokenizers that drop white space; ``__init__`` tries this on some words
-    and encodes whole texts where it does not hold.  Where lower-case words turn
-    out to go to the merges as they are (their bytes in the library's alphabet),
-    they are handed to them directly, and stops behind a word are a word of their own.
+    That holds for files that declare it: a normaliser that only composes, lower-cases and
+    makes white space blanks, and a pre-tokenizer that drops white space and keeps words,
+    digits and other characters apart.  There, lower-case words go to the merges as they are
+    (their bytes in the library's alphabet) and are handed to them directly, and stops
+    behind a word are a word of their own.  With any other declaration whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -195,11 +203,11 @@ class WordTokenizer:
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         self.alphabet = {c: byte_level.pre_tokenize_str(c)[0][0] for c in letters}
         self.mapped = str.maketrans(self.alphabet)
-        vocab = [w[:-4] for w in self.tok.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and w[:-4].islower()]
-        plain = [*sorted(vocab)[::max(1, len(vocab) // 150)], "zqxjkvwq", "antidisestablishment", "a", *letters, "stra\u00dfe", "\u00e9l\u00e8ve", "m\u00fcndung"]
-        one = lambda s: self.tok.encode(s, add_special_tokens=False).ids
-        self.by_word = one(" \n".join(plain)) == list(chain.from_iterable(one(w) for w in plain)) and one(" ".join(plain).upper().replace("SS", "\u00df")) == one(" ".join(plain).replace("ss", "\u00df")) and one("a b") == one(" a\n\tb ")
-        self.direct = self.by_word and all(one(w) == np.frombuffer(self._merge(w), "<u4").tolist() and one(w + ".,!") == one(w) + one(".,!") for w in plain)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        self.by_word = spec["normalizer"] == _NORMALISED and spec["pre_tokenizer"] == _SPLIT and spec["post_processor"] is None and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+        self.direct = self.by_word and model["type"] == "BPE" and not model["dropout"] and model["end_of_word_suffix"] == "</w>"
 
     def _merge(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tok.model.tokenize(word.translate(self.mapped) if not word.isascii() else word)]).tobytes()
@@ -302,7 +310,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     parts = C.parts_for(docs.sparkSession, C.text_bytes(docs), FILE_BYTES)
     d = docs.select(C.id_key().alias("k"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("dk"))
     d = d.repartitionByRange(parts, "k", "dk").sortWithinPartitions("k", "dk").select("k", "text")
-    manifest = d.mapInArrow(_write(folder, tokenizer, end_id), "part int, path string, n_docs long, n_ids long")
+    manifest = d.mapInArrow(_write(part_files.qualified(docs.sparkSession, folder), tokenizer, end_id), "part int, path string, n_docs long, n_ids long")
     manifest = C.keep(manifest.repartition(1), "token-manifest")  # a row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

@@ -114,7 +114,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     verdicts = (p.select("k", "digest", "bytes").distinct().filter(F.col("bytes") >= REVISIT_BYTES).join(shared, "digest")
                 .filter("k <> response_k").select("k", "digest", "refers_url", F.lit(True).alias("is_revisit")))
     rows = p.join(verdicts, ["k", "digest"], "left").select("page_id", "url", "html", "digest", F.coalesce("is_revisit", F.lit(False)).alias("revisit"), "refers_url")
-    return C.keep(rows.mapInArrow(_write(folder), "part int, path string, n_captures long").repartition(1), "warc-manifest")  # a row per file
+    return C.keep(rows.mapInArrow(_write(part_files.qualified(pages.sparkSession, folder)), "part int, path string, n_captures long").repartition(1), "warc-manifest")  # a row per file
 
 
 # --- reading -----------------------------------------------------------------
