@@ -160,7 +160,7 @@ def _nearest(d2: np.ndarray, k: int) -> np.ndarray:
 
 
 def _fold_scorer(keys, id_col, target, numeric, categorical, k_options, weight_options, schema):
-    """(rows of a group with the fold to score, candidates) -> correct answers of every configuration."""
+    """(rows of a group with the fold to score, candidates) -> confusion counts of every configuration."""
 
     def score(key, rows: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
         is_q = (rows["fold"] == rows["fold_g"]).to_numpy()
@@ -170,7 +170,6 @@ def _fold_scorer(keys, id_col, target, numeric, categorical, k_options, weight_o
         labels = sorted(r[target].unique())
         code = {x: i for i, x in enumerate(labels)}
         r_label = r[target].map(code).to_numpy()
-        truth = q[target].map(code).fillna(-1).astype(int).to_numpy()
         parts = []  # (query values, reference values, scale) or (query codes, reference codes, penalty)
         for c in numeric:
             t = r[c].to_numpy(float)
@@ -182,7 +181,9 @@ def _fold_scorer(keys, id_col, target, numeric, categorical, k_options, weight_o
             x, t = codes[is_q], codes[~is_q][np.argsort(rows[~is_q][id_col].to_numpy(), kind="stable")]
             parts.append((x, t, np.where(np.isin(x, t), 2.0, 1.0)))
         names = [*numeric, *categorical]
-        correct = {(cand, k, w): 0 for cand in cands["cand"] for k in k_options for w in weight_options}
+        truths = np.array([*labels, *sorted(set(q[target]) - set(labels))], object)  # classes that only the fold has come last
+        truth_code = q[target].map({x: i for i, x in enumerate(truths)}).to_numpy()
+        counts = {(cand, k, w): np.zeros((len(truths), len(labels)), np.int64) for cand in cands["cand"] for k in k_options for w in weight_options}
         for a in range(0, len(q), SCORE_ROWS):
             terms = []
             for i, (x, t, s) in enumerate(parts):
@@ -206,34 +207,40 @@ def _fold_scorer(keys, id_col, target, numeric, categorical, k_options, weight_o
                         for j in range(done, min(k, near.shape[1])):
                             total[np.arange(len(near)), lab[:, j]] += votes[:, j]
                         done = k
-                        correct[row.cand, k, w] += int((total.round(ACC_DECIMALS).argmax(axis=1) == truth[a:a + SCORE_ROWS]).sum())
-        out = pd.DataFrame([(*key[:-1], cand, k, w, key[-1], len(q), n) for (cand, k, w), n in correct.items()], columns=[f.name for f in schema.fields])
-        return out
+                        np.add.at(counts[row.cand, k, w], (truth_code[a:a + SCORE_ROWS], total.round(ACC_DECIMALS).argmax(axis=1)), 1)
+        return pd.DataFrame([(*key[:-1], cand, k, w, key[-1], truths[i], labels[j], n[i, j]) for (cand, k, w), n in counts.items() for i, j in zip(*np.nonzero(n), strict=True)],
+                            columns=[f.name for f in schema.fields])
 
     return score
 
 
-def cv_fold_scores(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str, target: str,
-                   numeric=(), categorical=(), k_options=SELECTION_K_OPTIONS,
-                   weight_options=SELECTION_WEIGHT_OPTIONS, folds: int = CV_FOLDS) -> DataFrame:
-    """C7/A27 per fold: right answers of every (candidate, k, weights), one neighbour pass per fold.
+def cv_confusion(sample: DataFrame, candidates: DataFrame, keys, *, id_col: str, target: str,
+                 numeric=(), categorical=(), k_options=SELECTION_K_OPTIONS,
+                 weight_options=SELECTION_WEIGHT_OPTIONS, folds: int = CV_FOLDS) -> DataFrame:
+    """C7 per fold: confusion counts of every (candidate, k, weights), one neighbour pass per fold.
 
     ``sample`` is the selection sample (at most ``SELECTION_SAMPLE_ROWS`` rows per group) with a
     ``fold`` column; a task scores one fold of one group.  The terms of all features are
     computed once for a block of rows; a candidate only adds up those it uses.  Numeric nulls
     are imputed by the training folds' median (C4, quirk Q2 fixed).
-    Returns ``(keys, cand, k, weights, fold, n_rows, n_correct)``.
+    Returns ``(keys, cand, k, weights, fold, y_true, y_pred, n)``, pairs that occur only.
     """
     keys = list(keys)
     each = F.explode(F.array(*[F.lit(i) for i in range(folds)])).alias("fold_g")
     rows = sample.select(*keys, id_col, target, *numeric, *categorical, "fold", each)
     cands = candidates.select(*keys, "cand", *[f"use_{c}" for c in [*numeric, *categorical]], each)
     schema = T.StructType([*[sample.schema[c] for c in keys], T.StructField("cand", T.StringType()), T.StructField("k", T.IntegerType()), T.StructField("weights", T.StringType()),
-                           T.StructField("fold", T.IntegerType()), T.StructField("n_rows", T.LongType()), T.StructField("n_correct", T.LongType())])
+                           T.StructField("fold", T.IntegerType()), T.StructField("y_true", T.StringType()), T.StructField("y_pred", T.StringType()), T.StructField("n", T.LongType())])
     score = _fold_scorer(keys, id_col, target, tuple(numeric), tuple(categorical), tuple(k_options), tuple(weight_options), schema)
     return rows.groupBy(*keys, "fold_g").cogroup(cands.groupBy(*keys, "fold_g")).applyInPandas(score, schema)
 
 
+def cv_fold_scores(sample: DataFrame, candidates: DataFrame, keys, **how) -> DataFrame:
+    """C7/A27 per fold: ``(keys, cand, k, weights, fold, n_rows, n_correct)``, from ``cv_confusion``."""
+    conf = cv_confusion(sample, candidates, keys, **how)
+    return conf.groupBy(*keys, "cand", "k", "weights", "fold").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("n_correct"))
+
+
 def cv_evaluate(sample: DataFrame, candidates: DataFrame, keys, **how) -> DataFrame:
     """Mean CV accuracy ``(keys, cand, k, weights, mean_accuracy, n_folds)``; see ``cv_fold_scores``."""
     per_fold = cv_fold_scores(sample, candidates, keys, **how)
@@ -290,7 +297,7 @@ def must_have_violations(df: DataFrame, keys, must_have, features) -> DataFrame:
 def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numeric=(), categorical=(),
                          must_have=(), tol: float = ELIMINATION_TOLERANCE,
                          early_stop: int = EARLY_STOP_ROUNDS, sample_rows: int = SELECTION_SAMPLE_ROWS,
-                         folds: int = CV_FOLDS, seed: int = CV_SEED, max_rounds: int | None = None):
+                         folds: int = CV_FOLDS, seed: int = CV_SEED, max_rounds: int | None = None, with_rounds: bool = False):
     """Backward feature elimination for every group at once.
 
     The per-group state ``(keys, features, best, flat, active)`` is a
@@ -305,7 +312,9 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
 
     Returns ``(cv_results, state)``: every evaluated config
     ``(keys, cand, k, weights, mean_accuracy, n_folds, n_features)`` and the
-    final state ``(keys, features, best_accuracy)``.
+    final state ``(keys, features, best_accuracy)``.  ``with_rounds`` adds the decisions:
+    ``(keys, round, dropped, accuracy, best_before, mi_rank, improved, features)``, a row per
+    group and round; ``dropped`` is null where no candidate was good enough.
     """
     keys = list(keys)
     feats = sorted(list(numeric) + list(categorical))
@@ -333,7 +342,7 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
         cv0.groupBy(*keys).agg(F.max("mean_accuracy").alias("best"))
            .withColumn("features", F.array(*[F.lit(f) for f in feats]))
            .withColumn("flat", F.lit(0)).withColumn("active", F.lit(True)), "cv_state")
-    rounds = 0
+    rounds, history = 0, None
     while max_rounds is None or rounds < max_rounds:
         act = state.filter(F.col("active") & (F.size("features") > min_feats))
         if not act.limit(1).count():
@@ -352,7 +361,12 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
                     .withColumn("_imp", F.col("acc") >= F.col("best")))
         w = Window.partitionBy(*keys).orderBy(F.col("_imp").desc(), F.when(F.col("_imp"), F.col("mi_rank")),
                                               F.col("acc").desc(), "mi_rank")
-        chosen = dec.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+        chosen = materialize(dec.withColumn("_r", F.row_number().over(w)).filter("_r = 1"), "cv_chosen")
+        if with_rounds:
+            said = act.select(*keys, F.col("best").alias("best_before"), F.col("features").alias("_old")).join(
+                chosen.select(*keys, F.col("drop").alias("dropped"), F.col("acc").alias("accuracy"), "mi_rank", F.col("_imp").alias("improved"), "new_features"), keys, "left")
+            said = materialize(said.select(*keys, F.lit(rounds).alias("round"), "dropped", "accuracy", "best_before", "mi_rank", "improved", F.array_sort(F.coalesce("new_features", "_old")).alias("features")), "cv_decisions")
+            history = said if history is None else history.unionByName(said)
         flat = (F.when(F.col("acc") > F.col("best"), F.lit(0))
                  .when(F.col("_imp"), F.col("flat")).otherwise(F.col("flat") + 1))
         moved = chosen.select(*keys, F.col("new_features").alias("features"),
@@ -366,5 +380,10 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
     cv_all = results[0]
     for r in results[1:]:
         cv_all = cv_all.unionByName(r)
-    return cv_all, state.select(*keys, F.array_sort("features").alias("features"),
-                                F.col("best").alias("best_accuracy"))
+    final = state.select(*keys, F.array_sort("features").alias("features"), F.col("best").alias("best_accuracy"))
+    if not with_rounds:
+        return cv_all, final
+    if history is None:
+        types = [*(sample.schema[c] for c in keys), *T.StructType.fromDDL("round int, dropped string, accuracy double, best_before double, mi_rank int, improved boolean, features array<string>").fields]
+        history = df.sparkSession.createDataFrame([], T.StructType(types))
+    return cv_all, final, history

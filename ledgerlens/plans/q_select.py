@@ -8,6 +8,8 @@ Sampling runs on ``lineitem`` per return flag (groups above 10 000 rows).
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import selection as sel
@@ -157,17 +159,18 @@ def stratified_folds(spark, d):
     return with_folds(spark, d).select(*KEYS, "o_orderkey", "fold")
 
 
-def _mi_sql(kind: str) -> str:
-    if kind == "discrete":
-        vals = "\n UNION ALL ".join(
-            f"SELECT tenant_id, table_name, cls AS y, '{c}' AS feature, CAST({c} AS VARCHAR) AS x FROM s0" for c in CAT)
-    else:
-        vals = "\n UNION ALL ".join(
-            f"""SELECT tenant_id, table_name, cls AS y, '{c}' AS feature,
+def _mi_ctes(discrete: bool, numeric: bool) -> str:
+    """CTEs of the mutual information, after SEL_BASE; the last is ``mi``."""
+    vals = []
+    if discrete:
+        vals += [f"SELECT tenant_id, table_name, cls AS y, '{c}' AS feature, CAST({c} AS VARCHAR) AS x FROM s0" for c in CAT]
+    if numeric:
+        vals += [f"""SELECT tenant_id, table_name, cls AS y, '{c}' AS feature,
                 CAST(CAST(floor((rank() OVER (PARTITION BY tenant_id, table_name ORDER BY coalesce({c}, md_{c})) - 1) * 10.0::DOUBLE / n_rows) AS BIGINT) AS VARCHAR) AS x
-                FROM s0 JOIN nst USING (tenant_id, table_name)""" for c in NUM)
+                FROM s0 JOIN nst USING (tenant_id, table_name)""" for c in NUM]
+    vals = "\n UNION ALL ".join(vals)
     nst = ",\nnst AS (SELECT tenant_id, table_name, count(*) AS n_rows, " + ", ".join(f"median({c}) AS md_{c}" for c in NUM) + " FROM s0 GROUP BY ALL)"
-    return SEL_BASE + nst + f""",
+    return nst + f""",
 lg AS ({vals}),
 nxy AS (SELECT tenant_id, table_name, feature, x, y, count(*) AS nxy FROM lg GROUP BY ALL),
 nx AS (SELECT tenant_id, table_name, feature, x, sum(nxy) AS nx FROM nxy GROUP BY ALL),
@@ -175,7 +178,11 @@ ny AS (SELECT tenant_id, table_name, feature, y, sum(nxy) AS ny FROM nxy GROUP B
 nn AS (SELECT tenant_id, table_name, feature, sum(nxy) AS n FROM nxy GROUP BY ALL),
 mi AS (SELECT tenant_id, table_name, feature, round(sum((nxy / n) * ln(nxy * n / (nx * ny))), 9) AS mi
        FROM nxy JOIN nx USING (tenant_id, table_name, feature, x) JOIN ny USING (tenant_id, table_name, feature, y)
-       JOIN nn USING (tenant_id, table_name, feature) GROUP BY ALL)
+       JOIN nn USING (tenant_id, table_name, feature) GROUP BY ALL)"""
+
+
+def _mi_sql(kind: str) -> str:
+    return SEL_BASE + _mi_ctes(kind == "discrete", kind == "numeric") + """
 SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM mi"""
 
 
@@ -225,9 +232,51 @@ def best_minimal(spark, d):
     return sel.best_minimal(_cv(spark, d, DROP_ONE), KEYS)
 
 
-@query("backward_elimination")
+@query("cv_confusion", cv_sql(FULL) + """
+SELECT tenant_id, table_name, cand, k, weights, fold_g AS fold, truth AS y_true, t_label AS y_pred, count(*) AS n FROM pred GROUP BY ALL""")
+def cv_confusion(spark, d):
+    """The confusion counts of every fold, k and weighting behind ``cv_scores``."""
+    s = materialize(sel.stratified_folds(selection_sample(spark, d), KEYS, "o_orderpriority", "o_orderkey"), "cv_sample")
+    cands = _cands_df(s.select(*KEYS).distinct(), FULL)
+    return sel.cv_confusion(s, cands, KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT)
+
+
+# --- backward elimination, unrolled: four features, so three rounds at most -----------
+_ALL_SUBSETS = {",".join(c): list(c) for n in range(len(FEATS), 0, -1) for c in itertools.combinations(FEATS, n)}
+
+
+def _round_sql(r: int) -> str:
+    """Round r: every drop-one candidate of the groups that go on, the decision, the next state."""
+    return f""",
+c{r} AS (SELECT st.*, d.feature AS dropped, d.mi_rank, list_filter(st.features, lambda x: x <> d.feature) AS new_features
+        FROM state{r - 1} st JOIN mir d ON d.tenant_id = st.tenant_id AND d.table_name = st.table_name AND list_contains(st.features, d.feature)
+        WHERE st.active AND len(st.features) > 1),
+e{r} AS (SELECT c{r}.*, acc.accuracy, acc.accuracy >= best AS improved FROM c{r} JOIN acc ON acc.tenant_id = c{r}.tenant_id AND acc.table_name = c{r}.table_name AND acc.cand = array_to_string(list_sort(new_features), ',')
+        WHERE acc.accuracy >= best - 0.05::DOUBLE),
+d{r} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY improved DESC, CASE WHEN improved THEN mi_rank END, accuracy DESC, mi_rank) AS rn FROM e{r}) WHERE rn = 1),
+rounds{r} AS (SELECT st.tenant_id, st.table_name, {r} AS round, d.dropped, d.accuracy, st.best AS best_before, d.mi_rank, d.improved, list_sort(coalesce(d.new_features, st.features)) AS features
+             FROM state{r - 1} st LEFT JOIN d{r} d USING (tenant_id, table_name) WHERE st.active AND len(st.features) > 1),
+state{r} AS (SELECT st.tenant_id, st.table_name, coalesce(d.new_features, st.features) AS features, greatest(st.best, coalesce(d.accuracy, st.best)) AS best, st.active AND d.tenant_id IS NOT NULL AS active
+            FROM state{r - 1} st LEFT JOIN d{r} d USING (tenant_id, table_name))"""
+
+
+ELIMINATION_SQL = cv_sql(_ALL_SUBSETS) + _mi_ctes(True, True) + f""",
+mir AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM mi),
+acc AS (SELECT tenant_id, table_name, cand, max(mean_accuracy) AS accuracy FROM cv GROUP BY ALL),
+state0 AS (SELECT tenant_id, table_name, {FEATS} AS features, accuracy AS best, true AS active FROM acc WHERE cand = '{",".join(FEATS)}')""" + "".join(_round_sql(r) for r in (1, 2, 3))
+
+
+def _eliminated(spark, d):
+    return sel.backward_elimination(selection_input(spark, d), KEYS, id_col="o_orderkey", target="o_orderpriority", numeric=NUM, categorical=CAT, with_rounds=True)
+
+
+@query("backward_elimination", ELIMINATION_SQL + " SELECT tenant_id, table_name, list_sort(features) AS features, best AS best_accuracy FROM state3")
 def backward_elimination(spark, d):
-    """Backward elimination per nation; final feature set and best accuracy (no SQL form)."""
-    _, state = sel.backward_elimination(selection_input(spark, d), KEYS, id_col="o_orderkey",
-                                        target="o_orderpriority", numeric=NUM, categorical=CAT)
-    return state
+    """Backward elimination per nation; final feature set and best accuracy."""
+    return _eliminated(spark, d)[1]
+
+
+@query("elimination_rounds", ELIMINATION_SQL + " UNION ALL ".join(f" SELECT * REPLACE (array_to_string(features, ',') AS features) FROM rounds{r}" for r in (1, 2, 3)))
+def elimination_rounds(spark, d):
+    """The decision of every round and nation: feature dropped, accuracy, whether it improved, features left."""
+    return _eliminated(spark, d)[2].withColumn("features", F.array_join("features", ","))
