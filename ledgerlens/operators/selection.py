@@ -15,6 +15,9 @@ over range partitions.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,8 +100,8 @@ def _running(df: DataFrame, group, order, name: str) -> DataFrame:
                   .withColumn("_to", F.col("_before") + F.col("_in")).drop("_g", "_p", "_part", "_in", "_before"))
 
 
-def _binned(df: DataFrame, keys, target: str, numeric, bins: int) -> DataFrame:
-    """(keys, feature, x: the bin, y, nxy) of numeric features, from counts of their distinct values."""
+def _value_counts(df: DataFrame, keys, target: str, numeric) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of numeric features: counts (keys, feature, v, y, _n); their values with places (_below, _to); medians (_rows, _some, _med)."""
     vals = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric])
     counts = materialize(df.select(*keys, F.col(target).cast("string").alias("y"), F.explode(vals).alias("_v"))
                            .groupBy(*keys, "_v.feature", "_v.v", "y").agg(F.count(F.lit(1)).alias("_n")), "mi_counts")
@@ -110,7 +113,14 @@ def _binned(df: DataFrame, keys, target: str, numeric, bins: int) -> DataFrame:
     at = lambda pos: F.min(F.when((F.col("_below") <= pos) & (pos < F.col("_to")), F.col("v")))
     low, high = F.floor((F.col("_some") - 1) / 2), F.floor(F.col("_some") / 2)
     med = placed.join(sizes, by).groupBy(*by).agg((at(low) * 0.5 + at(high) * 0.5).alias("_med"))
-    med = materialize(sizes.join(med, by, "left"), "mi_medians")
+    return counts, placed, materialize(sizes.join(med, by, "left"), "mi_medians")
+
+
+def _binned(df: DataFrame, keys, target: str, numeric, bins: int) -> DataFrame:
+    """(keys, feature, x: the bin, y, nxy) of numeric features, from counts of their distinct values."""
+    by = [*keys, "feature"]
+    some = F.col("v").isNotNull()
+    counts, placed, med = _value_counts(df, keys, target, numeric)
     below_med = placed.join(med, by).filter(F.col("v") < F.col("_med")).groupBy(*by).agg(F.sum("_n").alias("_below"))
     nulls = F.col("_rows") - F.col("_some")
     given = placed.join(med, by).withColumn("_rank", F.col("_below") + F.when(F.col("_med") < F.col("v"), nulls).otherwise(0))
@@ -120,16 +130,94 @@ def _binned(df: DataFrame, keys, target: str, numeric, bins: int) -> DataFrame:
     return given.select(*cols).unionByName(missing.select(*cols)).groupBy(*by, "x", "y").agg(F.sum("_n").alias("nxy"))
 
 
-def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric=(), bins: int = 10) -> DataFrame:
+#: Neighbours of the numeric estimator (fixed value), and places of a class in one block.
+MI_NEIGHBORS = 3
+MI_BLOCK = 4096
+
+
+def _medians(long: DataFrame, by: list[str]) -> DataFrame:
+    """Median ``_med`` of the values ``v`` per group, from counted places; groups with a null value only are needed, and given."""
+    gaps = long.groupBy(*by).agg(F.count_if(F.col("v").isNull()).alias("_gaps"), F.count("v").alias("_some")).filter("_gaps > 0 AND _some > 0")
+    values = long.join(gaps.select(*by, "_some"), by).filter(F.col("v").isNotNull()).groupBy(*by, "v", "_some").agg(F.count(F.lit(1)).alias("_n"))
+    placed = _running(values, by, ["v"], "mi_gaps").withColumn("_below", F.col("_to") - F.col("_n"))
+    at = lambda pos: F.min(F.when((F.col("_below") <= pos) & (pos < F.col("_to")), F.col("v")))
+    low, high = F.floor((F.col("_some") - 1) / 2), F.floor(F.col("_some") / 2)
+    return placed.groupBy(*by).agg((at(low) * 0.5 + at(high) * 0.5).alias("_med"))
+
+
+def digamma(n: Column) -> Column:
+    """Digamma of positive integers: ten steps up, then the asymptotic series (error below 1e-12)."""
+    x = n.cast("double") + 10
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x ** 2) + 1 / (120 * x ** 4) - 1 / (252 * x ** 6) + 1 / (240 * x ** 8)
+    return series - reduce(operator.add, [1 / (n + i) for i in range(10)])
+
+
+def mi_nearest(df: DataFrame, keys, target: str, numeric, id_col: str, k: int = MI_NEIGHBORS) -> DataFrame:
+    """A29 for numeric features by nearest neighbours: ``(keys, feature, mi)``.
+
+    Each row takes the distance r to the k-th nearest row of its own class and counts the m rows of
+    the group nearer than r (itself included; the equal ones, if r is 0); classes of one row are
+    left out; k is at most the class's other rows.  With n rows of which n_y are of the row's class,
+    ``mi = digamma(n) + mean digamma(k) - mean digamma(n_y) - mean digamma(m)``, at least 0.  Null
+    values take the group's median (A10).  No noise is added, so equal values stay equal.
+
+    All rows count.  Neighbours stand at most k places away in the class's order, cut in blocks with
+    k rows of overlap; the m rows are a difference of two places in the group's order.  Both orders
+    are counted over range partitions, so a group or class of any size is spread over tasks.
+    """
+    keys = list(keys)
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias("v")) for c in numeric])
+    long = materialize(df.select(*keys, F.col(id_col).alias("_id"), F.col(target).cast("string").alias("y"), F.explode(each).alias("_v")).select(*keys, "_id", "y", "_v.*"), "mi_values")
+    med = _medians(long, [*keys, "feature"])
+    rows = long.join(med, [*keys, "feature"], "left").select(*keys, "_id", "y", "feature", F.coalesce("v", "_med", F.lit(0.0)).alias("x"))
+    sizes = rows.groupBy(*keys, "feature", "y").agg(F.count(F.lit(1)).alias("n_y")).filter("n_y > 1")
+    rows = materialize(rows.join(sizes, [*keys, "feature", "y"]), "mi_rows")
+
+    # 1. the k-th neighbour of the class: a window over blocks that overlap by k rows
+    of_class = [*keys, "feature", "y"]
+    placed = _running(rows.withColumn("_n", F.lit(1)), of_class, ["x", "_id"], "mi_class").withColumn("pos", F.col("_to") - 1).drop("_n", "_to")
+    own = F.floor(F.col("pos") / MI_BLOCK)
+    near = F.array_distinct(F.array(own, F.floor((F.col("pos") + k) / MI_BLOCK), F.floor(F.greatest(F.col("pos") - k, F.lit(0)) / MI_BLOCK)))
+    blocks = placed.withColumn("_own", own).withColumn("_block", F.explode(near))
+    w = Window.partitionBy(*of_class, "_block").orderBy("pos")  # MI_BLOCK + 2 k rows
+    away = [F.abs(F.col("x") - f("x", i).over(w)) for i in range(1, k + 1) for f in (F.lag, F.lead)]
+    blocks = blocks.withColumn("_d", F.array_sort(F.array_compact(F.array(*away)))).filter("_block = _own")
+    kk = F.least(F.lit(k).cast("long"), F.col("n_y") - 1)
+    radius = materialize(blocks.select(*keys, "feature", "x", "n_y", kk.alias("k"), F.element_at("_d", kk.cast("int")).alias("r")), "mi_radius")
+
+    # 2. rows in (x - r, x + r): places of both ends in the group's order, side 0 before equal values, 2 behind them
+    group = [*keys, "feature"]
+    low = F.struct((F.col("x") - F.col("r")).alias("at"), F.when(F.col("r") > 0, F.lit(2)).otherwise(F.lit(0)).alias("side"), F.lit(-1).alias("sign"))
+    high = F.struct((F.col("x") + F.col("r")).alias("at"), F.when(F.col("r") > 0, F.lit(0)).otherwise(F.lit(2)).alias("side"), F.lit(1).alias("sign"))
+    ends = radius.withColumn("_row", F.monotonically_increasing_id()).select(*group, "_row", "k", "n_y", F.explode(F.array(low, high)).alias("_e")).select(*group, "_row", "k", "n_y", "_e.*")
+    both = rows.select(*group, F.col("x").alias("at"), F.lit(1).alias("side")).unionByName(ends, allowMissingColumns=True)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(both.repartitionByRange(parts, *group, "at", "side").withColumn("_part", F.spark_partition_id()), "mi_ends")
+    is_row = F.when(F.col("side") == 1, F.lit(1)).otherwise(F.lit(0))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*group, "_part").agg(F.sum(is_row).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_part", *group).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    before = ranged.withColumn("_in", F.sum(is_row).over(inside)).filter("side <> 1").join(offsets, [*group, "_part"])
+    counted = before.groupBy(*group, "_row", "k", "n_y").agg(F.sum(F.col("sign") * (F.col("_off") + F.col("_in"))).alias("m"))
+    mean = counted.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(digamma(F.col("k")) - digamma(F.col("n_y")) - digamma(F.col("m"))).alias("_mean"))
+    return mean.select(*group, F.round(F.greatest(digamma(F.col("n")) + F.col("_mean"), F.lit(0.0)), ACC_DECIMALS).alias("mi"))
+
+
+def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric=(), bins: int = 10, id_col: str | None = None) -> DataFrame:
     """MI(feature; target) per group, ranked ascending (least informative first).
 
-    Categorical: null is a category.  Numeric: null -> group median (A10), then
-    ``bins`` quantile bins by rank, equal values in one bin (declared divergence
-    D3: the reference's nearest-neighbour estimator is unseeded; only the
-    elimination order depends on MI).  Counts all rows of ``df``, as the reference
+    Categorical: null is a category.  Numeric: null -> group median (A10), then by nearest
+    neighbours (``mi_nearest``) where ``id_col`` is given, else in ``bins`` quantile bins by
+    rank, equal values in one bin.  Counts all rows of ``df``, as the reference
     does before it samples.  Returns ``(keys, feature, mi, mi_rank)``.
     """
     keys = list(keys)
+    wr = Window.partitionBy(*keys).orderBy("mi", "feature")
+    if numeric and id_col is not None:
+        mi = mi_nearest(df, keys, target, numeric, id_col)
+        if categorical:
+            mi = mi.unionByName(mutual_information(df, keys, target, categorical).drop("mi_rank"))
+        return mi.withColumn("mi_rank", F.row_number().over(wr))
     tables = []
     if categorical:
         vals = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("x")) for c in categorical])
@@ -144,7 +232,6 @@ def mutual_information(df: DataFrame, keys, target: str, categorical=(), numeric
     j = nxy.join(nx, keys + ["feature", "x"], "left").join(ny, keys + ["feature", "y"]).join(n, keys + ["feature"])
     term = (F.col("nxy") / F.col("n")) * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
     mi = j.groupBy(*keys, "feature").agg(F.round(F.sum(term), ACC_DECIMALS).alias("mi"))
-    wr = Window.partitionBy(*keys).orderBy("mi", "feature")
     return mi.withColumn("mi_rank", F.row_number().over(wr))
 
 
@@ -326,7 +413,7 @@ def backward_elimination(df: DataFrame, keys, *, id_col: str, target: str, numer
     df = df.join(guards.filter("state = 'READY'").select(*keys), keys, "left_semi")
     sample = sample_min_per_class(df, keys, target, id_col, num_samples=sample_rows, seed=seed)
     sample = materialize(stratified_folds(sample, keys, target, id_col, folds=folds, seed=seed), "cv_sample")
-    mi = materialize(mutual_information(df, keys, target, categorical, numeric), "cv_mi")
+    mi = materialize(mutual_information(df, keys, target, categorical, numeric, id_col=id_col), "cv_mi")
 
     def evaluate(cands: DataFrame) -> DataFrame:
         c = _candidate_masks(cands, feats)

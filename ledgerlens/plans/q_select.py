@@ -181,6 +181,24 @@ mi AS (SELECT tenant_id, table_name, feature, round(sum((nxy / n) * ln(nxy * n /
        JOIN nn USING (tenant_id, table_name, feature) GROUP BY ALL)"""
 
 
+def _digamma_sql(n: str) -> str:
+    x = f"({n} + 10.0::DOUBLE)"
+    steps = " + ".join(f"1.0::DOUBLE / ({n} + {i})" for i in range(10))
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) + 1 / (240 * {x} ** 8) - ({steps}))"
+
+
+#: Nearest-neighbour estimate by all pairs, after SEL_BASE; the last CTE is ``mik``.
+_MI_NEAR = ",\nmst AS (SELECT tenant_id, table_name, " + ", ".join(f"median({c}) AS md_{c}" for c in NUM) + " FROM s0 GROUP BY ALL)" + f""",
+mv AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, table_name, feature, y) AS n_y FROM (
+  {" UNION ALL ".join(f"SELECT tenant_id, table_name, id, cls AS y, '{c}' AS feature, coalesce({c}, md_{c}) AS x FROM s0 JOIN mst USING (tenant_id, table_name)" for c in NUM)})),
+mw AS (SELECT * FROM mv WHERE n_y > 1),
+mr AS (SELECT a.tenant_id, a.table_name, a.feature, a.id, a.x, a.n_y, least(3, a.n_y - 1) AS k, list_sort(list(abs(a.x - b.x)))[least(3, any_value(a.n_y) - 1)] AS r
+       FROM mw a JOIN mw b ON a.tenant_id = b.tenant_id AND a.table_name = b.table_name AND a.feature = b.feature AND a.y = b.y AND a.id <> b.id GROUP BY ALL),
+mm AS (SELECT r.tenant_id, r.table_name, r.feature, r.id, r.k, r.n_y, count(*) AS m FROM mr r JOIN mw b ON r.tenant_id = b.tenant_id AND r.table_name = b.table_name AND r.feature = b.feature
+            AND ((b.x > r.x - r.r AND b.x < r.x + r.r) OR (r.r = 0 AND b.x = r.x)) GROUP BY ALL),
+mik AS (SELECT tenant_id, table_name, feature, round(greatest({_digamma_sql("count(*)")} + avg({_digamma_sql("k")} - {_digamma_sql("n_y")} - {_digamma_sql("m")}), 0.0::DOUBLE), 9) AS mi FROM mm GROUP BY ALL)"""
+
+
 def _mi_sql(kind: str) -> str:
     return SEL_BASE + _mi_ctes(kind == "discrete", kind == "numeric") + """
 SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM mi"""
@@ -198,6 +216,13 @@ def mi_numeric(spark, d):
     return sel.mutual_information(selection_input(spark, d), KEYS, "o_orderpriority", numeric=NUM)
 
 
+@query("mi_numeric_knn", SEL_BASE + _MI_NEAR + """
+SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM mik""")
+def mi_numeric_knn(spark, d):
+    """Mutual information of the numeric features with the class by nearest neighbours, per nation, all rows."""
+    return sel.mutual_information(selection_input(spark, d), KEYS, "o_orderpriority", numeric=NUM, id_col="o_orderkey")
+
+
 @query("cv_scores", cv_sql(FULL) + " SELECT cv.*, cset.n_features FROM cv JOIN cset USING (cand)")
 def cv_scores(spark, d):
     """5-fold CV accuracy of k in {3,5,7,9} x {uniform, distance}, all features."""
@@ -260,8 +285,8 @@ state{r} AS (SELECT st.tenant_id, st.table_name, coalesce(d.new_features, st.fea
             FROM state{r - 1} st LEFT JOIN d{r} d USING (tenant_id, table_name))"""
 
 
-ELIMINATION_SQL = cv_sql(_ALL_SUBSETS) + _mi_ctes(True, True) + f""",
-mir AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM mi),
+ELIMINATION_SQL = cv_sql(_ALL_SUBSETS) + _mi_ctes(True, False) + _MI_NEAR + f""",
+mir AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant_id, table_name ORDER BY mi, feature) AS INTEGER) AS mi_rank FROM (SELECT * FROM mi UNION ALL SELECT * FROM mik)),
 acc AS (SELECT tenant_id, table_name, cand, max(mean_accuracy) AS accuracy FROM cv GROUP BY ALL),
 state0 AS (SELECT tenant_id, table_name, {FEATS} AS features, accuracy AS best, true AS active FROM acc WHERE cand = '{",".join(FEATS)}')""" + "".join(_round_sql(r) for r in (1, 2, 3))
 
