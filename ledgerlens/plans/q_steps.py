@@ -9,7 +9,7 @@ from ledgerlens.operators import knn, lookup, profile, scoring
 from ledgerlens.plans.catalog import query
 from ledgerlens.plans.q_knn import (CUST_BASE, CUSTOMER_SPEC, KEYS, NB_COLUMNS, ORDER_BASE, ORDER_SPEC, customers,
                                     order_model, order_split, reported, vote_sql)
-from ledgerlens.plans.sql_standins import ACC, AD, CLAIMS, EVAL, HOLDOUT, ILI, INV, RECEIPTS, RLI, with_
+from ledgerlens.plans.sql_standins import ACC, AD, BANK, BLI, CLAIMS, CLI, CREDIT, EVAL, HOLDOUT, ILI, INV, RECEIPTS, RLI, with_
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import line_tables as lt
 from ledgerlens.sources import requests as rq
@@ -31,12 +31,16 @@ def all_line_tables(spark, d):
         claim_cols=("expense_claim_id", "status", "total"), receipt_cols=("receipt_id", "date", "status", "total"),
         line_cols=("receipt_unique_id", "line_item_id", "line_amount", "account_code"),
         first_only=True, receipt_id="receipt_unique_id", line_order=("line_item_id",))
+    bank = lt.build_lines(si.bank_transactions(spark, d), si.bank_transaction_line_items(spark, d), a, si.BANK_PLAN)
+    credit = lt.build_lines(si.credit_notes(spark, d), si.credit_note_line_items(spark, d), a, si.CREDIT_PLAN)
     cols = ["table_name", "tenant_id", "line_item_id", "account_code", "account_name", "line_amount"]
-    return inv.select(*cols, "invoice_id").unionByName(claims.select(*cols, "receipt_receipt_id"),
-                                                       allowMissingColumns=True)
+    out = inv.select(*cols, "invoice_id")
+    for table, own in ((claims, "receipt_receipt_id"), (bank, "bank_transaction_id"), (credit, "credit_note_id")):
+        out = out.unionByName(table.select(*cols, own), allowMissingColumns=True)
+    return out
 
 
-_ALL_LINES_SQL = with_(INV, ILI, ACC, AD, CLAIMS, RECEIPTS, RLI) + """,
+_ALL_LINES_SQL = with_(INV, ILI, ACC, AD, CLAIMS, RECEIPTS, RLI, BANK, BLI, CREDIT, CLI) + """,
 a AS (SELECT * EXCLUDE (rn) FROM (
   SELECT 'accrec_accpay' AS table_name, i.tenant_id, l.line_item_id, l.account_code, ad.account_name, l.line_amount,
          l.invoice_id, row_number() OVER (PARTITION BY l.invoice_id ORDER BY l.line_no, l.part_no, l.supp_no) AS rn
@@ -48,12 +52,20 @@ b AS (SELECT * EXCLUDE (rn) FROM (
          row_number() OVER (PARTITION BY l.receipt_unique_id ORDER BY l.line_item_id) AS rn
   FROM rli l JOIN receipts r ON l.receipt_unique_id = r.id JOIN claims c ON r.expense_claim_unique_id = c.id
   LEFT JOIN ad ON l.account_code = ad.code AND c.tenant_id = ad.tenant_id) WHERE rn = 1),
-allt AS (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)"""
+c AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT 'cashrec_cashpaid' AS table_name, h.tenant_id, l.line_item_id, l.account_code, ad.account_name, l.line_amount, h.bank_transaction_id,
+         row_number() OVER (PARTITION BY h.tenant_id, l.bank_transaction_id ORDER BY l.line_no, l.line_item_id) AS rn
+  FROM bli l JOIN bank h ON l.bank_transaction_unique_id = h.id LEFT JOIN ad ON l.account_code = ad.code AND h.tenant_id = ad.tenant_id) WHERE rn = 1),
+d AS (SELECT * EXCLUDE (rn) FROM (
+  SELECT 'accreccredit_accpaycredit' AS table_name, h.tenant_id, l.line_item_id, l.account_code, ad.account_name, l.line_amount, h.credit_note_id,
+         row_number() OVER (PARTITION BY h.tenant_id, l.credit_note_unique_id ORDER BY l.line_no, l.line_item_id) AS rn
+  FROM cli l JOIN credit h ON l.credit_note_unique_id = h.id LEFT JOIN ad ON l.account_code = ad.code AND h.tenant_id = ad.tenant_id) WHERE rn = 1),
+allt AS (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b UNION ALL BY NAME SELECT * FROM c UNION ALL BY NAME SELECT * FROM d)"""
 
 
 @query("lines_all_tables", _ALL_LINES_SQL + " SELECT * FROM allt")
 def lines_all_tables(spark, d):
-    """Invoices and expense claims line tables of all tenants, appended by name."""
+    """The four line tables of all tenants, appended by name."""
     return all_line_tables(spark, d)
 
 
