@@ -15,7 +15,8 @@ The driver holds one number per candidate and shard, whatever the data.
 
 Slots are row counts before a row: of earlier groups (cumulative), and of equal
 texts with smaller doc_id, found by range partitions of (group, doc_id) so that
-a group of a third of all rows is numbered in many tasks.
+a group of a third of all rows is numbered in many tasks; the group's shard and
+first slot are joined to its pieces, a row per partition, and rows to their piece.
 
 Defined results: null text has size 1 and groups with empty text; null doc_id
 sorts first; rows equal in doc_id and text are each placed, in any order of
@@ -104,8 +105,10 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranged = C.keep(rows.repartitionByRange(n_rows, "text_key", "k").withColumn("_part", F.spark_partition_id()), "shard-ranked")
     piece = Window.partitionBy("text_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # pieces of a group: one per partition
     pieces = ranged.groupBy("text_key", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_earlier", F.coalesce(F.sum("_n").over(piece), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_part", "text_key").orderBy("k")
-    ranked = ranged.withColumn("_rank", F.row_number().over(within) - 1).join(pieces, ["text_key", "_part"])
-    return ranked.join(placed, "text_key").select(
+    # shard and slot of each piece's first row; rows meet them by piece, so a hot text is in many tasks
+    starts = pieces.join(placed, "text_key").select("text_key", "_part", "shard", (F.col("before") - F.col("shard_before") + F.col("_earlier")).alias("_start"))
+    within = Window.partitionBy("text_key", "_part").orderBy("k")
+    ranked = ranged.withColumn("_rank", F.row_number().over(within) - 1)
+    return ranked.join(starts, ["text_key", "_part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("before") - F.col("shard_before") + F.col("_earlier") + F.col("_rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        (F.col("_start") + F.col("_rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
