@@ -7,7 +7,7 @@ group keys.  Defaults are the reference's published settings.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---- fixed values (must equal the reference's for equal results) ----------
 # k neighbours and weighting used for every table in both applications
@@ -79,4 +79,16 @@ class TableConfig:
     k: int = DEFAULT_K
     weights: str = DEFAULT_WEIGHTS
     filter_rare: bool = True
-    extra: dict = field(default_factory=dict)
+
+    def spec(self, id_col: str = "line_item_id") -> ModelSpec:
+        return ModelSpec(id_col=id_col, target=self.target, categorical=self.categorical, numeric=self.numeric, date_col=self.date_col, k=self.k, weights=self.weights)
+
+
+# ---- fixed values: default features of the tax validation's four tables ----
+TAX_TABLES = (
+    TableConfig("accrec_accpay", "tax_type", ("description", "source_type", "account_name", "item_code"), ("tax_amount", "line_amount"), "journal_date"),
+    TableConfig("cashrec_cashpaid", "tax_type", ("description", "account_name", "contact_name"), ("total_tax", "line_amount", "sub_total"), "journal_date"),
+    TableConfig("accreccredit_accpaycredit", "tax_type", ("account_name", "contact_name", "description", "reference"), ("total_tax", "sub_total"), "journal_date"),
+    TableConfig("expclaim", "tax_type", ("description", "contact_name"), ("line_amount", "tax_amount", "receipt_total_tax"), "receipt_date"),
+)
+# ---------------------------------------------------------------------------

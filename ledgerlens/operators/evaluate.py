@@ -7,10 +7,12 @@ table_name)``) from the long confusion table, which has at most
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.labels import clean_target, float_string_label
+from ledgerlens.sources import registry
 
 METRIC_DECIMALS = 4
 
@@ -204,3 +206,33 @@ def distance_histogram(results: DataFrame, keys, bins: int = 100) -> DataFrame:
     b = F.least(F.lit(bins - 1), F.floor((F.col("x") - lo) / span * bins)).cast("int")
     return (long.join(rng, keys).withColumn("bucket", b)
                 .groupBy(*keys, "is_error", "stat", "bucket").agg(F.count(F.lit(1)).alias("n")))
+
+
+def with_class_names(per_class: DataFrame, names: DataFrame, *, tenant_col: str = "tenant_id", code_col: str = "code", name_col: str = "name") -> DataFrame:
+    """``class_name`` of every class, by (tenant, code); codes compare as labels do (F2), of several names the first."""
+    one = names.groupBy(F.col(tenant_col).alias("_t"), float_string_label(code_col).alias("_c")).agg(F.min(name_col).alias("class_name"))
+    j = per_class.join(one, (F.col(tenant_col) == F.col("_t")) & (F.col("class") == F.col("_c")), "left")
+    return j.select(*per_class.columns, "class_name")
+
+
+#: Artefacts of an evaluation (S14) and the columns that any of them has where none was written.
+EVALUATION_TABLES = {"evaluation_lines": "q_id string, y_true string", "evaluation_response": "q_id string, prediction string, score double",
+                     "evaluation_results": "q_id string, prediction string, ground_truth string, is_error boolean", "evaluation_confusion": "y_true string, y_pred string, n long",
+                     "evaluation_metrics": "n long, accuracy double, balanced_accuracy double, f1_weighted double, mcc double"}
+
+
+def save_evaluation(scored: DataFrame, response: DataFrame, keys, base: str, run_ts: str) -> None:
+    """Writes one evaluation run: truth of the lines, answers, result table, confusion matrix, metrics; the manifest last.
+
+    ``scored``: joined lines (:func:`eval_join`, class frequency, distances); ``response``: the answers as they came.
+    """
+    counts = confusion_counts(scored, keys)
+    frames = (scored.select(*keys, "q_id", "y_true"), response, result_table(scored, keys), confusion_long(scored, keys), eval_metrics(counts, keys))
+    registry.save_run(dict(zip(EVALUATION_TABLES, frames, strict=True)), scored.select("table_name", "tenant_id").distinct(), base, run_ts)
+
+
+def load_evaluation(spark: SparkSession, base: str, keys, version: str | None = None) -> dict[str, DataFrame]:
+    """The artefacts of every tenant's latest (or a given) evaluation, all of one run; with ``run_ts``."""
+    schemas = {name: T.StructType.fromDDL(", ".join(f"{k} string" for k in keys) + ", " + cols) for name, cols in EVALUATION_TABLES.items()}
+    runs, art = registry.read_run(spark, base, schemas, version)
+    return {name: df.join(runs.select("tenant_id", "run_ts"), "tenant_id") for name, df in art.items()}

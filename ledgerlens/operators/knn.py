@@ -96,14 +96,26 @@ def _cells(df: DataFrame, keys, prefix: str, n_cat: int) -> DataFrame:
 
 
 def _masked(df: DataFrame, side: str, keys, masks: DataFrame | None, num_mask, cat_mask, n_num: int, n_cat: int) -> DataFrame:
-    """Features that a row's group does not use made equal in all its rows; their bits in ``_all``."""
+    """Features that a row's group does not use made equal in all its rows; the bits of categorical ones in ``_all``.
+
+    Of numerics those that the group uses come first (with their scales): the first one orders the
+    cells, and a constant there would leave every row of a cell within reach.
+    """
     if masks is None:
         return df.withColumn("_all", F.lit(0))
     m = masks.select(*keys, *[F.col(c).alias(f"_mn{i}") for i, c in enumerate(num_mask)], *[F.col(c).alias(f"_mc{i}") for i, c in enumerate(cat_mask)])
     out = df.join(m, list(keys), "left")
     use = lambda c: F.coalesce(F.col(c), F.lit(True))
+    scaled = f"{side}s0" in df.columns
+    used = F.array_compact(F.array(*[F.when(use(f"_mn{i}"), F.struct(F.col(f"{side}n{i}").alias("x"), (F.col(f"{side}s{i}") if scaled else F.lit(1.0)).alias("s")))
+                                     for i in range(n_num)]))
+    if n_num:
+        out = out.withColumn("_used", used)
     for i in range(n_num):
-        out = out.withColumn(f"{side}n{i}", F.when(use(f"_mn{i}"), F.col(f"{side}n{i}")).otherwise(F.lit(0.0)))
+        one = F.get("_used", F.lit(i))
+        out = out.withColumn(f"{side}n{i}", F.when(one.isNull(), F.lit(0.0)).otherwise(one["x"]))
+        if scaled:
+            out = out.withColumn(f"{side}s{i}", F.coalesce(one["s"], F.lit(1.0)))
     for i in range(n_cat):
         out = out.withColumn(f"{side}c{i}", F.when(use(f"_mc{i}"), F.col(f"{side}c{i}")))
     bits = [F.when(use(f"_mc{i}"), F.lit(0)).otherwise(F.lit(1 << i)) for i in range(n_cat)]

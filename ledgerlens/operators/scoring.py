@@ -12,6 +12,7 @@ import operator
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -262,6 +263,30 @@ def audit_range(tables: list[tuple[Model, DataFrame]], start=None, end=None) ->
     return out
 
 
+_FOUND = "tenant_id string, table_name string, q_id string, prediction string, score double, booked string, class_frequency double"
+
+
+def audit_tables(spark: SparkSession, tables: dict[str, tuple[ModelSpec, DataFrame, DataFrame]], start=None, end=None, *,
+                 skip_failing: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """C18 from the training rows on: (findings of all line tables, reason by table that failed).
+
+    ``tables``: by name the spec, the training lines and the lines to audit.  A table that fails (a
+    missing column, a check of its plan) ends the audit, or with ``skip_failing`` is left out and
+    named; each table's findings are written as they are found, so a failure costs no other table.
+    """
+    out, failed = spark.createDataFrame([], _FOUND), {}
+    for name, (spec, train, lines) in tables.items():  # one entry per line table, all tenants at once
+        try:
+            found = materialize(audit_range([(fit(train, spec), lines)], start, end), f"audit_{name}")
+        except PySparkException as e:
+            if not skip_failing:
+                raise
+            failed[name] = e.getCondition() or type(e).__name__
+            continue
+        out = out.unionByName(found.select(out.columns))
+    return out, failed
+
+
 def train_summary(model: Model) -> DataFrame:
     """Per group the trainable state (P15) and the training accuracy.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("q_lines", "q_clean", "q_knn", "q_eval", "q_text", "q_select", "q_registry", "q_steps", "q_versions", "q_checks", "q_answers")
+_MODULES = ("q_lines", "q_clean", "q_knn", "q_eval", "q_text", "q_select", "q_registry", "q_steps", "q_versions", "q_checks", "q_answers", "q_tax")
 
 
 def load_all():

@@ -3,6 +3,9 @@
 Each constant mirrors a function of ``ledgerlens.sources.standins``.
 """
 
+_TAX = """CASE WHEN l_tax >= 0.05 THEN (CASE WHEN l_linestatus = 'O' THEN 'INPUT' ELSE 'OUTPUT' END)
+              WHEN l_linestatus = 'O' THEN 'EXEMPTEXPENSES' ELSE 'EXEMPTOUTPUT' END AS tax_type"""
+
 INV = """inv AS (
   SELECT o_orderkey AS id, 'INV-' || CAST(o_orderkey AS VARCHAR) AS invoice_id,
          CAST(c_nationkey AS VARCHAR) AS tenant_id,
@@ -18,7 +21,7 @@ ILI = """ili AS (
          l_returnflag || l_linestatus AS description, l_quantity AS quantity,
          l_extendedprice AS line_amount, l_extendedprice * l_tax AS tax_amount,
          CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code,
-         CAST(l_partkey AS VARCHAR) AS item_code, l_tax AS tax_rate
+         CAST(l_partkey AS VARCHAR) AS item_code, l_tax AS tax_rate, """ + _TAX + """
   FROM lineitem)"""
 
 ACC = """acc AS (
@@ -39,13 +42,14 @@ CLAIMS = """claims AS (
 RECEIPTS = """receipts AS (
   SELECT o_orderkey AS id, o_custkey AS expense_claim_unique_id,
          'R-' || CAST(o_orderkey AS VARCHAR) AS receipt_id, CAST(o_orderdate AS DATE) AS date,
-         o_orderstatus AS status, o_totalprice AS total
+         o_orderstatus AS status, o_totalprice AS total, o_totalprice * 0.1::DOUBLE AS total_tax, o_orderpriority AS contact_name
   FROM orders)"""
 
 RLI = """rli AS (
   SELECT l_orderkey AS receipt_unique_id,
          concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_item_id,
-         l_extendedprice AS line_amount, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code
+         l_returnflag || l_linestatus AS description, l_extendedprice AS line_amount, l_tax AS tax_amount,
+         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code, """ + _TAX + """
   FROM lineitem)"""
 
 HOLDOUT = "substr(md5(CAST({c} AS VARCHAR)), 1, 1) < '2'"
@@ -75,7 +79,7 @@ BANK = """bank AS (
 
 _LINES = """concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_item_id, l_linenumber AS line_no,
          l_returnflag || l_linestatus AS description, l_quantity AS quantity, l_discount AS unit_amount, l_extendedprice AS line_amount,
-         l_tax AS tax_amount, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code
+         l_tax AS tax_amount, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS account_code, """ + _TAX + """
   FROM lineitem)"""
 
 BLI = "bli AS (SELECT l_orderkey AS bank_transaction_unique_id, 'BT-' || CAST(l_orderkey AS VARCHAR) AS bank_transaction_id, " + _LINES

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.config import TASK_ACCOUNT
+from ledgerlens.config import TASK_ACCOUNT, TASK_GST
+from ledgerlens.functions.tax import type_from_rate
 from ledgerlens.sources.line_tables import BANK_TYPE_RULES, LinePlan
 from ledgerlens.sources.tables import read_table
 
@@ -27,6 +28,12 @@ def holdout_flag(id_col: str | Column) -> Column:
     return F.substring(F.md5(c.cast("string")), 1, 1) < F.lit(HOLDOUT_DIGITS)
 
 
+def _tax_type() -> Column:
+    """Tax type of a lineitem row: rates of 5 percent and more stand for 10; open lines are purchases."""
+    rate = F.when(F.col("l_tax") >= 0.05, F.lit(10.0)).otherwise(F.lit(0.0))
+    return type_from_rate(rate, F.col("l_linestatus") == "O").alias("tax_type")
+
+
 def invoices(spark: SparkSession, base: str) -> DataFrame:
     o = read_table(spark, base, "orders")
     c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_name")
@@ -60,6 +67,7 @@ def invoice_line_items(spark: SparkSession, base: str) -> DataFrame:
         F.col("l_quantity").cast("int").cast("string").alias("account_code"),
         F.col("l_partkey").cast("string").alias("item_code"),
         F.col("l_tax").alias("tax_rate"),
+        _tax_type(),
     )
 
 
@@ -109,6 +117,8 @@ def expense_claim_receipts(spark: SparkSession, base: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("total"),
+        (F.col("o_totalprice") * 0.1).alias("total_tax"),
+        F.col("o_orderpriority").alias("contact_name"),
     )
 
 
@@ -117,8 +127,11 @@ def receipt_line_items(spark: SparkSession, base: str) -> DataFrame:
     return l.select(
         F.col("l_orderkey").alias("receipt_unique_id"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_item_id"),
+        F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("description"),
         F.col("l_extendedprice").alias("line_amount"),
+        F.col("l_tax").alias("tax_amount"),
         F.col("l_quantity").cast("int").cast("string").alias("account_code"),
+        _tax_type(),
     )
 
 
@@ -164,6 +177,12 @@ def eval_lines(spark: SparkSession, base: str) -> DataFrame:
     return l.filter(holdout_flag("line_item_id")).select("line_item_id")
 
 
+def tax_truth(lines: DataFrame) -> DataFrame:
+    """Evaluation rows of the tax task: the booked tax type of held-out lines."""
+    return lines.filter(holdout_flag("line_item_id")).select(F.col("line_item_id").alias("id"), "tenant_id", F.lit(TASK_GST).alias("task_name"), "table_name",
+                                                             F.col("tax_type").alias("correct_target_variable"))
+
+
 def _order_headers(spark: SparkSession, base: str) -> DataFrame:
     o = read_table(spark, base, "orders")
     c = read_table(spark, base, "customer").select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")
@@ -187,7 +206,7 @@ def _order_lines(spark: SparkSession, base: str, fk: str, header_id: str | None,
         F.col("l_orderkey").alias(fk), *ids, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line_item_id"),
         F.col("l_linenumber").alias("line_no"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("description"), F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("unit_amount"), F.col("l_extendedprice").alias("line_amount"), F.col("l_tax").alias("tax_amount"),
-        F.col("l_quantity").cast("int").cast("string").alias("account_code"))
+        F.col("l_quantity").cast("int").cast("string").alias("account_code"), _tax_type())
 
 
 def bank_transaction_line_items(spark: SparkSession, base: str) -> DataFrame:
