@@ -92,3 +92,12 @@ TAX_TABLES = (
     TableConfig("expclaim", "tax_type", ("description", "contact_name"), ("line_amount", "tax_amount", "receipt_total_tax"), "receipt_date"),
 )
 # ---------------------------------------------------------------------------
+
+# ---- fixed values: text features of the account mapping's tables ----------
+TEXT_TABLES = {
+    "accrec_accpay": ModelSpec(id_col="line_item_id", target="account_code", text=("description", "contact_name"), constraints=("source_type",), date_col="journal_date"),
+    "cashrec_cashpaid": ModelSpec(id_col="line_item_id", target="account_code", text=("bank_account_name", "contact_name", "description"), constraints=("source_type",), date_col="journal_date"),
+    "accreccredit_accpaycredit": ModelSpec(id_col="line_item_id", target="account_code", text=("description", "contact_name"), constraints=("source_type",), date_col="journal_date"),
+    "expclaim": ModelSpec(id_col="line_item_id", target="account_code", text=("description", "contact_name"), date_col="receipt_date"),
+}
+# ---------------------------------------------------------------------------

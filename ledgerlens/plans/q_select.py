@@ -19,7 +19,7 @@ from ledgerlens.plans.q_knn import KEYS
 from ledgerlens.plans.sql_standins import OF, with_
 from ledgerlens.sources import standins as si
 from ledgerlens.sources.tables import read_table
-from ledgerlens.config import ModelSpec
+from ledgerlens.config import SELECTION_MIN_PER_CLASS, SELECTION_SAMPLE_ROWS, ModelSpec
 from ledgerlens.session import materialize
 
 NUM = ("o_totalprice", "c_acctbal")
@@ -64,12 +64,23 @@ def _cands_sql(subsets: dict[str, list[str]]) -> str:
     return f"cset(cand, n_features, {cols}) AS (VALUES {', '.join(rows)})"
 
 
+def sample_sql(rows: int = SELECTION_SAMPLE_ROWS) -> str:
+    """CTEs after SEL_BASE; the last is ``sf``: the selection sample (T6) of at most ``rows`` rows a group, with its folds."""
+    return SEL_BASE + f""",
+sa AS (SELECT s.*, md5(CAST(id AS VARCHAR) || '|42') AS key, count(*) OVER (PARTITION BY tenant_id, table_name) AS ng FROM s),
+sb AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, table_name, cls ORDER BY key, id) <= {SELECTION_MIN_PER_CLASS} AS head FROM sa),
+sc0 AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY tenant_id, table_name) AS nh,
+               row_number() OVER (PARTITION BY tenant_id, table_name, head ORDER BY key, id) AS tr FROM sb),
+sf AS (SELECT * EXCLUDE (fold, key, ng, head, nh, tr), CAST((row_number() OVER (PARTITION BY tenant_id, table_name, cls ORDER BY key, id) - 1) % 5 AS INTEGER) AS fold
+       FROM sc0 WHERE ng <= {rows} OR head OR tr <= {rows} - nh)"""
+
+
 def cv_sql(subsets: dict[str, list[str]]) -> str:
-    """Brute-force CV over all pairs of each (group, fold, candidate)."""
+    """Brute-force CV over all pairs of each (group, fold, candidate) of the selection sample."""
     u = {f: f"use_{f}" for f in FEATS}
-    return SEL_BASE + ",\n" + _cands_sql(subsets) + f""",
-q AS (SELECT s.*, s.fold AS fold_g, c.* FROM s, cset c),
-r AS (SELECT s.*, f.fold_g, c.cand FROM s, (SELECT unnest(range(5)) AS fold_g) f, cset c WHERE f.fold_g <> s.fold),
+    return sample_sql() + ",\n" + _cands_sql(subsets) + f""",
+q AS (SELECT s.*, s.fold AS fold_g, c.* FROM sf s, cset c),
+r AS (SELECT s.*, f.fold_g, c.cand FROM sf s, (SELECT unnest(range(5)) AS fold_g) f, cset c WHERE f.fold_g <> s.fold),
 st AS (SELECT tenant_id, table_name, fold_g, cand,
               avg(o_totalprice) AS m1,
               CASE WHEN stddev_pop(o_totalprice) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(o_totalprice) END AS s1,
