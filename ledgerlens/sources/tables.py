@@ -6,9 +6,11 @@ them into the parquet scan (``PushedFilters`` / ``ReadSchema``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import materialize
+
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
@@ -40,13 +42,28 @@ def scan_filter_limit(df: DataFrame, *, id_col: str = "id", tenant_col: str = "t
     return df.limit(limit) if limit is not None else df
 
 
+#: Rows that a page may keep on the driver, with those before it; pages further on are found by counting.
+PAGE_ROWS = 100_000
+
+
 def page(df: DataFrame, order_cols: list[str | Column], page_no: int, page_size: int) -> DataFrame:
     """W2 as a user-facing operator: rows ``[page_no*size, (page_no+1)*size)`` in a total order.
 
-    Spark keeps the rows up to the page's end on the driver, so this is for first pages;
-    ``page_after`` reads on from a key at any depth.
+    First pages are a top-n.  For a deep page the rows are range-partitioned by the order and counted
+    by partition; only the partitions that the page touches are sorted, and no row passes the driver.
+    ``page_after`` reads on from a key at any depth without a pass over the earlier rows.
     """
-    return df.orderBy(*order_cols).offset(page_no * page_size).limit(page_size)
+    first, end = page_no * page_size, (page_no + 1) * page_size
+    if end <= PAGE_ROWS:
+        return df.orderBy(*order_cols).offset(first).limit(page_size)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order_cols).withColumn("_part", F.spark_partition_id()), "page_ranges")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    touched = counts.filter((F.col("_before") < end) & (F.col("_before") + F.col("_n") > first)).select("_part", "_before")
+    inside = Window.partitionBy("_part").orderBy(*order_cols)
+    placed = ranged.join(F.broadcast(touched), "_part").withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1)
+    return placed.filter(F.col("_at").between(first, end - 1)).orderBy("_at").select(*df.columns)
 
 
 def page_after(df: DataFrame, key: str, last, page_size: int) -> DataFrame:
