@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import features as fe
 from ledgerlens.operators import scoring
-from ledgerlens.plans.catalog import query
+from ledgerlens.operators.selection import best_minimal
+from ledgerlens.plans.catalog import ORACLES, query
 from ledgerlens.plans.q_knn import KEYS, ORDER_BASE, ORDER_SPEC, order_model, vote_sql
 from ledgerlens.plans.q_select import FULL, _cv, cv_sql
-from ledgerlens.session import scratch_path
+from ledgerlens.session import materialize, scratch_path
 from ledgerlens.sources import registry as reg
 from ledgerlens.sources import requests as rq
 from ledgerlens.sources import standins as si
@@ -69,6 +70,29 @@ def selection_report(spark, d):
     return reg.report_lines(_cv(spark, d, FULL))
 
 
+def _saved_selection(spark, d) -> str:
+    """Folder of two selection runs of the orders; the earlier one ranks the configs the other way round."""
+    cv = materialize(_cv(spark, d, FULL), "selection_cv")
+    base = scratch_path(spark, "selection")
+    for run_ts, rows in (("2024-01-31-23-59-59", cv.withColumn("mean_accuracy", 1 - F.col("mean_accuracy"))), ("2024-02-01-00-00-00", cv)):
+        reg.save_selection(rows, best_minimal(rows, KEYS), base, run_ts)
+    return base
+
+
+@query("selection_artefacts", ORACLES["selection_report"].replace("AS line FROM (", "AS line, '2024-02-01-00-00-00' AS run_ts FROM ("))
+def selection_artefacts(spark, d):
+    """The ranked report of the latest of two saved selection runs."""
+    return reg.load_selection(spark, _saved_selection(spark, d))["selection_report"]
+
+
+@query("resolve_config_saved", ORACLES["resolve_config"])
+def resolve_config_saved(spark, d):
+    """Configs from the latest saved selection run where a tenant has one, table defaults elsewhere."""
+    claims = si.expense_claims(spark, d).select("tenant_id", F.lit("expclaim").alias("table_name"))
+    groups = si.order_features(spark, d).select(*KEYS).unionByName(claims)
+    return reg.saved_config(spark, _saved_selection(spark, d), groups, reg.defaults_frame(spark, DEFAULTS))
+
+
 @query("registry_latest_stats", ORDER_BASE + """
 SELECT tenant_id, table_name, 'o_totalprice' AS feature, round(m, 6) AS mean, round(s, 6) AS std,
        '2024-02-01-00-00-00' AS run_ts FROM st""")

@@ -138,12 +138,12 @@ def read_artefact(spark: SparkSession, path: str, schema: T.StructType | None =
     return spark.createDataFrame([], schema or T.StructType([T.StructField(c, T.StringType()) for c in PARTITIONS]))
 
 
-def read_latest(spark: SparkSession, path: str, keys=("tenant_id",), version: str | None = None) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, keys=("tenant_id",), version: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """An artefact restricted to the latest (or a given) run of each tenant.
 
-    A missing artefact yields an empty result, not an error (S19).
+    A missing artefact yields an empty result (of ``schema``, which names the partition columns too), not an error (S19).
     """
-    art = read_artefact(spark, path)
+    art = read_artefact(spark, path, schema)
     if version is not None:
         return art.filter(F.col("run_ts") == F.lit(version))
     latest = latest_version(list_versions(art, keys), keys).select(*keys, "run_ts")
@@ -215,6 +215,34 @@ def report_lines(cv: DataFrame, keys=("tenant_id", "table_name")) -> DataFrame:
                                        F.col("mean_accuracy"), F.col("n_folds")).alias("line"))
 
 
+#: Artefacts of a selection run (S13) and their columns besides the group's.
+_RESULT = "cand string, n_features int, k int, weights string, mean_accuracy double, n_folds long"
+SELECTION_TABLES = {"selection_results": _RESULT, "selection_report": "rank int, line string", "selection_minimal": _RESULT}
+
+
+def save_selection(cv: DataFrame, minimal: DataFrame, base: str, run_ts: str, keys=("tenant_id", "table_name")) -> None:
+    """Writes one selection run: the results of all configs, the ranked text report and the best-minimal config; the manifest last.
+
+    ``minimal``: one row per group with the columns of ``cv`` (``selection.best_minimal``).
+    """
+    frames = (cv, report_lines(cv, keys), minimal.select(*cv.columns))
+    save_run(dict(zip(SELECTION_TABLES, frames, strict=True)), cv.select("table_name", "tenant_id").distinct(), base, run_ts)
+
+
+def load_selection(spark: SparkSession, base: str, keys=("tenant_id", "table_name"), version: str | None = None) -> dict[str, DataFrame]:
+    """The artefacts of every tenant's latest (or a given) selection run, with ``run_ts``; empty where none was saved."""
+    schemas = {name: T.StructType.fromDDL(", ".join(f"{k} string" for k in keys) + ", " + cols) for name, cols in SELECTION_TABLES.items()}
+    runs, art = read_run(spark, base, schemas, version)
+    return {name: df.join(runs.select("tenant_id", "run_ts"), "tenant_id") for name, df in art.items()}
+
+
+def saved_config(spark: SparkSession, base: str, groups: DataFrame, defaults: DataFrame, keys=("tenant_id", "table_name"), version: str | None = None) -> DataFrame:
+    """Per group the config of its tenant's latest selection run (best or best-minimal, as its table asks), else the table's defaults."""
+    art = load_selection(spark, base, keys, version)
+    chosen = selected_config(rank_one(art["selection_results"], keys), art["selection_minimal"], defaults, keys)
+    return resolve_config(groups, defaults, chosen, keys)
+
+
 def write_artifacts(frames: dict[str, DataFrame], base: str, run_ts: str, fmt: str = "json") -> dict[str, str]:
     """Write named result tables of one run (``json``, ``csv`` or ``parquet``).
 

@@ -14,6 +14,7 @@ from ledgerlens.operators import knn, scoring
 from ledgerlens.operators import selection as sel
 from ledgerlens.operators import text as tx
 from ledgerlens.plans import q_select
+from ledgerlens.sources import registry as reg
 from ledgerlens.sources import standins as si
 from ledgerlens.sources import tables
 
@@ -127,3 +128,24 @@ def test_sample_sql_is_the_sample(spark):
     sample = sel.sample_min_per_class(rows, KEYS, "o_orderpriority", "o_orderkey", num_samples=40)
     got = {(r.tenant_id, r.o_orderkey, r.fold) for r in sel.stratified_folds(sample, KEYS, "o_orderpriority", "o_orderkey").collect()}
     assert got == want and len(want) < rows.count()
+
+
+def test_selection_runs_resolve_configs(spark):
+    """Tenant A has two runs, B one, C none; table u asks for the best-minimal config; without any run all take the defaults."""
+    def cv(rows):
+        return spark.createDataFrame(rows, "tenant_id string, table_name string, cand string, n_features int, k int, weights string, mean_accuracy double, n_folds long")
+
+    base = tempfile.mkdtemp(prefix="ll-sel-")
+    old = cv([("A", "t", "x", 1, 9, "uniform", 0.9, 5), ("B", "t", "x", 1, 5, "uniform", 0.4, 5)])
+    new = cv([("A", "t", "x,y", 2, 3, "distance", 0.8, 5), ("A", "t", "x", 1, 5, "uniform", 0.795, 5), ("A", "u", "p,q", 2, 3, "distance", 0.7, 5), ("A", "u", "q", 1, 7, "distance", 0.695, 5)])
+    for run_ts, rows in (("2024-01-01-00-00-00", old), ("2024-02-01-00-00-00", new)):
+        reg.save_selection(rows, sel.best_minimal(rows, KEYS), base, run_ts)
+    groups = spark.createDataFrame([(t, x) for t in "ABC" for x in "tu"], "tenant_id string, table_name string")
+    defaults = reg.defaults_frame(spark, [reg.DefaultConfig("t", ("x", "z")), reg.DefaultConfig("u", ("p",), minimal=True)])
+    got = {(r.tenant_id, r.table_name): (",".join(r.features), r.k, r.source) for r in reg.saved_config(spark, base, groups, defaults).collect()}
+    assert got == {("A", "t"): ("x,y", 3, "selection"), ("A", "u"): ("q", 7, "selection"), ("B", "t"): ("x", 5, "selection"),
+                   ("B", "u"): ("p", 7, "default"), ("C", "t"): ("x,z", 7, "default"), ("C", "u"): ("p", 7, "default")}
+    report = reg.load_selection(spark, base)["selection_report"].filter("tenant_id = 'A' and table_name = 't'").orderBy("rank").collect()
+    assert [r.rank for r in report] == [1, 2] and report[0].line.startswith("1. features=[x,y] k=3") and report[0].run_ts == "2024-02-01-00-00-00"
+    none = reg.saved_config(spark, tempfile.mkdtemp(prefix="ll-sel-"), groups, defaults).collect()
+    assert len(none) == 6 and {r.source for r in none} == {"default"}
