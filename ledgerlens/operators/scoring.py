@@ -287,6 +287,36 @@ def audit_tables(spark: SparkSession, tables: dict[str, tuple[ModelSpec, DataFra
     return out, failed
 
 
+def model_card(model: Model) -> DataFrame:
+    """One row per trained group, what its answers were made with.
+
+    target, used features by kind, constant_columns (features left out as constant or unselected), k, weights, where
+    they come from, class counts before the rare classes went, those classes, rows, one-hot input
+    dimension, and the run that a loaded model was read from (else null).
+    """
+    spec, keys = model.spec, list(model.spec.group_keys)
+
+    def named(features, used: bool):
+        return F.array_compact(F.array(*[F.when(F.col(f"use_{c}") == F.lit(used), F.lit(c)) for c in features]).cast("array<string>"))
+
+    def size(name: str, features):
+        return sum((F.col(f"use_{c}").cast("int") * F.col(f"{name}_{c}") for c in features), F.lit(0))
+
+    rows = model.ref.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_samples"))
+    values = model.values.groupBy(*keys).agg(F.lit(0).alias("_none"), *[F.count_if(F.col("feature") == c).alias(f"_values_{c}") for c in spec.categorical])
+    d = model.mask.join(model.choice, keys).join(rows, keys).join(values, keys, "left")
+    d = d.join(profile.class_count_map(model.counts, keys), keys, "left").join(profile.removed_classes(model.kept, keys), keys, "left")
+    if model.runs is None:
+        d = d.withColumn("run_ts", F.lit(None).cast("string"))
+    else:
+        d = d.join(model.runs.select("tenant_id", "run_ts"), "tenant_id", "left")
+    numeric = sum((F.col(f"use_{c}").cast("int") for c in spec.numeric), F.lit(0))
+    return d.select(*keys, F.lit(spec.target).alias("target_variable"), named(spec.categorical, True).alias("categorical_features"), named(spec.numeric, True).alias("numerical_features"),
+                    named(spec.features, False).alias("constant_columns"), F.col("k").alias("n_neighbors"), "weights", "source", "class_counts",
+                    F.coalesce("removed_classes", F.array().cast("array<string>")).alias("removed_classes"), "num_samples",
+                    (numeric + size("_values", spec.categorical)).cast("long").alias("input_dim"), "run_ts")
+
+
 def train_summary(model: Model) -> DataFrame:
     """Per group the trainable state (P15) and the training accuracy.
 

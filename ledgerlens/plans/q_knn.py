@@ -366,3 +366,27 @@ def result_rows(spark, d):
     model, queries = order_model(spark, d)
     one = lambda e: F.concat_ws(":", e["rank"].cast("string"), e["t_id"].cast("string"), e["t_label"], F.round(e["distance"] * 1000000).cast("long").cast("string"))
     return scoring.result_rows(model, queries).withColumn("explanations", F.array_join(F.transform("explanations", one), " "))
+
+
+def _named_sql(features, used: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {used} {u} THEN '{c}' END" for c, u in features) + "], lambda x: x IS NOT NULL), ',')"
+
+
+_LINE_CATS = [(c, f"u_{c}") for c in _CATS]
+
+
+@query("model_cards", LINE_BASE + f""",
+cc AS (SELECT tenant_id, table_name, string_agg(cls || ':' || n, ',' ORDER BY cls) AS class_counts,
+              coalesce(string_agg(cls, ',' ORDER BY cls) FILTER (n < 5), '') AS removed_classes FROM cnt GROUP BY ALL),
+ns AS (SELECT tenant_id, table_name, count(*) AS num_samples, {", ".join(f"count(DISTINCT {c}) AS d_{c}" for c in _CATS)} FROM ref GROUP BY ALL)
+SELECT tenant_id, table_name, 'account_code' AS target_variable, {_named_sql(_LINE_CATS, "")} AS categorical_features, CASE WHEN u_x THEN 'line_amount' ELSE '' END AS numerical_features,
+       {_named_sql([*_LINE_CATS, ("line_amount", "u_x")], "NOT")} AS constant_columns, 7 AS n_neighbors, 'distance' AS weights, 'spec' AS source, class_counts, removed_classes, num_samples,
+       CAST(CAST(u_x AS INTEGER) + {" + ".join(f"CAST(u_{c} AS INTEGER) * d_{c}" for c in _CATS)} AS BIGINT) AS input_dim
+FROM st JOIN cc USING (tenant_id, table_name) JOIN ns USING (tenant_id, table_name)""")
+def model_cards(spark, d):
+    """What every tenant's invoice-line model was made with; lists and counts shown as text."""
+    train, _ = line_split(spark, d)
+    card = scoring.model_card(scoring.fit(train, LINE_SPEC)).drop("run_ts")
+    counts = F.transform(F.array_sort(F.map_entries("class_counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    lists = ["categorical_features", "numerical_features", "constant_columns", "removed_classes"]
+    return card.withColumns({"class_counts": F.array_join(counts, ","), **{c: F.array_join(c, ",") for c in lists}})

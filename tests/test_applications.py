@@ -149,3 +149,17 @@ def test_selection_runs_resolve_configs(spark):
     assert [r.rank for r in report] == [1, 2] and report[0].line.startswith("1. features=[x,y] k=3") and report[0].run_ts == "2024-02-01-00-00-00"
     none = reg.saved_config(spark, tempfile.mkdtemp(prefix="ll-sel-"), groups, defaults).collect()
     assert len(none) == 6 and {r.source for r in none} == {"default"}
+
+
+def test_model_cards(spark):
+    rows = lines(spark, constant=True).withColumn("y", F.when((F.col("tenant_id") == "A") & (F.col("id") < 3), "Z").otherwise(F.col("y")))
+    model = scoring.fit(rows, SPEC)
+    got = {r.tenant_id: r for r in scoring.model_card(model).collect()}
+    a, b = got["A"], got["B"]
+    assert (a.numerical_features, a.constant_columns, a.removed_classes, a.class_counts["Z"], a.num_samples, a.input_dim, a.run_ts) == (["w"], ["v"], ["Z"], 3, 37, 3, None)
+    assert (b.numerical_features, b.constant_columns, b.removed_classes, b.num_samples, b.input_dim) == (["v", "w"], [], [], 40, 4)
+    assert (a.n_neighbors, a.weights, a.source, a.target_variable, a.categorical_features) == (3, "distance", "spec", "y", ["c"])
+    base = tempfile.mkdtemp(prefix="ll-card-")
+    scoring.save_model(model, base, "2024-01-01-00-00-00")
+    loaded = {r.tenant_id: r for r in scoring.model_card(scoring.load_model(spark, base, SPEC)).collect()}
+    assert {r.run_ts for r in loaded.values()} == {"2024-01-01-00-00-00"} and loaded["A"].asDict() | {"run_ts": None} == a.asDict()
