@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.config import ModelSpec
 from ledgerlens.operators import scoring
+from ledgerlens.session import materialize
 from ledgerlens.sources import registry
 
 
@@ -64,6 +65,7 @@ def score_stream(spark: SparkSession, model: scoring.Model | ServedModel, source
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
         now = model.current(session) if served else model
+        batch = materialize(batch, "stream_batch")  # read many times, and a stateful batch is evaluated once only
         _, out = scoring.predict(now, batch, weights)
         if with_rejected:
             out = out.withColumn("reason", F.lit(None).cast("string")).unionByName(scoring.rejected(now, batch), allowMissingColumns=True)
