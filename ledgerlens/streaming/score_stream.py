@@ -58,9 +58,11 @@ def score_stream(spark: SparkSession, model: scoring.Model | ServedModel, source
     if max_files:  # bounds a micro-batch
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     stream = reader.load(source_dir)
+    served = isinstance(model, ServedModel)
     if dedupe_col and event_time:
+        if not served and not with_rejected:  # a line of a group without a model has no answer; it must not take the place of one that has
+            stream = stream.join(model.stats.select(*model.spec.group_keys).distinct(), list(model.spec.group_keys), "left_semi")
         stream = stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([dedupe_col])
-    served = isinstance(model, ServedModel)
 
     def score_batch(batch: DataFrame, epoch_id: int) -> None:
         session = batch.sparkSession
